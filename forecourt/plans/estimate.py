@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from forecourt.functions.measures import measures
 from forecourt.functions.text import any_like
 from forecourt.operators.filters import SEARCHED, ListingFilter, require_columns
 from forecourt.operators.grouping import group_measures
-from forecourt.operators.ranks import COUNT, ROWS, VALUE, measures_of_counts, value_counts
+from forecourt.operators.ranks import COUNT, VALUE, measures_of_counts, value_counts
 from forecourt.plans.statistics import DEFAULT_STAT_COLUMN
 
 # The measures an estimate rests on and their weights. Up to a relative
@@ -213,6 +213,51 @@ def _request_keys(requests: DataFrame, search: str | None) -> dict[str, Column]:
     return keys
 
 
+def _text(fields: Sequence[Column]) -> Column:
+    """The fields as one short and unambiguous text, open ones as ``\\N``.
+
+    A bar or backslash inside a field is escaped, so only bare bars separate fields.
+    """
+    def escaped(c: Column) -> Column:
+        text = F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+
+    return F.concat_ws("|", *[escaped(c) for c in fields])
+
+
+def _wish(names: Sequence[str], prefix: str) -> Column:
+    """The fields asked for as text, a list of engines in its JSON form."""
+    fields = [F.col(f"{prefix}{k}") for k in names if k != "engine"]
+    if "engine" in names:
+        fields.append(F.to_json(f"{prefix}engine"))
+    return _text(fields)
+
+
+def _levels(names: Sequence[str]) -> Column:
+    """The wish itself and, if it gives ``cc`` or a search, the wish without them."""
+    dropped = [k for k in ("cc", FOUND) if k in names]
+
+    def level(number: int, without: Sequence[str]) -> Column:
+        fields = [
+            (F.nullif(F.col(f"fc_{k}"), F.col(f"fc_{k}")) if k in without
+             else F.col(f"fc_{k}")).alias(k)
+            for k in names
+        ]
+        return F.struct(F.lit(number).alias("level"), *fields)
+
+    if not dropped:
+        return F.array(level(0, ()))
+    relaxable = reduce(or_, [F.col(f"fc_{k}").isNotNull() for k in dropped])
+    return F.when(relaxable, F.array(level(0, ()), level(1, dropped))).otherwise(
+        F.array(level(0, ()))
+    )
+
+
+def _cell(names: Sequence[str]) -> Column:
+    """The cell of a row of fields, those not ``given`` being null."""
+    return _text([F.col("given"), *[F.col(f"fc_{k}") for k in names]])
+
+
 def estimate_prices(
     requests: DataFrame,
     adverts: DataFrame,
@@ -241,34 +286,32 @@ def estimate_prices(
     require_columns(adverts, [c for c in asked if c != FOUND])
     names = [k for k in CELL_KEYS if k in asked]
 
-    def wish(without: tuple[str, ...] = ()) -> Column:
-        null = F.lit(None)
-        parts = {k: F.when(F.lit(k not in without), asked[k]).otherwise(null) for k in names}
-        return F.struct(*[c.alias(k) for k, c in parts.items()])
-
-    wishes = requests.select(
-        F.col(id_column), wish().alias("strict"), wish(("cc", FOUND)).alias("relaxed")
+    # A wish is the fields asked for, as text: one compact key to shuffle and join by.
+    wanted = requests.select(
+        F.col(id_column), *[asked[k].alias(f"fc_{k}") for k in names]
+    ).withColumn("strict", _wish(names, "fc_"))
+    strict = wanted.select("strict", *[f"fc_{k}" for k in names]).distinct()
+    tries = strict.select("strict", F.explode(_levels(names)).alias("try")).select(
+        "strict", "try.level", _wish(names, "try.").alias("wish"),
+        *[F.col(f"try.{k}").alias(f"fc_{k}") for k in names],
     )
-    attempts = wishes.select(F.explode(F.array("strict", "relaxed")).alias("wish")).distinct()
 
+    # What each wish looks up: a cell for each engine it lists.
     given = reduce(
         add,
         [
-            F.when(F.col(f"wish.{k}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+            F.when(F.col(f"fc_{k}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
             for i, k in enumerate(names)
         ],
     )
-    looked_up = attempts.select("wish", given.alias("given"))
+    attempts = tries.select("wish", given.alias("given"), *[f"fc_{k}" for k in names])
+    attempts = attempts.distinct()
     if "engine" in asked:
-        looked_up = looked_up.select(
-            "wish", "given", F.explode_outer("wish.engine").alias("fc_engine")
+        attempts = attempts.select(
+            "wish", "given", *[f"fc_{k}" for k in names if k != "engine"],
+            F.explode_outer("fc_engine").alias("fc_engine"),
         )
-
-    def cell(values: dict[str, Column]) -> Column:
-        return F.struct(F.col("given"), *[values[k].alias(k) for k in names])
-
-    wished = {k: F.col("fc_engine" if k == "engine" else f"wish.{k}") for k in names}
-    looked_up = looked_up.select("wish", cell(wished).alias("cell"))
+    looked_up = attempts.select("wish", "given", _cell(names).alias("cell"))
 
     described = {k: F.col(k) for k in names if k != FOUND}
     for c, bands in BANDED.items():
@@ -282,19 +325,20 @@ def estimate_prices(
         column,
     )
 
-    # At most one combination per subset of the fields given.
-    combinations = looked_up.agg(F.collect_set("cell.given").alias("c")).scalar()
+    # One set of cells per combination of given fields, at most one per subset.
+    combinations = looked_up.agg(F.collect_set("given")).scalar()
     masked = fine.select("*", combinations.alias("fc_all")).select(
-        "*", F.explode("fc_all").alias("given")
+        VALUE, COUNT, F.explode("fc_all").alias("given"), *[f"fc_{k}" for k in names]
     )
-    kept = {
-        k: F.when(F.col("given").bitwiseAND(1 << i) != 0, F.col(f"fc_{k}"))
+    kept = [
+        F.when(F.col("given").bitwiseAND(1 << i) != 0, F.col(f"fc_{k}")).alias(f"fc_{k}")
         for i, k in enumerate(names)
-    }
+    ]
     cells = (
-        masked.select(cell(kept).alias("cell"), VALUE, COUNT, ROWS)
+        masked.select("given", *kept, VALUE, COUNT)
+        .select(_cell(names).alias("cell"), VALUE, COUNT)
         .groupBy("cell", VALUE)
-        .agg(F.sum(COUNT).alias(COUNT), F.sum(ROWS).alias(ROWS))
+        .agg(F.sum(COUNT).alias(COUNT))
     )
 
     matched = looked_up.join(cells, "cell").select("wish", VALUE, COUNT)
@@ -302,14 +346,12 @@ def estimate_prices(
         matched, ["wish"], adverts.schema[column].dataType, measures(ESTIMATE_MEASURES)
     )
 
-    def measured_as(name: str) -> DataFrame:
-        packed = F.struct(*ESTIMATE_MEASURES).alias(f"by_{name}")
-        return measured.select(F.col("wish").alias(name), packed)
-
-    answers = wishes.join(measured_as("strict"), "strict", "left").join(
-        measured_as("relaxed"), "relaxed", "left"
+    answers = (
+        tries.select("strict", "level", "wish")
+        .join(measured, "wish")
+        .groupBy("strict")
+        .agg(F.min_by(F.struct(*ESTIMATE_MEASURES), "level").alias("best"))
     )
-    best = answers.select(
-        F.col(id_column), F.coalesce("by_strict", "by_relaxed").alias("best")
-    ).select(id_column, "best.*")
+    best = wanted.select(id_column, "strict").join(answers, "strict", "left")
+    best = best.select(id_column, "best.*")
     return _answer(best.withColumn("count", F.coalesce("count", F.lit(0))), id_column)
