@@ -18,6 +18,7 @@ def spark():
         spark__sql__shuffle__partitions=8,
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__sql__maxMetadataStringLength=10_000,
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
