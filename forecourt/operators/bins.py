@@ -148,7 +148,9 @@ def statistics_of_bins(
     binned = counts.select(place.alias("index"), VALUE, COUNT).selectExpr(
         "index", VALUE, f"CASE WHEN index IS NULL THEN 0 ELSE {COUNT} END AS {COUNT}"
     )
-    measured = measures_of_counts(binned, ["index"], dtype, BIN_MEASURES, keep_empty=False)
+    measured = measures_of_counts(
+        binned, ["index"], dtype, BIN_MEASURES, keep_empty=False, few_keys=True
+    )
     return measured.select(
         F.lit(column).alias("column"),
         F.get(categories, F.col("index")).alias("category"),

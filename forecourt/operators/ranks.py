@@ -6,11 +6,12 @@ its count, which combines before the shuffle, so a key holding most rows arrives
 distinct values. Ranks are then found in two steps, so that not even the distinct
 values of one key meet in one task:
 
-1. values fall into order-preserving *slices*; a running count over the slices of a key
-   tells which slice holds which rank;
-2. only the slices that hold a wanted rank are looked into.
+1. values fall into order-preserving *slices*, 128 to an octave; a running count over
+   the slices of a key tells which slice holds which rank;
+2. only the slices that hold a wanted rank are shuffled on and looked into.
 
-A 32-bit integer key has at most 65,536 slices of at most 65,536 values each.
+However many values a key has, it has at most 8,192 slices if they are 32-bit integers
+(16,384 if 64-bit), and of integers below a million at most 4,096 share a slice.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, LongType
+from pyspark.sql.types import DataType
 
 from forecourt.functions.measures import (
     Measure,
@@ -34,9 +35,8 @@ VALUE = "fc_value"
 COUNT = "fc_count"
 ROWS = "fc_rows"
 
-SLICE_BITS = 16
-STEPS_PER_OCTAVE = 1024
-OCTAVES_BELOW_ONE = 1100
+STEP_BITS = 7
+FRACTION_BITS = 20
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -49,19 +49,19 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def slice_of(value: str, dtype: DataType) -> str:
     """An order-preserving coarse number of the value, as SQL.
 
-    Up to 32 bits the upper half of the integer; otherwise the logarithm in steps of
-    1/1024 octave (at most 8,193 values of a 32-bit float share a slice).
+    It keeps the place of the leading bit and the seven bits after it, all in exact
+    arithmetic: the same value gets the same slice on every machine. Of fractions the
+    binary places beyond the twentieth do not count.
     """
-    if is_whole(dtype) and not isinstance(dtype, LongType):
-        return f"shiftright(cast({value} AS int), {SLICE_BITS})"
-    steps = (
-        f"floor((log2(abs(cast({value} AS double))) + {OCTAVES_BELOW_ONE})"
-        f" * {STEPS_PER_OCTAVE})"
-    )
-    return (
-        f"CASE WHEN {value} > 0 THEN {steps} WHEN {value} < 0 THEN -{steps}"
-        f" WHEN {value} = 0 THEN 0 END"
-    )
+    if is_whole(dtype):
+        size = f"if({value} < 0, ~cast({value} AS bigint), cast({value} AS bigint))"
+    else:
+        number = f"cast({value} AS double)"
+        scaled = f"least(abs({number}) * {float(2**FRACTION_BITS)}D, 9.2E18D)"
+        size = f"if(isnan({number}), {2**62}, cast({scaled} AS bigint))"
+    shift = f"greatest(length(bin({size})) - {STEP_BITS + 1}, 0)"
+    number = f"({shift} * {2**STEP_BITS} + shiftright({size}, {shift}))"
+    return f"if({value} < 0, -1 - {number}, {number})"
 
 
 def _ranks_of(m: Measure) -> list[str]:
@@ -78,17 +78,22 @@ def measures_of_counts(
     dtype: DataType,
     wanted: Sequence[Measure],
     keep_empty: bool = True,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Measures per key of a value-count table; without keys always one row.
 
     A key whose values are all null keeps its row, with count 0, if ``keep_empty``.
     The table is read twice, in the same shape, so that Spark reuses its exchange.
+    ``few_keys`` says that the keys are a short list fixed by the caller: the slices to
+    look into, at most one per key and rank, are then broadcast.
     """
     sums = sums_needed(wanted, VALUE, COUNT, dtype)
     key_list = "".join(f"{quoted(k)}, " for k in keys)
     ranks: dict[str, list[str]] = {}
     if any(m.ranked for m in wanted):
-        steps, ranks = _locating_steps(key_list, keys, dtype, wanted, sums, keep_empty)
+        steps, ranks = _locating_steps(
+            key_list, keys, dtype, wanted, sums, keep_empty, few_keys or not keys
+        )
     else:
         steps = f"""
         found AS (
@@ -131,6 +136,7 @@ def _locating_steps(
     wanted: Sequence[Measure],
     sums: Mapping[str, str],
     keep_empty: bool,
+    small: bool,
 ) -> tuple[str, dict[str, list[str]]]:
     """The steps to the sums and the values at the wanted ranks per key, and the
     columns the latter are in."""
@@ -185,7 +191,7 @@ def _locating_steps(
         ranked AS (SELECT *, {_aliased(rank_columns)} FROM placed),
         looked_into AS (SELECT * FROM ranked WHERE {held}),
         located AS (
-          SELECT l.*, {carried},
+          SELECT {'/*+ BROADCAST(r) */' if small else ''} l.*, {carried},
                  r.fc_before + sum(l.{COUNT}) OVER (
                    PARTITION BY {in_slice} ORDER BY l.{VALUE} ROWS UNBOUNDED PRECEDING
                  ) AS fc_upto

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,71 +191,48 @@ def alternative_estimates(
 
 # --- batch ---------------------------------------------------------------------
 
-EXACT = ("make", "model", "year", "gearbox", "cc")
+TEXTS = ("make", "model", "gearbox", "engine")
+NUMBERS = ("year", "cc")
 BANDED = {"mileage": MILEAGE_BANDS, "power": POWER_BANDS}
 FOUND = "found"
-CELL_KEYS = (*EXACT, *BANDED, "engine", FOUND)
-
-
-def _request_keys(requests: DataFrame, search: str | None) -> dict[str, Column]:
-    """What each request asks for; null where it leaves a field open."""
-    keys = {c: F.col(c) for c in EXACT if c in requests.columns}
-    for c, bands in BANDED.items():
-        if c in requests.columns:
-            keys[c] = band_number(c, bands)
-    if "engine" in requests.columns:
-        listed = isinstance(requests.schema["engine"].dataType, ArrayType)
-        engines = F.col("engine") if listed else F.array("engine")
-        engines = F.array_sort(F.array_distinct(F.array_compact(engines)))
-        keys["engine"] = F.when(F.size(engines) > 0, engines)
-    if search is not None:
-        keys[FOUND] = F.lit(True)
-    return keys
-
-
-def _text(fields: Sequence[Column]) -> Column:
-    """The fields as one short and unambiguous text, open ones as ``\\N``.
-
-    A bar or backslash inside a field is escaped, so only bare bars separate fields.
-    """
-    def escaped(c: Column) -> Column:
-        text = F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\"))
-        return F.coalesce(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\\N"))
-
-    return F.concat_ws("|", *[escaped(c) for c in fields])
-
-
-def _wish(names: Sequence[str], prefix: str) -> Column:
-    """The fields asked for as text, a list of engines in its JSON form."""
-    fields = [F.col(f"{prefix}{k}") for k in names if k != "engine"]
-    if "engine" in names:
-        fields.append(F.to_json(f"{prefix}engine"))
-    return _text(fields)
-
-
-def _levels(names: Sequence[str]) -> Column:
-    """The wish itself and, if it gives ``cc`` or a search, the wish without them."""
-    dropped = [k for k in ("cc", FOUND) if k in names]
-
-    def level(number: int, without: Sequence[str]) -> Column:
-        fields = [
-            (F.nullif(F.col(f"fc_{k}"), F.col(f"fc_{k}")) if k in without
-             else F.col(f"fc_{k}")).alias(k)
-            for k in names
-        ]
-        return F.struct(F.lit(number).alias("level"), *fields)
-
-    if not dropped:
-        return F.array(level(0, ()))
-    relaxable = reduce(or_, [F.col(f"fc_{k}").isNotNull() for k in dropped])
-    return F.when(relaxable, F.array(level(0, ()), level(1, dropped))).otherwise(
-        F.array(level(0, ()))
-    )
-
-
-def _cell(names: Sequence[str]) -> Column:
-    """The cell of a row of fields, those not ``given`` being null."""
-    return _text([F.col("given"), *[F.col(f"fc_{k}") for k in names]])
+# Fields in the order they enter a key. Those dropped when a wish is relaxed come last.
+FIELDS = ("year", *BANDED, "make", "model", "gearbox", "engine", "cc", FOUND)
+RELAXED = ("cc", FOUND)
+# How an open field is written: an SQL literal no escaped text can equal.
+OPEN = r"r'\N'"
+
+
+def _escaped(text: Column) -> Column:
+    """Text in which a bare bar or an open field's mark cannot occur."""
+    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
+
+
+def _fields(df: DataFrame, search: Column | None) -> dict[str, Column]:
+    """The comparable fields a table has, as text, except engines given as a list."""
+    found: dict[str, Column] = {}
+    for name in FIELDS:
+        if name == FOUND:
+            if search is not None:
+                found[name] = search.cast("string")
+        elif name in df.columns:
+            if name in BANDED:
+                found[name] = band_number(name, BANDED[name]).cast("string")
+            elif name in NUMBERS:
+                found[name] = F.col(name).cast("string")
+            elif isinstance(df.schema[name].dataType, ArrayType):
+                listed = F.array_sort(F.array_distinct(F.array_compact(name)))
+                found[name] = F.transform(F.when(F.size(listed) > 0, listed), _escaped)
+            else:
+                found[name] = _escaped(F.col(name).cast("string"))
+    return found
+
+
+def _key(names: Sequence[str], kept: Mapping[str, str] | None = None) -> str:
+    """A key over fields, as SQL: the fields, or the expressions given instead, between
+    bars."""
+    parts = [(kept or {}).get(k, f"fc_{k}") for k in names]
+    return f"concat_ws('|', {', '.join(f'coalesce({p}, {OPEN})' for p in parts)})"
 
 
 def estimate_prices(
@@ -280,63 +257,61 @@ def estimate_prices(
     """
     require_columns(requests, [id_column])
     require_columns(adverts, [column])
-    asked = _request_keys(requests, search)
+    asked = _fields(requests, None if search is None else F.lit(True))
     if not asked:
         raise ValueError("requests name no field to compare by")
-    require_columns(adverts, [c for c in asked if c != FOUND])
-    names = [k for k in CELL_KEYS if k in asked]
-
-    # A wish is the fields asked for, as text: one compact key to shuffle and join by.
-    wanted = requests.select(
-        F.col(id_column), *[asked[k].alias(f"fc_{k}") for k in names]
-    ).withColumn("strict", _wish(names, "fc_"))
-    strict = wanted.select("strict", *[f"fc_{k}" for k in names]).distinct()
-    tries = strict.select("strict", F.explode(_levels(names)).alias("try")).select(
-        "strict", "try.level", _wish(names, "try.").alias("wish"),
-        *[F.col(f"try.{k}").alias(f"fc_{k}") for k in names],
+    require_columns(adverts, [k for k in asked if k != FOUND])
+    names = list(asked)
+    bits = {k: 1 << i for i, k in enumerate(names)}
+    listed = "engine" in names and isinstance(requests.schema["engine"].dataType, ArrayType)
+
+    # Wishes: the fields asked for as one compact text to shuffle and join by.
+    wish_of = {"engine": "to_json(fc_engine)"} if listed else {}
+    given = " + ".join(f"if(fc_{k} IS NULL, 0, {bit})" for k, bit in bits.items())
+    wanted = requests.select(id_column, *[c.alias(f"fc_{k}") for k, c in asked.items()])
+    wanted = wanted.selectExpr("*", f"{_key(names, wish_of)} AS strict", f"{given} AS given")
+    strict = wanted.drop(id_column).distinct()
+
+    # A wish that gives cc or a search has a second try without them.
+    relaxable = [k for k in names if k in RELAXED]
+    dropped = {k: "NULL" for k in relaxable}
+    mask = sum(bits[k] for k in relaxable)
+    first = "struct(0 AS level, strict AS wish, given)"
+    second = (
+        f"struct(1 AS level, {_key(names, {**wish_of, **dropped})} AS wish,"
+        f" given & {~mask} AS given)"
     )
-
-    # What each wish looks up: a cell for each engine it lists.
-    given = reduce(
-        add,
-        [
-            F.when(F.col(f"fc_{k}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-            for i, k in enumerate(names)
-        ],
+    tries = strict.selectExpr(
+        "strict",
+        *[f"fc_{k}" for k in names],
+        f"inline(if(given & {mask} = 0, array({first}), array({first}, {second})))",
     )
-    attempts = tries.select("wish", given.alias("given"), *[f"fc_{k}" for k in names])
-    attempts = attempts.distinct()
-    if "engine" in asked:
-        attempts = attempts.select(
-            "wish", "given", *[f"fc_{k}" for k in names if k != "engine"],
-            F.explode_outer("fc_engine").alias("fc_engine"),
-        )
-    looked_up = attempts.select("wish", "given", _cell(names).alias("cell"))
-
-    described = {k: F.col(k) for k in names if k != FOUND}
-    for c, bands in BANDED.items():
-        if c in described:
-            described[c] = band_number(c, bands)
+
+    # What a wish looks up: one cell, or one for each engine it lists.
+    def cell_of(kept: Mapping[str, str]) -> str:
+        return f"concat_ws('|', given, {_key(names, kept)})"
+
+    within = {k: f"if(given & {bit} = 0, NULL, fc_{k})" for k, bit in bits.items()}
+    attempts = tries.drop("strict", "level")
+    if listed:
+        attempts = attempts.withColumn("fc_engine", F.explode_outer("fc_engine"))
+    looked_up = attempts.selectExpr("wish", "given", f"{cell_of(within)} AS cell").distinct()
+
+    met = None
     if search is not None:
-        described[FOUND] = F.coalesce(any_like(SEARCHED, search), F.lit(False))
+        met = F.coalesce(any_like(SEARCHED, search), F.lit(False))
+    described = _fields(adverts, met)
     fine = value_counts(
-        adverts.select(*[c.alias(f"fc_{k}") for k, c in described.items()], column),
+        adverts.select(*[described[k].alias(f"fc_{k}") for k in names], column),
         [f"fc_{k}" for k in names],
         column,
     )
-
     # One set of cells per combination of given fields, at most one per subset.
     combinations = looked_up.agg(F.collect_set("given")).scalar()
-    masked = fine.select("*", combinations.alias("fc_all")).select(
-        VALUE, COUNT, F.explode("fc_all").alias("given"), *[f"fc_{k}" for k in names]
-    )
-    kept = [
-        F.when(F.col("given").bitwiseAND(1 << i) != 0, F.col(f"fc_{k}")).alias(f"fc_{k}")
-        for i, k in enumerate(names)
-    ]
     cells = (
-        masked.select("given", *kept, VALUE, COUNT)
-        .select(_cell(names).alias("cell"), VALUE, COUNT)
+        fine.withColumn("fc_all", combinations)
+        .withColumn("given", F.explode("fc_all"))
+        .selectExpr(f"{cell_of(within)} AS cell", VALUE, COUNT)
         .groupBy("cell", VALUE)
         .agg(F.sum(COUNT).alias(COUNT))
     )
@@ -345,7 +320,6 @@ def estimate_prices(
     measured = measures_of_counts(
         matched, ["wish"], adverts.schema[column].dataType, measures(ESTIMATE_MEASURES)
     )
-
     answers = (
         tries.select("strict", "level", "wish")
         .join(measured, "wish")
