@@ -92,12 +92,12 @@ def measures_of_counts(
     ranks: dict[str, list[str]] = {}
     if any(m.ranked for m in wanted):
         steps, ranks = _locating_steps(
-            key_list, keys, dtype, wanted, sums, keep_empty, few_keys or not keys
+            key_list, keys, wanted, sums, keep_empty, few_keys or not keys
         )
     else:
         steps = f"""
         found AS (
-          SELECT {key_list}{_aliased(sums)} FROM {{counts}} {_grouped_by(keys)}
+          SELECT {key_list}{_aliased(sums)} FROM {{sliced}} {_grouped_by(keys)}
         )"""
 
     def result(m: Measure) -> str:
@@ -107,13 +107,18 @@ def measures_of_counts(
         return f"({picks}) / {len(ranks[m.name])}"
 
     results = ", ".join(f"{result(m)} AS {quoted(m.name)}" for m in wanted)
+    # The statement's view of a table is dropped after use, and with it what is cached
+    # under the very same plan; with one more column it is another plan.
+    sliced = counts.selectExpr(
+        *[quoted(k) for k in keys], VALUE, COUNT, f"{slice_of(VALUE, dtype)} AS fc_slice"
+    )
     return counts.sparkSession.sql(
         f"""
         WITH {steps},
         moments AS (SELECT *{_more(moments(sums, dtype))} FROM found)
         SELECT {key_list}{results} FROM moments
         """,
-        counts=counts,
+        sliced=sliced,
     )
 
 
@@ -132,7 +137,6 @@ def _grouped_by(keys: Sequence[str]) -> str:
 def _locating_steps(
     key_list: str,
     keys: Sequence[str],
-    dtype: DataType,
     wanted: Sequence[Measure],
     sums: Mapping[str, str],
     keep_empty: bool,
@@ -170,13 +174,9 @@ def _locating_steps(
     carried = ", ".join(f"r.{c}" for c in (*sums, *rank_columns))
     in_slice = ", ".join(f"l.{quoted(c)}" for c in (*keys, "fc_slice"))
     steps = f"""
-        sliced AS (
-          SELECT {key_list}{VALUE}, {COUNT}, {slice_of(VALUE, dtype)} AS fc_slice
-          FROM {{counts}}
-        ),
         slices AS (
           SELECT {key_list}fc_slice, {_aliased(here)}
-          FROM sliced GROUP BY {key_list}fc_slice
+          FROM {{sliced}} GROUP BY {key_list}fc_slice
         ),
         placed AS (
           SELECT {key_list}fc_slice, fc_n_here, {_aliased(over_key)},
@@ -195,7 +195,7 @@ def _locating_steps(
                  r.fc_before + sum(l.{COUNT}) OVER (
                    PARTITION BY {in_slice} ORDER BY l.{VALUE} ROWS UNBOUNDED PRECEDING
                  ) AS fc_upto
-          FROM sliced l JOIN looked_into r ON {same}
+          FROM {{sliced}} l JOIN looked_into r ON {same}
         ),
         found AS (
           SELECT {key_list}coalesce(max(fc_n), 0) AS fc_n{_more(repeated)},

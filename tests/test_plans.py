@@ -8,6 +8,7 @@ from checks.adverts import adverts
 from checks.queries import QUERIES
 from forecourt.operators.filters import ListingFilter
 from forecourt.operators.grouping import group_measures
+from forecourt.plans.distribution import distribution
 from forecourt.plans.estimate import estimate_prices
 from forecourt.plans.statistics import StatRequest, grouped_statistics, summary
 from forecourt.sources.readers import read_parquet
@@ -120,3 +121,13 @@ def test_batch_never_pairs_a_hot_model(spark):
 
     visit(answered._jdf.queryExecution().executedPlan())
     assert metrics and max(metrics) <= 2 * n
+
+
+def test_a_distribution_counts_the_listings_once(parquet):
+    parts = distribution(parquet, "price_in_eur", 4, kind="quantile")
+    for part in (parts.bins, parts.summary):
+        plan = planned(part)
+        assert "InMemoryTableScan" in plan
+    assert parts.counts.storageLevel.useMemory
+    parts.release()
+    assert not parts.counts.storageLevel.useMemory
