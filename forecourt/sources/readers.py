@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from forecourt.sources.schemas import DATASETS
 
@@ -37,7 +37,7 @@ def read_csv(
     """
     schema = _schema_of(dataset)
     if keep_corrupt:
-        schema = StructType(schema.fields).add(CORRUPT, StringType())
+        schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     return spark.read.csv(
         [paths] if isinstance(paths, str) else list(paths),
         schema=schema,
