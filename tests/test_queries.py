@@ -14,7 +14,9 @@ def connection(sf_dir):
 
 
 def test_every_query_has_its_sql():
-    assert QUERIES.keys() == ORACLES.keys() == entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= entry.queries().items()
+    assert ORACLES.items() <= entry.oracle_sql().items()
 
 
 def test_flagship(spark):
