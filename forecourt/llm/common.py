@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +61,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, which may not have it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="forecourt-"), "forecourt_workers.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in (home / "__init__.py", home / "session.py", *sorted(home.glob("llm/*.py"))):
+            archive.write(file, Path(home.name) / file.relative_to(home))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def _local_forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Union-find over the links of one partition: each node with its smallest known node."""
     above: dict[int, int] = {}
@@ -89,6 +113,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours is never gathered, and Spark may split it in the join.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    ship(links.sparkSession)
     stars = written(links.mapInPandas(_local_forests, "a long, b long").distinct(), "forest")
     before = None
     for _ in range(rounds):
