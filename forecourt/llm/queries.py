@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.llm.common import table
+from forecourt.llm.decontaminate import contaminated
 from forecourt.llm.exact_dedup import exact_duplicates
+from forecourt.llm.license_scan import license_notices
 from forecourt.llm.line_dedup import drop_repeated_chunks
+from forecourt.llm.packing import pack
+from forecourt.llm.quality import classify
 from forecourt.llm.sharding import shuffle_into_shards
+from forecourt.llm.super_minhash import near_duplicates
+from forecourt.llm.warc_zip import round_trip
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices in all documents."""
+    return license_notices(table(spark, sf_dir, "documents"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +32,39 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in windows of 2048."""
+    import public_tokenizers
+
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality score, learnt from two thirds of the labels."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written into ZIP-packaged WARC archives and read back."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.encode("html", "UTF-8").alias("payload"))
+    return round_trip(pages).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its group of near-duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a good part of a benchmark item, with the item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the repeated passages of several lines."""
     docs = table(spark, sf_dir, "documents")
@@ -34,6 +78,40 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (
+    PARTITION BY coalesce(html, '')) AS last FROM pages),
+b AS (SELECT *, list_reduce(list_transform(string_split(sha1(html), ''), lambda c:
+    format('{:04b}', strpos('0123456789abcdef', c) - 1)), lambda x, y: x || y) AS bits FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(1, 6), lambda k:
+      (substr(bits, 5 * i + k, 1) = '1')::INT * (1 << (5 - k)::INT)))::INT, 1)),
+    lambda x, y: x || y) AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM b
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y
+    ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM t UNION
+    SELECT r.doc_id, e.b FROM reach r JOIN ends e ON e.a = r.other),
+low AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM low LEFT JOIN n USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 r AS (SELECT *, len(lines) AS n, list_transform(range(1, len(lines)), lambda i:
@@ -66,12 +144,20 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS te
 """
 
 LLM_QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
+    "op6_warc": op6_warc,
+    "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 LLM_ORACLES = {
+    "op6_warc": OP6_SQL,
+    "op7_near_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
