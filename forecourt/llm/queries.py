@@ -13,6 +13,7 @@ from forecourt.llm.line_dedup import drop_repeated_chunks
 from forecourt.llm.packing import pack
 from forecourt.llm.quality import classify
 from forecourt.llm.sharding import shuffle_into_shards
+from forecourt.llm.suffix_dedup import repeated_bytes
 from forecourt.llm.super_minhash import near_duplicates
 from forecourt.llm.warc_zip import round_trip
 
@@ -47,6 +48,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 100 bytes that occur before."""
+    return repeated_bytes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written into ZIP-packaged WARC archives and read back."""
     pages = table(spark, sf_dir, "pages").select(
@@ -148,6 +156,7 @@ LLM_QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
