@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from forecourt.llm.common import map_batches
-from forecourt.llm.words import MARKS, run_hashes, word_hashes
+from forecourt.llm.words import MARKS, run_hashes, word_hashes, words_of_many
 
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
@@ -108,15 +108,17 @@ class _Block:
             bits[known & np.uint64((1 << 20) - 1)] = True
             self.by_length[n] = (seeds, known, bits)
 
-    def sharing(self, words: np.ndarray) -> list[int]:
-        """The items that have a seed in common with a document."""
+    def sharing(self, words: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of a document and an item with a common seed; ``ends`` parts the documents."""
         hit = set()
         for n, (seeds, known, bits) in self.by_length.items():
             values = run_hashes(words, n)
-            values = values[bits[values & np.uint64((1 << 20) - 1)]]
-            if len(values):
-                for value in np.unique(values[np.isin(values, known)]).tolist():
-                    hit.update(seeds[value])
+            at = np.flatnonzero(bits[values & np.uint64((1 << 20) - 1)])
+            at = at[np.isin(values[at], known)]
+            doc = np.searchsorted(ends, at, side="right") - 1
+            whole = at + n <= ends[doc + 1]
+            for d, value in zip(doc[whole].tolist(), values[at[whole]].tolist()):
+                hit.update((d, i) for i in seeds[value])
         return sorted(hit)
 
 
@@ -172,18 +174,20 @@ def contaminated(
             block = _Block(shipped.value, shortest)
             for batch in batches:
                 rows = []
-                for name, value in zip(batch.column(0), batch.column(1)):
-                    words = tokens(value.as_py())
-                    for i in block.sharing(words):
+                first = 0
+                for words, ends in words_of_many(
+                        ((t.as_py() or "").lower().encode("utf-8") for t in batch.column(1)), MARKS):
+                    for d, i in block.sharing(words, ends):
                         item_name, item_words = block.items[i]
-                        least = min(shortest, len(item_words))
-                        got = tiles(item_words, words.tolist(), least)
+                        got = tiles(item_words, words[ends[d]:ends[d + 1]].tolist(),
+                                    min(shortest, len(item_words)))
                         covered = sum(n for _, _, n in got)
                         if covered >= coverage * len(item_words):
                             rows.append((
-                                name.as_py(), item_name, len(item_words), covered,
-                                covered / len(item_words),
+                                batch.column(0)[first + d].as_py(), item_name, len(item_words),
+                                covered, covered / len(item_words),
                                 [{"item_at": a, "doc_at": b, "length": n} for a, b, n in got]))
+                    first += len(ends) - 1
                 columns = list(zip(*rows)) or [[] for _ in schema]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +46,12 @@ def word_hashes(data: bytes, gaps: np.ndarray = SPACES) -> np.ndarray:
     Words are what lies between bytes marked in ``gaps``. Long texts are worked on in
     segments cut at a gap, so that the arrays stay small.
     """
-    found, at = [], 0
+    return placed_words(data, gaps)[0]
+
+
+def placed_words(data: bytes, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of a text, and where they begin."""
+    found, begun, at = [], [], 0
     whole = np.frombuffer(data, dtype=np.uint8)
     while at < len(whole):
         end = min(len(whole), at + _SEGMENT)
@@ -66,8 +73,36 @@ def word_hashes(data: bytes, gaps: np.ndarray = SPACES) -> np.ndarray:
             place = np.arange(len(letters)) - np.repeat(before, sizes)
             values = _LOWER_BYTES[letters] * _power(int(sizes.max()) + 1)[place]
             found.append(mixed(np.add.reduceat(values, before) + sizes.astype(np.uint64)))
+            begun.append(starts + at)
         at = end
-    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+    if not found:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    return np.concatenate(found), np.concatenate(begun)
+
+
+def words_of_many(
+    texts: Iterable[bytes], gaps: np.ndarray = SPACES, limit: int = 4 << 20
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes of some texts in a row, and where the words of each begin (and the last end).
+
+    Texts are taken together until they have ``limit`` bytes, so that short ones cost little
+    and no more than one long one is held.
+    """
+    held, size = [], 0
+
+    def done():
+        words, starts = placed_words(b" ".join(held), gaps)
+        ends = np.cumsum([0] + [len(t) + 1 for t in held])
+        return words, np.searchsorted(starts, ends)
+
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= limit:
+            yield done()
+            held, size = [], 0
+    if held:
+        yield done()
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -83,7 +118,12 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     """The sorted set of hashes of ``n``-word shingles; of a shorter text, that of the whole text."""
-    words = word_hashes((text or "").encode("utf-8"))
-    if not len(words):
-        return words
-    return np.unique(run_hashes(words, min(n, len(words))))
+    return next(shingle_sets([text], n))
+
+
+def shingle_sets(texts: Iterable[str | None], n: int = 5) -> Iterator[np.ndarray]:
+    """The shingle set of each text."""
+    for words, ends in words_of_many((t or "").encode("utf-8") for t in texts):
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            own = words[start:end]
+            yield np.unique(run_hashes(own, min(n, len(own)))) if len(own) else own
