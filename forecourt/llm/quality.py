@@ -156,6 +156,32 @@ def score(stats: DataFrame, model: Discriminant | None, key: str = "doc_id") ->
         stats.select(F.col(key).alias("key"), "x"), run, f"key {kind.simpleString()}, score double").withColumnRenamed("key", key)
 
 
+def drop_low_quality(
+    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
+    label: str = "quality", **options,
+) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more; the model learns as in ``classify``.
+
+    All columns pass through; rows with null or empty texts, null or repeated keys are judged
+    like any other. Nothing but the statistics of labelled rows is moved: the texts are
+    judged where they lie, in a second reading.
+    """
+    known = labels.select(F.col(key).alias("its_key"), F.col(label).alias("its_label"))
+    stats = written(with_statistics(docs.where(~held_out(key)), text, key), "statistics")
+    model = fit(stats.join(known, F.col(key) == F.col("its_key")), "its_label", **options)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model is None or not batch.num_rows:
+                yield batch
+                continue
+            x = np.array([statistics(t.as_py()) for t in batch.column(at)])
+            yield batch.filter(pa.array(model.scores(x) >= 0.5))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     """Whether the key's third of rows is kept from training; false for a null key."""
     third = F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % 3
