@@ -79,11 +79,12 @@ def drop_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id
         F.collect_list(F.struct("start", "n")).alias("gone"))
     lines, removed, count = (free_name(docs, c) for c in (
         "lines", "lines_removed", "chunks_removed"))
+    its_id, its_row, its = (free_name(docs, c) for c in ("gone_id", "gone_row", "gone"))
     marked = docs.withColumn(row, ident).join(
-        gone.withColumnsRenamed({"id": "gone_id", "row": "gone_row", "gone": "gone_spans"}),
-        (F.col(row) == F.col("gone_row")) & F.col(key).eqNullSafe(F.col("gone_id")), "left")
+        gone.withColumnsRenamed({"id": its_id, "row": its_row, "gone": its}),
+        (F.col(row) == F.col(its_row)) & F.col(key).eqNullSafe(F.col(its_id)), "left")
     all_lines = F.split(F.col(text), "\n", -1)
-    spans = F.col("gone_spans")
+    spans = F.col(its)
     out = F.flatten(F.transform(
         spans, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
     left = F.array_join(F.transform(
