@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType
+from pyspark.sql.types import DataType, DecimalType, IntegralType, LongType
 
 # Measure names and what they are. ``avg`` is the truncated integer
 # average, the three rsd are std/mean, 100 std / whole mean, and the whole part of
@@ -111,17 +111,48 @@ def of_moments(m: Measure, dtype: DataType) -> str:
     return _sql(m.kind, MOMENTS, dtype)
 
 
+def is_small(dtype: DataType) -> bool:
+    """Whole numbers whose squares can be summed as decimals, however many there are."""
+    return is_whole(dtype) and not isinstance(dtype, LongType)
+
+
+def is_exact(dtype: DataType) -> bool:
+    """Types that a double cannot hold without loss."""
+    return isinstance(dtype, (LongType, DecimalType))
+
+
+def wide(value: str, dtype: DataType) -> str:
+    """The value in a type whose sums and differences lose nothing, as SQL."""
+    if is_whole(dtype):
+        return f"cast({value} AS decimal(20,0))"
+    if isinstance(dtype, DecimalType):
+        return f"cast({value} AS decimal(38,{dtype.scale}))"
+    return f"cast({value} AS double)"
+
+
+def anchor_of(value: str, count: str, dtype: DataType) -> str:
+    """A value near the mean, from which deviations are measured, as SQL."""
+    mean = f"try_divide(sum(cast({value} AS double) * {count}), sum(if({value} IS NULL, 0, {count})))"
+    if is_whole(dtype):
+        return f"cast(greatest(least(round({mean}), 9.2E18D), -9.2E18D) AS decimal(20,0))"
+    return wide(mean, dtype)
+
+
 def moment_sums(value: str, count: str, dtype: DataType) -> tuple[str, str]:
     """Sum and sum of squares of a value that occurs ``count`` times.
 
-    Whole numbers are summed as decimals, so nothing is lost before the deviation is
-    taken.
+    Small whole numbers are summed as decimals, so nothing is lost before the deviation
+    is taken. Squares of other numbers are those of their distance from ``fc_anchor``.
     """
-    if is_whole(dtype):
+    if is_small(dtype):
         v, n = f"cast({value} AS decimal(19,0))", f"cast({count} AS decimal(19,0))"
-    else:
-        v, n = f"cast({value} AS double)", count
-    return f"sum({v} * {n})", f"sum({v} * {n} * {v})"
+        return f"sum({v} * {n})", f"sum({v} * {n} * {v})"
+    away = _away(value, dtype)
+    return f"sum({wide(value, dtype)} * {count})", f"sum({away} * {away} * {count})"
+
+
+def _away(value: str, dtype: DataType) -> str:
+    return f"cast({wide(value, dtype)} - fc_anchor AS double)"
 
 
 def sums_needed(wanted: Iterable[Measure], value: str, count: str, dtype: DataType) -> dict[str, str]:
@@ -141,18 +172,21 @@ def sums_needed(wanted: Iterable[Measure], value: str, count: str, dtype: DataTy
         sums["fc_sum"] = total
     if spread:
         sums["fc_squares"] = squares
+        if not is_small(dtype):
+            sums["fc_shift"] = f"sum({_away(value, dtype)} * {count})"
     return sums
 
 
 def moments(sums: Iterable[str], dtype: DataType) -> dict[str, str]:
-    """Further columns from ``fc_n``, ``fc_sum`` and ``fc_squares``, as SQL.
+    """Further columns from ``fc_n``, ``fc_sum``, ``fc_squares`` and ``fc_shift``, as SQL.
 
-    For whole numbers the squares are taken around the truncated mean, exactly; what
-    the mean has beyond that is below 1.
+    For small whole numbers the squares are taken around the truncated mean, exactly; what
+    the mean has beyond that is below 1. For others they are those around the anchor, which
+    is near the mean.
     """
     if "fc_sum" not in sums:
         return {}
-    if is_whole(dtype):
+    if is_small(dtype):
         n = "cast(fc_n AS decimal(19,0))"
         centre = f"cast(fc_sum div nullif({n}, 0) AS decimal(19,0))"
         rest = f"(fc_sum - {centre} * {n})"
@@ -165,8 +199,10 @@ def moments(sums: Iterable[str], dtype: DataType) -> dict[str, str]:
             f" - power(cast({rest} AS double), 2) / nullif(fc_n, 0)"
         )
     else:
-        found = {"fc_total": "fc_sum", "fc_mean": "fc_sum / nullif(fc_n, 0)"}
-        spread = "fc_squares - fc_sum * fc_sum / nullif(fc_n, 0)"
+        # A total beyond 64 bits is an error where it is asked for, as in Spark's own sum.
+        total = "cast(fc_sum AS bigint)" if is_whole(dtype) else "fc_sum"
+        found = {"fc_total": total, "fc_mean": "cast(fc_sum AS double) / nullif(fc_n, 0)"}
+        spread = "fc_squares - fc_shift * fc_shift / nullif(fc_n, 0)"
     if "fc_squares" in sums:
         found["fc_std"] = (
             f"CASE WHEN fc_n > 1 THEN sqrt(greatest({spread}, 0D) / (fc_n - 1)) END"

@@ -6,13 +6,21 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegralType
-
-from forecourt.functions.measures import Measure, measures, of_rows, quantile
+from pyspark.sql.types import (
+    DataType,
+    DecimalType,
+    DoubleType,
+    FractionalType,
+    IntegralType,
+    LongType,
+)
+
+from forecourt.functions.measures import Measure, is_exact, measures, of_rows, quantile
 from forecourt.operators.filters import require_columns
 from forecourt.operators.ranks import measures_of_counts, value_counts
 
 DEFAULT_ACCURACY = 10_000
+SPREAD = ("std", "rsd", "rsd_percent", "rsd_whole")
 
 
 def group_measures(
@@ -26,13 +34,15 @@ def group_measures(
     """Measures of one column per group; without keys one row over the whole table.
 
     Simple measures are one partial and one final aggregation. With an order statistic
-    among them, everything is taken from exact value counts in the same single scan.
+    among them, everything is taken from exact value counts in the same single scan; so
+    are deviations of 64-bit and decimal numbers, which doubles cannot hold.
     ``approx`` answers order statistics from a sketch instead (one aggregation).
     """
     require_columns(df, [*keys, column])
     found = measures(wanted)
     dtype = df.schema[column].dataType
-    if not any(m.ranked for m in found) or approx:
+    spread = is_exact(dtype) and any(m.kind in SPREAD for m in found)
+    if approx or not (spread or any(m.ranked for m in found)):
         return df.groupBy(*keys).agg(
             *[_over_rows(m, column, dtype, accuracy) for m in found]
         )
@@ -80,16 +90,53 @@ def aggregate_map(
         )
 
     # With order statistics the columns are stacked, so that one value count serves
-    # all of them; the column's name is one more key.
-    common = next(iter(types.values()))
-    if any(t != common for t in types.values()):
-        common = DoubleType()
+    # all of them; the column's name is one more key. Whole numbers and decimals are never
+    # stacked with doubles, which cannot hold them all.
+    inexact = [c for c in functions if types[c].typeName() in ("float", "double")]
+    stacks = [[c for c in functions if c not in inexact], inexact]
     # Keys are renamed so that a key may itself be measured.
     held = [f"fc_key_{i}" for i in range(len(keys))]
+    tables = [
+        _stacked(df, keys, held, columns, types, [(c, m) for c, m in wanted if c in columns])
+        for columns in stacks if columns
+    ]
+    wide = tables[0]
+    for other in tables[1:]:
+        renamed = other.withColumnsRenamed({h: f"{h}_too" for h in held})
+        same = [F.col(h).eqNullSafe(F.col(f"{h}_too")) for h in held]
+        wide = wide.join(renamed, same) if held else wide.crossJoin(renamed)
+    return wide.select(
+        *[F.col(h).alias(k) for k, h in zip(keys, held)], *[m.name for _, m in wanted]
+    )
+
+
+def _common(types: Sequence[DataType]) -> DataType:
+    """A type that holds all of them: whole numbers and decimals, or floats and doubles."""
+    if all(t == types[0] for t in types):
+        return types[0]
+    if all(isinstance(t, IntegralType) for t in types):
+        return LongType()
+    if any(isinstance(t, FractionalType) and not isinstance(t, DecimalType) for t in types):
+        return DoubleType()
+    scale = max(t.scale for t in types if isinstance(t, DecimalType))
+    whole = max(t.precision - t.scale if isinstance(t, DecimalType) else 19 for t in types)
+    return DecimalType(min(38, whole + scale), scale)
+
+
+def _stacked(
+    df: DataFrame,
+    keys: Sequence[str],
+    held: Sequence[str],
+    columns: Sequence[str],
+    types: Mapping[str, DataType],
+    wanted: Sequence[tuple[str, Measure]],
+) -> DataFrame:
+    """The measures of some columns of one kind, one row per group."""
+    common = _common([types[c] for c in columns])
     stacked = df.select(
         *[F.col(k).alias(h) for k, h in zip(keys, held)],
-        *[F.col(c).cast(common).alias(c) for c in functions],
-    ).unpivot(held, list(functions), "fc_column", "fc_number")
+        *[F.col(c).cast(common).alias(c) for c in columns],
+    ).unpivot(list(held), list(columns), "fc_column", "fc_number")
     every = list({(m.kind, m.fraction): m for _, m in wanted}.values())
     plain = {
         (m.kind, m.fraction): Measure(f"fc_m{i}", m.kind, m.fraction)
@@ -102,18 +149,18 @@ def aggregate_map(
         found = F.max(
             F.when(F.col("fc_column") == column, F.col(plain[m.kind, m.fraction].name))
         )
+        kind = types[column]
         if m.kind in ("min", "max"):
-            return found.cast(types[column])
-        if m.kind == "sum" and isinstance(types[column], IntegralType):
+            return found.cast(kind)
+        if m.kind == "sum" and isinstance(kind, IntegralType):
             return found.cast("bigint")
+        if m.kind == "sum" and isinstance(kind, DecimalType):
+            return found.cast(DecimalType(min(38, kind.precision + 10), kind.scale))
         if m.kind == "count":
             return F.coalesce(found, F.lit(0))
         return found
 
-    wide = tall.groupBy(*held).agg(*[cell(c, m).alias(m.name) for c, m in wanted])
-    return wide.select(
-        *[F.col(h).alias(k) for k, h in zip(keys, held)], *[m.name for _, m in wanted]
-    )
+    return tall.groupBy(*held).agg(*[cell(c, m).alias(m.name) for c, m in wanted])
 
 
 def row_count(df: DataFrame) -> DataFrame:

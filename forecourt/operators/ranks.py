@@ -3,15 +3,16 @@
 The quantile of fraction q over n sorted non-null values is the one at 0-based rank
 ``floor((n - 1) * q + 0.5)``. Rows are first reduced to one row per (keys, value) with
 its count, which combines before the shuffle, so a key holding most rows arrives as its
-distinct values. Ranks are then found in two steps, so that not even the distinct
-values of one key meet in one task:
+distinct values. Ranks are then found in steps:
 
 1. values fall into order-preserving *slices*, 128 to an octave; a running count over
    the slices of a key tells which slice holds which rank;
-2. only the slices that hold a wanted rank are shuffled on and looked into.
+2. only the slices that hold a wanted rank are looked into. 32-bit integers are ordered
+   there. Of wider types a slice may hold any number of values: it is cut again between
+   its own extremes, into one *part* per thousand distinct values, and only the parts
+   that hold a wanted rank are ordered.
 
-However many values a key has, it has at most 8,192 slices if they are 32-bit integers
-(16,384 if 64-bit), and of integers below a million at most 4,096 share a slice.
+A key has at most 8,192 slices of 32-bit integers (16,384 of 64-bit ones).
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql.types import DataType
 
 from forecourt.functions.measures import (
     Measure,
+    anchor_of,
+    is_small,
     is_whole,
     moments,
     of_moments,
@@ -37,6 +40,7 @@ ROWS = "fc_rows"
 
 STEP_BITS = 7
 FRACTION_BITS = 20
+PART_VALUES = 1024
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
@@ -51,19 +55,32 @@ def slice_of(value: str, dtype: DataType) -> str:
 
     It keeps the place of the leading bit and the seven bits after it, all in exact
     arithmetic: the same value gets the same slice on every machine. Of fractions the
-    binary places beyond the twentieth do not count.
+    binary places beyond the twentieth do not count; numbers beyond 2^42 are scaled down.
     """
     if is_whole(dtype):
         size = f"if({value} < 0, ~cast({value} AS bigint), cast({value} AS bigint))"
     else:
         number = f"cast({value} AS double)"
-        scaled = f"least(abs({number}) * {float(2**FRACTION_BITS)}D, 9.2E18D)"
-        size = f"if(isnan({number}), {2**62}, cast({scaled} AS bigint))"
-    shift = f"greatest(length(bin({size})) - {STEP_BITS + 1}, 0)"
-    number = f"({shift} * {2**STEP_BITS} + shiftright({size}, {shift}))"
+        # Beyond 2^42 places below 2^-20 are no longer told apart: the same bits, fewer
+        # of them, with as many octaves added as the scale takes away.
+        steps = [(42, FRACTION_BITS), (104, FRACTION_BITS - 62), (166, FRACTION_BITS - 124)]
+        arms = " ".join(
+            f"WHEN abs({number}) < {2.0**top!r}D THEN"
+            f" {62 * i * 2**STEP_BITS} + {_octaves(f'cast(abs({number}) * {2.0**scale!r}D AS bigint)')}"
+            for i, (top, scale) in enumerate(steps))
+        most = 62 * len(steps) * 2**STEP_BITS
+        number = f"(CASE WHEN isnan({number}) THEN {most + 2} {arms} ELSE {most + 1} END)"
+        return f"if({value} < 0, -1 - {number}, {number})"
+    number = _octaves(size)
     return f"if({value} < 0, -1 - {number}, {number})"
 
 
+def _octaves(size: str) -> str:
+    """The place of the leading bit of a whole number, and the bits after it, as one number."""
+    shift = f"greatest(length(bin({size})) - {STEP_BITS + 1}, 0)"
+    return f"({shift} * {2**STEP_BITS} + shiftright({size}, {shift}))"
+
+
 def _ranks_of(m: Measure) -> list[str]:
     """The 0-based ranks a measure needs among ``fc_n`` sorted values."""
     if m.kind == "median":
@@ -88,17 +105,33 @@ def measures_of_counts(
     look into, at most one per key and rank, are then broadcast.
     """
     sums = sums_needed(wanted, VALUE, COUNT, dtype)
-    key_list = "".join(f"{quoted(k)}, " for k in keys)
     ranks: dict[str, list[str]] = {}
+    # One struct as the key: null is a value like any other in it, and joins, windows and
+    # groupings all find rows where the one before has put them.
+    keyed = "fc_key, " if keys else ""
+    source = "{sliced}"
+    steps = ""
+    if not is_small(dtype) and "fc_squares" in sums:
+        anchor = anchor_of(VALUE, COUNT, dtype)
+        if keys:
+            steps = f"""
+        centres AS (SELECT fc_key, {anchor} AS fc_anchor FROM {{sliced}} GROUP BY fc_key),
+        anchored AS (SELECT l.*, r.fc_anchor FROM {{sliced}} l JOIN centres r USING (fc_key)),"""
+        else:
+            steps = f"""
+        anchored AS (SELECT *, (SELECT {anchor} FROM {{sliced}}) AS fc_anchor FROM {{sliced}}),"""
+        source = "anchored"
     if any(m.ranked for m in wanted):
-        steps, ranks = _locating_steps(
-            key_list, keys, wanted, sums, keep_empty, few_keys or not keys
+        more, ranks = _locating_steps(
+            keyed, source, wanted, sums, keep_empty, few_keys or not keys, dtype
         )
     else:
-        steps = f"""
+        more = f"""
         found AS (
-          SELECT {key_list}{_aliased(sums)} FROM {{sliced}} {_grouped_by(keys)}
+          SELECT {keyed}{_aliased(sums)} FROM {source} {_grouped_by(keyed)}
         )"""
+    needed = {k: v for k, v in moments(sums, dtype).items()
+              if k != "fc_total" or any(m.kind in ("sum", "avg") for m in wanted)}
 
     def result(m: Measure) -> str:
         if not m.ranked:
@@ -107,16 +140,19 @@ def measures_of_counts(
         return f"({picks}) / {len(ranks[m.name])}"
 
     results = ", ".join(f"{result(m)} AS {quoted(m.name)}" for m in wanted)
+    restored = "".join(f"fc_key.c{i} AS {quoted(k)}, " for i, k in enumerate(keys))
+    key = ", ".join(f"{quoted(k)} AS c{i}" for i, k in enumerate(keys))
     # The statement's view of a table is dropped after use, and with it what is cached
     # under the very same plan; with one more column it is another plan.
     sliced = counts.selectExpr(
-        *[quoted(k) for k in keys], VALUE, COUNT, f"{slice_of(VALUE, dtype)} AS fc_slice"
+        *([f"struct({key}) AS fc_key"] if keys else []), VALUE, COUNT,
+        f"{slice_of(VALUE, dtype)} AS fc_slice",
     )
     return counts.sparkSession.sql(
         f"""
-        WITH {steps},
-        moments AS (SELECT *{_more(moments(sums, dtype))} FROM found)
-        SELECT {key_list}{results} FROM moments
+        WITH {steps}{more},
+        moments AS (SELECT *{_more(needed)} FROM found)
+        SELECT {restored}{results} FROM moments
         """,
         sliced=sliced,
     )
@@ -130,17 +166,18 @@ def _more(expressions: Mapping[str, str]) -> str:
     return f", {_aliased(expressions)}" if expressions else ""
 
 
-def _grouped_by(keys: Sequence[str]) -> str:
-    return f"GROUP BY {', '.join(quoted(k) for k in keys)}" if keys else ""
+def _grouped_by(keyed: str) -> str:
+    return f"GROUP BY {keyed[:-2]}" if keyed else ""
 
 
 def _locating_steps(
-    key_list: str,
-    keys: Sequence[str],
+    keyed: str,
+    source: str,
     wanted: Sequence[Measure],
     sums: Mapping[str, str],
     keep_empty: bool,
     small: bool,
+    dtype: DataType,
 ) -> tuple[str, dict[str, list[str]]]:
     """The steps to the sums and the values at the wanted ranks per key, and the
     columns the latter are in."""
@@ -156,50 +193,87 @@ def _locating_steps(
         c: f"{ {'fc_min': 'min', 'fc_max': 'max'}.get(c, 'sum') }({c}_here) OVER whole"
         for c in sums
     }
-    partition = f"PARTITION BY {key_list[:-2]}" if keys else ""
-    held = " OR ".join(
-        f"({r} >= fc_before AND {r} < fc_before + fc_n_here)" for r in rank_columns
-    )
-    if keys and keep_empty:
+    partition = f"PARTITION BY {keyed[:-2]}" if keyed else ""
+
+    def holding(n: str) -> str:
+        return " OR ".join(
+            f"({r} >= fc_before AND {r} < fc_before + {n})" for r in rank_columns
+        )
+
+    held = holding("fc_n_here")
+    if keyed and keep_empty:
         held += " OR fc_n = 0"
-    # Null-safe, because a null key is a group like any other.
-    same = " AND ".join(
-        f"l.{quoted(c)} <=> r.{quoted(c)}" for c in (*keys, "fc_slice")
-    )
+    # Only a key without values needs the slice of its nulls.
+    slice_key = "coalesce(fc_slice, 0) AS fc_slice, fc_slice IS NULL AS fc_none"
     picked = {
         r: f"max({VALUE}) FILTER (WHERE {r} < fc_upto AND {r} >= fc_upto - {COUNT})"
         for r in rank_columns
     }
     repeated = {c: f"max({c})" for c in sums if c != "fc_n"}
-    carried = ", ".join(f"r.{c}" for c in (*sums, *rank_columns))
-    in_slice = ", ".join(f"l.{quoted(c)}" for c in (*keys, "fc_slice"))
+    carried = ", ".join((*sums, *rank_columns))
+    at = f"{keyed}fc_slice, fc_none"
+    hint = "/*+ BROADCAST(r) */" if small else ""
     steps = f"""
         slices AS (
-          SELECT {key_list}fc_slice, {_aliased(here)}
-          FROM {{sliced}} GROUP BY {key_list}fc_slice
+          SELECT {keyed}{slice_key}, {_aliased(here)}, min({VALUE}) AS fc_low,
+                 max({VALUE}) AS fc_high, count({VALUE}) AS fc_values
+          FROM {source} GROUP BY {keyed}fc_slice
         ),
         placed AS (
-          SELECT {key_list}fc_slice, fc_n_here, {_aliased(over_key)},
+          SELECT {at}, fc_n_here, fc_low, fc_high, fc_values, {_aliased(over_key)},
                  coalesce(sum(fc_n_here) OVER earlier, 0) AS fc_before
           FROM slices
           WINDOW
-            whole AS ({partition} ORDER BY fc_slice NULLS FIRST
+            whole AS ({partition} ORDER BY fc_none, fc_slice
                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
-            earlier AS ({partition} ORDER BY fc_slice NULLS FIRST
+            earlier AS ({partition} ORDER BY fc_none, fc_slice
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ),
         ranked AS (SELECT *, {_aliased(rank_columns)} FROM placed),
         looked_into AS (SELECT * FROM ranked WHERE {held}),
+        plain AS (SELECT {keyed}{slice_key}, {VALUE}, {COUNT} FROM {{sliced}}),
+        entered AS (
+          SELECT {hint} l.*, {carried}, fc_before, fc_low, fc_high, fc_values
+          FROM plain l JOIN looked_into r USING ({at})
+        ),"""
+    inside, within = "entered", at
+    if not is_small(dtype):
+        share = (f"(cast({VALUE} AS double) - cast(fc_low AS double))"
+                 " / (cast(fc_high AS double) - cast(fc_low AS double))")
+        parts = f"ceil(fc_values / {PART_VALUES})"
+        within = f"{at}, fc_part"
+        steps += f"""
+        cut AS (
+          SELECT *, CASE WHEN {parts} > 1
+            THEN least(cast(floor(nanvl(try_divide({share}, 1), 0) * {parts}) AS bigint), {parts} - 1)
+            ELSE 0 END AS fc_part
+          FROM entered
+        ),
+        parts AS (
+          SELECT {within}, sum({COUNT}) AS fc_n_part, max(fc_before) AS fc_before_slice
+          FROM cut GROUP BY {within}
+        ),
+        parts_placed AS (
+          SELECT {within}, fc_n_part, fc_before_slice + coalesce(sum(fc_n_part) OVER (
+            PARTITION BY {at} ORDER BY fc_part
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fc_before
+          FROM parts
+        ),
+        entered_parts AS (
+          SELECT l.*, r.fc_before FROM (SELECT {within}, {VALUE}, {COUNT}, {carried} FROM cut) l
+          JOIN parts_placed r USING ({within})
+          WHERE {holding("fc_n_part")} OR fc_n_part = 0
+        ),"""
+        inside = "entered_parts"
+    steps += f"""
         located AS (
-          SELECT {'/*+ BROADCAST(r) */' if small else ''} l.*, {carried},
-                 r.fc_before + sum(l.{COUNT}) OVER (
-                   PARTITION BY {in_slice} ORDER BY l.{VALUE} ROWS UNBOUNDED PRECEDING
-                 ) AS fc_upto
-          FROM {{sliced}} l JOIN looked_into r ON {same}
+          SELECT *, fc_before + sum({COUNT}) OVER (
+            PARTITION BY {within} ORDER BY {VALUE} ROWS UNBOUNDED PRECEDING) AS fc_upto
+          FROM {inside}
         ),
         found AS (
-          SELECT {key_list}coalesce(max(fc_n), 0) AS fc_n{_more(repeated)},
+          SELECT {keyed}coalesce(max(fc_n), 0) AS fc_n{_more(repeated)},
                  {_aliased(picked)}
-          FROM located {_grouped_by(keys)}
+          FROM located {_grouped_by(keyed)}
         )"""
     return steps, ranks
