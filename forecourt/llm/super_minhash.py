@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from forecourt.llm.common import components, map_batches, written
-from forecourt.llm.words import mixed, shingle_set
+from forecourt.llm.common import components, forget, map_batches, written
+from forecourt.llm.words import mixed, shingle_sets
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64(32)
@@ -85,8 +86,7 @@ def _signed(docs: DataFrame, text: str, key: str, bands: int, rows: int, words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, hashes, keys = [], [], []
-            for value in batch.column(1):
-                shingles = shingle_set(value.as_py(), words)
+            for shingles in shingle_sets((v.as_py() for v in batch.column(1)), words):
                 sizes.append(len(shingles))
                 hashes.append(_set_hash(shingles))
                 keys.append(band_keys(signature(shingles, bands * rows), rows)
@@ -107,8 +107,7 @@ def _shingles(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                shingles = shingle_set(value.as_py(), words)
+            for shingles in shingle_sets((v.as_py() for v in batch.column(0)), words):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_set_hash(shingles)], pa.int64()),
                      pa.array([shingles.tobytes()], pa.binary())], schema=schema)
@@ -140,6 +139,93 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         joined.select("a", "b", "x", "y"), run, "a long, b long").distinct()
 
 
+#: Sizes of sets fall into classes, each ten percent wide.
+_WIDTH = math.log(1.1)
+
+
+def _needed(n: np.ndarray | int, other: int, percent: int):
+    """How many shingles sets of these sizes must share."""
+    return np.ceil(percent / (100 + percent) * (n + other) - 1e-6)
+
+
+_ENTRIES = pa.schema([(name, pa.int64()) for name in (
+    "t", "low", "high", "s", "n", "c", "g", "i", "after", "mask")])
+
+
+def _prefixes(percent: int):
+    """Of each set (s, n, c, its shared shingles in order): an entry per class and shingle of its prefix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, n, c, ts in zip(*batch.columns):
+                s, n, c = s.as_py(), n.as_py(), c.as_py()
+                shared = ts.values.to_numpy(zero_copy_only=False)
+                bits = np.left_shift(np.int64(1), shared & 63)
+                before = np.concatenate(([0], np.bitwise_or.accumulate(bits)[:-1])).astype(np.int64)
+                g = math.floor(math.log(n) / _WIDTH)
+                parts = []
+                smallest, largest = -(-n * percent // 100), n * 100 // percent
+                for h in range(math.floor(math.log(smallest) / _WIDTH) - 1,
+                               math.floor(math.log(largest) / _WIDTH) + 2):
+                    least = max(smallest, math.floor(math.exp(h * _WIDTH)) - 1)
+                    room = max(0, len(shared) - int(_needed(n, least, percent)) + 1)
+                    i = np.arange(min(room, len(shared)))
+                    fill = [np.full(len(i), v) for v in (min(g, h), max(g, h), s, n, c, g)]
+                    parts.append([shared[i], *fill, i, len(shared) - 1 - i, before[i]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)],
+                    schema=_ENTRIES)
+
+    return run
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of nodes ``s, n, c`` with different ``c`` that may overlap by ``percent``.
+
+    With every set in the order of how many nodes have a shingle, rarest first, two sets that
+    share k or more have one of their first n - k + 1 shingles in common; k follows from both
+    sizes, so the prefixes are cut for each class of partner's sizes. Shingles of one node
+    only come first and pair with nothing; they are counted, not kept. A pair is made at a
+    shingle only if those behind it in both sets, and those before it, suffice; where a mask
+    of 64 bits tells that nothing before it is shared, those behind it alone must.
+    """
+    schema = pa.schema([("s", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("t", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, n, c, items in zip(*batch.columns):
+                shingles = np.frombuffer(items.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(shingles), v.as_py())) for v in (s, n, c)]
+                    + [pa.array(shingles)], schema=schema)
+
+    shingles = written(map_batches(
+        nodes.join(sets.dropDuplicates(["s"]), "s").select("s", "n", "c", "items"), run,
+        "s long, n long, c long, t long"), "shingles")
+    often = shingles.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = shingles.join(often, "t").groupBy("s", "n", "c").agg(
+        F.sort_array(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    prefix = written(map_batches(
+        ranked.select("s", "n", "c", F.col("ts.t").alias("ts")), _prefixes(percent),
+        ", ".join(f"{name} long" for name in _ENTRIES.names)), "prefixes")
+    forget(shingles)
+    across = prefix.groupBy("t", "low", "high").agg(
+        F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").drop("x", "y")
+    kept = prefix.join(across, ["t", "low", "high"], "left_semi")
+
+    def side(name: str) -> DataFrame:
+        return kept.select("t", "low", "high", *[
+            F.col(x).alias(name + x) for x in ("s", "n", "c", "g", "i", "after", "mask")])
+
+    # Entries of one class meet entries of the other; a class of its own meets itself.
+    classes = (F.col("ag") + F.col("bg")) == (F.col("low") + F.col("high"))
+    before = F.when(F.expr("amask & bmask") == 0, 0).otherwise(F.least("ai", "bi"))
+    needed = F.ceil(percent / (100 + percent) * (F.col("an") + F.col("bn")) - 1e-6)
+    return side("a").join(side("b"), ["t", "low", "high"]).where(
+        (F.col("as") < F.col("bs")) & (F.col("ac") != F.col("bc")) & classes
+        & (before + 1 + F.least("aafter", "bafter") >= needed)).select(
+        F.col("as").alias("a"), F.col("bs").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 75,
     words: int = 5, bands: int = 64, rows: int = 6,
@@ -156,25 +242,31 @@ def near_duplicates(
     Texts with the same set are one node from the start, so copies are never paired. Nodes
     that agree in all ``rows`` values of a band share a bucket (at 75 % overlap and the
     defaults, a pair shares none with a chance of 4 in a million). In a bucket, each
-    member is compared with the smallest one on the full sets, which joins a group of near
-    copies in as many comparisons as it has members. Only members of a bucket that are then
-    still in different components are compared with each other, if their sizes allow a link.
-    No partner or candidate is left out.
+    member is compared on the full sets with the one that meets the most others over all
+    buckets, usually the text that the others are copies of; this joins a group of near
+    copies in as many comparisons as it has members. Members of buckets that then still
+    hold different components go on to a prefix join: of each set, only the rarest quarter of
+    shingles can witness a link, so texts that share no more than a common passage are not
+    paired. No partner or candidate is left out.
     """
     signed = written(_signed(docs, text, key, bands, rows, words), "signatures")
     nodes = signed.where("n > 0").groupBy("s").agg(
         F.first("n").alias("n"), F.first("bands").alias("bands"))
     slots = nodes.select("s", "n", F.explode("bands").alias("bucket"))
-    heads = slots.groupBy("bucket").agg(
-        F.min(F.struct("s", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    shared = written(slots.join(heads.drop("members"), "bucket").select(
-        "bucket", "s", "n", F.col("head.s").alias("h"), F.col("head.n").alias("hn")), "buckets")
+    sizes = slots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    met = written(slots.join(sizes, "bucket"), "buckets")
+    # The text the others are copies of meets the most others; it leads its buckets.
+    weight = met.groupBy("s").agg(F.sum("members").alias("weight"))
+    ranked = met.drop("members").join(weight, "s")
+    heads = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "s", "n")).alias("head"))
+    shared = written(ranked.join(heads, "bucket").select(
+        "bucket", "s", "n", F.col("head.s").alias("h"), F.col("head.n").alias("hn")), "shared")
 
     def fits(a: str, b: str) -> F.Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     stars = written(shared.where("s <> h").where(fits("n", "hn")).select(
-        F.col("h").alias("a"), F.col("s").alias("b")).distinct(), "stars")
+        F.least("h", "s").alias("a"), F.greatest("h", "s").alias("b")).distinct(), "stars")
     # The texts of nodes that share a bucket, one per node.
     wanted = shared.select("s").distinct()
     one = signed.select("s", "key").join(wanted, "s", "left_semi").groupBy("s").agg(
@@ -188,14 +280,9 @@ def near_duplicates(
         "bucket", "s", "n", F.coalesce("component", "s").alias("c"))
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where(
         "x <> y").select("bucket")
-    rest = written(placed.join(open_, "bucket", "left_semi"), "open")
-    left = rest.select("bucket", F.col("s").alias("a"), F.col("n").alias("an"),
-                       F.col("c").alias("ac"))
-    right = rest.select("bucket", F.col("s").alias("b"), F.col("n").alias("bn"),
-                        F.col("c").alias("bc"))
-    across = left.join(right, "bucket").where("a < b AND ac <> bc").where(
-        fits("an", "bn")).select("a", "b").distinct()
-    more = _confirmed(across.join(stars, ["a", "b"], "left_anti"), sets, percent)
+    rest = written(placed.join(open_, "bucket", "left_semi").select("s", "n", "c").distinct(), "open")
+    across = _prefix_pairs(rest, sets, percent).join(stars, ["a", "b"], "left_anti")
+    more = _confirmed(across, sets, percent)
     known = components(links.union(more))
     ends = signed.select("key", "n", "s").join(
         known.withColumnRenamed("node", "s"), "s", "left").withColumn(
