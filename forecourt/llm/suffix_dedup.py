@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from forecourt.llm.common import map_batches, written
+from forecourt.llm.common import forget, map_batches, written
 from forecourt.llm.words import mixed
 
 _LAST = np.iinfo(np.int64).max
@@ -33,6 +34,7 @@ _TABLE = np.random.default_rng(30_011).integers(1, 2**64, 256, dtype=np.uint64)
 _UP = 0x9E3779B97F4A7C15
 _DOWN = pow(_UP, -1, 2**64)
 _SEGMENT = (1 << 20) - 2048
+_TOGETHER = 12 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -152,6 +154,18 @@ def _column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that their texts have few megabytes each (or are one text)."""
+    for batch in batches:
+        column = batch.column(text)
+        sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes, dtype=np.int64) // _TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 class Runs:
     """Neighbouring windows with the same anchor, for the documents of one batch.
 
@@ -275,7 +289,7 @@ def _array(blobs: list[bytes], kind) -> np.ndarray:
 def _find_anchors(length: int, seed: int, buckets: int):
     """Of each batch (row, text): its anchors by bucket; those that the batch repeats, in bucket -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             rows = batch.column(0).to_numpy(zero_copy_only=False)
             runs = Runs(*_column(batch.column(1)), length, seed)
             if not len(runs.at):
@@ -335,7 +349,7 @@ def _strings(length: int, seed: int, buckets: int):
     are repeats for sure, and stay behind in bucket -1.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             rows = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = _column(batch.column(2))
@@ -530,6 +544,8 @@ def repeated_bytes(
             .select("row", "start", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     marks = written(first.union(local).groupBy("row").agg(F.collect_set(
         F.col("start") * 2 + F.col("hot").cast("int")).alias("spots")), "marks")
+    for used in (anchors, first):
+        forget(used)
     around = _with_small(base, marks, 4 * F.size("spots"), "inner", broadcast_bytes)
     strings = written(map_batches(
         around.select("row", "key", "text", "spots"), _strings(length, seed, buckets),
@@ -541,6 +557,8 @@ def repeated_bytes(
     spans = written(map_batches(
         found.groupBy("row").agg(F.collect_list("spans").alias("spans")), _merge,
         "row long, spans binary"), "spans")
+    for used in (marks, strings):
+        forget(used)
     kind = docs.schema[key].dataType
     cut = _with_small(
         docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key).alias("key"),
