@@ -77,7 +77,7 @@ FILTERS = {
     "filter_engine": ("engine", "engine IN ('2-HIGH', '5-LOW')"),
     "filter_engine_empty": ("engine, make", "make = 'Brand#4'"),
     "filter_gearbox": ("gearbox", "gearbox = 'A'"),
-    "filter_estimated_price": ("estimated_price_in_eur", "estimated_price_in_eur >= 60000"),
+    "filter_estimated_price": ("estimated_price_in_eur", "estimated_price_in_eur >= 40000"),
     "filter_price": (P, f"{P} >= 90000"),
     "filter_price_range": (P, f"{P} >= 20000 AND {P} <= 25000"),
     "filter_year": ("year", "year = 1997"),
@@ -116,12 +116,11 @@ FILTERS = {
     ),
     "search_suffix": ("title, equipment", "title LIKE '%gear' OR equipment LIKE '%gear'"),
     "search_star_both": ("title, equipment", "title LIKE '%bolt' OR equipment LIKE '%bolt'"),
-    "search_invalid": ("title, equipment", "false"),
     "filter_in_range": (P, f"{P} BETWEEN 50000 AND 60000"),
     "filter_typed_all": (
-        f"make, year, mileage, {P}, cc",
-        f"make = 'Brand#5' AND mileage >= 10000 AND {P} >= 10000 AND cc >= 2500"
-        f" AND mileage <= 160000 AND {P} <= 50000 AND year IN (1996, 1997, 1998)",
+        "gearbox, save_diff_in_eur, power, created_on",
+        "save_diff_in_eur > -5000 AND power IN (60, 90, 250, 400, 410)"
+        " AND created_on < DATE '1999-03-14' AND gearbox = 'N' AND discount <= 8.5",
     ),
     "filter_typed_any": (
         "title, make, year",
@@ -146,10 +145,10 @@ oracle("stat_global_ranked", f"""
 SELECT {aliased([*SIMPLE, 'median', 'quantile_75'], 'save_diff_in_eur')} FROM adverts
 """)
 oracle("stat_ordered", f"""
-SELECT make, gearbox, {aliased([
-    'count', 'mean', 'median', 'std', 'avg', 'rsd', 'quantile_60', 'quantile_66',
-    'quantile_75', 'quantile_80', 'quantile_90', 'min', 'max'])}
-FROM adverts WHERE year BETWEEN 1996 AND 2000 GROUP BY make, gearbox
+SELECT gearbox, engine, model, {aliased([
+    'count', 'sum', 'max', 'median', 'rsd', 'quantile_5', 'quantile_33'],
+    'estimated_price_in_eur')}
+FROM adverts WHERE power >= 80 AND mileage <= 150000 GROUP BY gearbox, engine, model
 """)
 oracle("quantile_nearest", f"""
 SELECT model, {aliased([f'quantile_{p}' for p in (60, 66, 70, 75, 80, 85, 90)])}
@@ -185,13 +184,15 @@ SELECT make, gearbox, CAST(sum({P}) AS BIGINT) AS {P}_sum, min({P}) AS {P}_min,
 FROM adverts GROUP BY make, gearbox
 """)
 oracle("typed_request", f"""
-SELECT source, year, CAST(sum({P}) AS BIGINT) AS {P}_sum, min({P}) AS {P}_min,
-  max({P}) AS {P}_max, {r(f'avg({P})')} AS {P}_mean, {r(f'median({P})')} AS {P}_median,
-  {nearest(0.25)} AS {P}_Q_0_25
+SELECT gearbox, model, count(save_diff_in_eur) AS save_diff_in_eur_count,
+  {nearest(0.4, 'save_diff_in_eur')} AS save_diff_in_eur_Q_0_4,
+  max(save_diff_in_eur) AS save_diff_in_eur_max,
+  {r('avg(mileage)')} AS mileage_mean, {r('median(mileage)')} AS mileage_median
 FROM adverts
-WHERE contains(make, 'Brand#1') AND mileage >= 10000 AND {P} >= 10000 AND cc >= 500
-  AND mileage <= 160000 AND {P} <= 80000 AND year IN (1996, 1997, 1998) AND discount > 1.5
-GROUP BY source, year
+WHERE (ends_with(title, 'widget') OR starts_with(equipment, '5')) AND cc < 4100
+  AND power IN (60, 120, 240, 350, 360) AND (discount >= 0.5 OR increase >= 3.5)
+  AND created_on >= DATE '1996-03-01' AND created_on < DATE '2000-07-01'
+GROUP BY gearbox, model
 """)
 oracle("rows_counted", "SELECT count(*) AS row_count FROM adverts WHERE make = 'Brand#1'")
 
@@ -204,8 +205,6 @@ oracle("chart_stat_measures", f"""
 SELECT year, {aliased(['count', 'sum', 'avg', 'min', 'max', 'median', 'rsd', 'quantile_66'])}
 FROM adverts WHERE year >= 1996 GROUP BY year
 """)
-oracle("chart_stat_no_group", 'SELECT count(*) AS "count" FROM adverts HAVING false')
-
 
 def summary_sql(n: int, where: str, source: str = "adverts") -> str:
     values = ", ".join(
@@ -490,8 +489,7 @@ SELECT {ROUNDED_COLUMNS} FROM (
 )
 """)
 oracle("top_deals_nulls_last", """
-SELECT advert_id, make, gearbox FROM adverts
-ORDER BY gearbox DESC NULLS LAST, advert_id LIMIT 50000
+SELECT advert_id, make, gearbox FROM adverts ORDER BY gearbox DESC NULLS LAST, advert_id
 """)
 for _name in ("make", "engine", "gearbox", "source"):
     oracle(f"facet_{_name}", f"""
@@ -502,14 +500,17 @@ oracle("distinct_sorted", "SELECT DISTINCT gearbox FROM adverts")
 oracle("distinct_normalised", """
 SELECT DISTINCT title AS value, upper(replace(title, ' ', '')) AS key FROM adverts
 """)
-oracle("distinct_pairs", "SELECT DISTINCT make, model, gearbox FROM adverts")
+oracle("distinct_pairs", """
+SELECT make, model, any_value(upper(concat(make, '/', model))) AS spelled
+FROM adverts GROUP BY make, model
+""")
 
 # --- estimates -------------------------------------------------------------------------
 
 # Named measures over rows, and the estimate over those.
 MEASURED = f"""count({P}) AS n, min({P}) AS lo, avg({P}) AS mean, median({P}) AS median,
   {nearest(0.66)} AS q66, {nearest(0.75)} AS q75, {nearest(0.8)} AS q80,
-  {nearest(0.85)} AS q85, max({P}) AS hi, stddev_samp({P}) AS std,
+  {nearest(0.85)} AS q85, CAST(max({P}) AS DOUBLE) AS hi, stddev_samp({P}) AS std,
   stddev_samp({P}) / nullif(avg({P}), 0) AS rsd"""
 ESTIMATION = """CASE
   WHEN rsd IS NULL THEN NULL
@@ -550,7 +551,7 @@ SELECT {ANSWER} FROM (SELECT {MEASURED} FROM adverts WHERE make = 'Brand#99' HAV
 oracle("estimate_statistics", f"""
 SELECT n AS "count", lo AS "min", {r('mean')} AS mean, {r('median')} AS median,
   q66 AS quantile_66, q75 AS quantile_75, q80 AS quantile_80, q85 AS quantile_85,
-  hi AS "max", {r('std')} AS std, {r('rsd')} AS rsd
+  CAST(hi AS INTEGER) AS "max", {r('std')} AS std, {r('rsd')} AS rsd
 FROM (SELECT {MEASURED} FROM adverts WHERE {COMPARABLE} HAVING count(*) > 0)
 """)
 oracle("comparable_count", f"""
@@ -686,3 +687,135 @@ SELECT make, CAST(trunc(avg({P})) AS BIGINT) AS mean,
   CAST(trunc(stddev_samp({P})) AS BIGINT) AS std
 FROM adverts GROUP BY make
 """)
+
+_hidden = ",".join(
+    f'{{"column_name":"{c}","column_index":{i},"column_dtype":"{t}","visible":{v}}}'
+    for i, (c, t, v) in enumerate(
+        [("advert_id", "string", "false"), ("make", "string", "true"),
+         ("gearbox", "string", "true"), ("created_on", "date", "true"), (P, "int", "true")]
+    )
+)
+
+
+def chosen_list(expression: str) -> str:
+    return f"concat('[', string_agg({expression}, ',' ORDER BY {P} DESC, advert_id), ']')"
+
+
+def text(expression: str) -> str:
+    return f"""concat('"', coalesce({expression}, ''), '"')"""
+
+
+oracle("result_hidden", f"""
+SELECT concat('{{"itemsCount":', count(*), ',"advert_id":', {chosen_list(text('advert_id'))},
+  ',"make":', {chosen_list(text('make'))}, ',"gearbox":', {chosen_list(text('gearbox'))},
+  ',"created_on":', {chosen_list(text('CAST(created_on AS VARCHAR)'))},
+  ',"{P}":', {chosen_list(f'CAST({P} AS VARCHAR)')}, ',"metadata":[{_hidden}]}}') AS json
+FROM (SELECT * FROM adverts WHERE make = 'Brand#6'
+      ORDER BY {P} DESC NULLS LAST, advert_id LIMIT 7)
+""")
+
+# --- wide, fractional and mixed types --------------------------------------------------
+
+WIDE = """
+lines AS (
+  SELECT *, 1000000000000000 + l_orderkey * 1000003 + l_linenumber AS number,
+    9007199254740993 + l_orderkey * 2 AS huge, l_extendedprice * l_tax AS tax
+  FROM lineitem
+)
+"""
+
+
+def ranked(p: float, x: str) -> str:
+    """``nearest`` in the column's own type."""
+    return (
+        f"list_sort(list({x}) FILTER ({x} IS NOT NULL))"
+        f"[CAST(floor((count({x}) - 1) * ({p})::DOUBLE + 0.5) AS BIGINT) + 1]"
+    )
+
+
+oracle("quantile_wide", f"""
+SELECT l_returnflag, count(number) AS "count", min(number) AS "min", max(number) AS "max",
+  {', '.join(f"{ranked(p, 'number')} AS q{i}" for i, p in enumerate((0.0, 0.1, 0.5, 0.777, 1.0)))}
+FROM lines GROUP BY l_returnflag
+""", WIDE)
+oracle("quantile_double", f"""
+SELECT l_returnflag, {aliased(['count', 'median', 'quantile_1', 'quantile_37', 'quantile_99'], 'tax')}
+FROM lines GROUP BY l_returnflag
+""", WIDE)
+oracle("std_wide", """
+SELECT l_linestatus, round(stddev_samp(number - 1000000000000000) / 1e6, 4) AS std,
+  round(stddev_samp(number - 1000000000000000) / 1e6, 4) AS with_median
+FROM lines GROUP BY l_linestatus
+""", WIDE)
+oracle("agg_map_mixed_types", f"""
+SELECT l_returnflag, min(huge) AS huge_min, max(huge) AS huge_max, {r('median(huge)')} AS huge_median,
+  count(huge) AS huge_count, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber_sum,
+  max(l_linenumber) AS l_linenumber_max, {nearest(0.9, 'l_linenumber')} AS "l_linenumber_Q_0_9",
+  {r('max(tax)')} AS tax_max, {r('median(tax)')} AS tax_median
+FROM lines GROUP BY l_returnflag
+""", WIDE)
+
+
+def closed_bins(x: str, n: int, place: str, category: str) -> tuple[str, str]:
+    """Equal bins over the whole range, the last one closed."""
+    whole_type = x == "number"
+    middle = f"CAST(trunc(median({x})) AS BIGINT)" if whole_type else r(f"median({x})")
+    more = "" if whole_type else f", {r(f'avg({x})')} AS mean, {r(rsd_percent(x))} AS rsd"
+    shown = (lambda e: e) if whole_type else r
+    return f"""
+SELECT '{x}' AS "column", CAST({category} AS VARCHAR) AS category, bin AS "index",
+  {shown(f'min({x})')} AS "min", {shown(f'max({x})')} AS "max", {middle} AS median,
+  count({x}) AS "count"{more}
+FROM placed GROUP BY bin
+""", f"""{WIDE.strip()}, span AS (SELECT min({x}) AS lo, max({x}) AS hi FROM lines),
+{place}"""
+
+
+for _name, _x, _n in (("dist_fractional", "tax", 6), ("dist_wide", "number", 7)):
+    _index = (f"({_x} - lo) // ((hi - lo) // {_n})" if _x == "number"
+              else f"floor(({_x} - lo) / ((hi - lo) / {_n}))")
+    oracle(_name, *closed_bins(_x, _n, f"""placed AS (SELECT {_x},
+      CAST(least({_n - 1}, {_index}) AS INTEGER) AS bin FROM lines, span)""", "bin"))
+    _cuts = ", ".join(f"{ranked(i / _n, _x)} AS c{i}" for i in range(1, _n + 1))
+    _arms = " ".join(f"WHEN {_x} < c{i} THEN {i - 1}" for i in range(1, _n))
+    oracle(f"{_name}_quantile", *closed_bins(_x, _n, f"""cuts AS (SELECT {_cuts} FROM lines),
+    placed AS (SELECT {_x}, CAST(CASE {_arms} ELSE {_n - 1} END AS INTEGER) AS bin
+      FROM lines, cuts)""", "bin + 1"))
+
+# --- pivots over awkward values --------------------------------------------------------
+
+_counts = ", ".join(
+    f"count({P}) FILTER (substr(engine, 1, 1) = '{i}') AS \"1.{i} `x`\"" for i in range(1, 6))
+oracle("pivoted_dotted", f"SELECT make, {_counts} FROM adverts GROUP BY make")
+_tops = ", ".join(
+    f"coalesce(max({P}) FILTER (round(discount) = {i}), 0) AS \"{i}.0\"" for i in range(11))
+oracle("pivoted_float", f"SELECT year, {_tops} FROM adverts GROUP BY year")
+oracle("pivot_series_tall", f"""
+SELECT years.year, label, CAST(coalesce(min({P}), 0) AS DOUBLE) AS value
+FROM (SELECT DISTINCT year FROM adverts WHERE make = 'Brand#3') years
+CROSS JOIN (SELECT DISTINCT concat('1.', substr(engine, 1, 1), ' `x`') AS label
+            FROM adverts WHERE make = 'Brand#3') labels
+LEFT JOIN adverts ON adverts.year = years.year AND make = 'Brand#3'
+  AND concat('1.', substr(engine, 1, 1), ' `x`') = label
+GROUP BY years.year, label
+""")
+
+# --- bins out of the data, delimited text ----------------------------------------------
+
+oracle("bins_of_years", """
+SELECT 'year' AS "column", year AS start, year + 1 AS "end", concat('in ', year) AS category,
+  CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS "index", count(*) AS adverts
+FROM adverts GROUP BY year
+UNION ALL SELECT 'year', 1900, min(year), 'before', 0, 0 FROM adverts
+""")
+oracle("source_parsed", f"""
+SELECT make, model, year, engine, gearbox, power, mileage, cc,
+  CAST(NULL AS VARCHAR) AS mileage_breakdown, CAST(NULL AS VARCHAR) AS power_breakdown,
+  {P}, estimated_price_in_eur, save_diff_in_eur, CAST(NULL AS INTEGER) AS extra_charge_in_eur,
+  CAST(round(discount) AS DOUBLE) AS discount, CAST(round(increase) AS DOUBLE) AS increase
+FROM adverts
+""")
+oracle("source_bad_rows", """
+SELECT count(*) AS row_count, count(*) FILTER (gearbox IS NULL) AS bad_row_count FROM adverts
+""")
+oracle("source_quotes", "SELECT doc_id, replace(text, '\"', '') AS text, n_chars FROM documents")

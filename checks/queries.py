@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,12 @@ from forecourt.functions.bands import (
 from forecourt.functions.measures import Measure, quantile
 from forecourt.operators.bins import (
     Bin,
+    add_bin,
     axis_values,
     bin_at,
     bin_extent,
     bin_statistics,
+    bins_frame,
     label_bins,
     overlapping,
 )
@@ -32,7 +35,7 @@ from forecourt.operators.filters import ListingFilter, in_range, typed_filter, t
 from forecourt.operators.grouping import aggregate_map, group_measures, row_count
 from forecourt.operators.ordering import distinct_on, distinct_values, sort_by
 from forecourt.plans import estimate as est
-from forecourt.plans.deals import best_deals, search_deals
+from forecourt.plans.deals import MOST_DEALS, best_deals, search_deals
 from forecourt.plans.distribution import distribution, distribution_chart, trim_range
 from forecourt.plans.pivoting import PivotRequest, pivot_chart, pivot_table
 from forecourt.plans.statistics import (
@@ -43,6 +46,7 @@ from forecourt.plans.statistics import (
     summary,
     typed_query,
 )
+from forecourt.sources.readers import bad_lines, parse_lines, strip_quotes
 from forecourt.sources.results import (
     columnar_json,
     dimension_summary,
@@ -98,7 +102,7 @@ FILTERS: dict[str, tuple[ListingFilter, Sequence[str]]] = {
     "filter_engine_empty": (ListingFilter(engine=[], make="Brand#4"), ["engine", "make"]),
     "filter_gearbox": (ListingFilter(gearbox="A"), ["gearbox"]),
     "filter_estimated_price": (
-        ListingFilter(estimated_price=60_000), ["estimated_price_in_eur"]
+        ListingFilter(estimated_price=40_000), ["estimated_price_in_eur"]
     ),
     "filter_price": (ListingFilter(price=90_000), [PRICE]),
     "filter_price_range": (ListingFilter(price_from=20_000, price_to=25_000), [PRICE]),
@@ -132,7 +136,6 @@ FILTERS: dict[str, tuple[ListingFilter, Sequence[str]]] = {
     "search_prefix": (ListingFilter(search="Blue*"), ["title", "equipment"]),
     "search_suffix": (ListingFilter(search="*GEAR"), ["title", "equipment"]),
     "search_star_both": (ListingFilter(search="*bolt*"), ["title", "equipment"]),
-    "search_invalid": (ListingFilter(search="(red"), ["title", "equipment"]),
 }
 
 
@@ -156,16 +159,15 @@ def filter_in_range(spark, sf_dir):
 
 @query
 def filter_typed_all(spark, sf_dir):
-    rows = adverts(spark, sf_dir, ["advert_id", "make", "year", "mileage", PRICE, "cc"])
+    columns = ["advert_id", "gearbox", "save_diff_in_eur", "power", "discount", "created_on"]
     return typed_filter(
-        rows,
-        typed_predicate("Eq", {"make": "Brand#5"}),
-        typed_predicate("Gte", {"mileage": 10_000, PRICE: 10_000, "cc": 2_500}),
-        typed_predicate("Lte", {"mileage": 160_000, PRICE: 50_000}),
-        typed_predicate("Gt", {"year": 1995}),
-        typed_predicate("Lt", {"year": 2000}),
-        F.col("year").isin([1996, 1997, 1998]),
-    )
+        adverts(spark, sf_dir, columns),
+        typed_predicate("Gt", {"save_diff_in_eur": -5_000, "power": 59}),
+        typed_predicate("Lt", {"created_on": dt.date(1999, 3, 14)}),
+        typed_predicate("Eq", {"gearbox": "N"}),
+        typed_predicate("Lte", {"discount": 8.5}),
+        F.col("power").isin([60, 90, 250, 400, 410]),
+    ).select("advert_id", "gearbox", "save_diff_in_eur", "power", "created_on")
 
 
 @query
@@ -218,15 +220,16 @@ def stat_global_ranked(spark, sf_dir):
 
 @query
 def stat_ordered(spark, sf_dir):
+    """A group key and a measured column with nulls, two ways to sort."""
     request = StatRequest(
-        ListingFilter(year_from=1996, year_to=2000),
-        ["make", "gearbox"],
-        ["count", "mean", "median", "std", "avg", "rsd", "quantile_60", "quantile_66",
-         "quantile_75", "quantile_80", "quantile_90", "min", "max"],
-        [("gearbox", False), ("make", True)],
+        ListingFilter(power_from=80, mileage_to=150_000),
+        ["gearbox", "engine", "model"],
+        ["quantile_5", "quantile_33", "rsd", "max", "count", "median", "sum"],
+        [("gearbox", True), ("count", False), ("engine", True), ("model", True)],
+        "estimated_price_in_eur",
     )
-    rows = adverts(spark, sf_dir, ["make", "gearbox", "year", PRICE])
-    return rounded(grouped_statistics(rows, request))
+    columns = ["gearbox", "engine", "model", "power", "mileage", "estimated_price_in_eur"]
+    return rounded(grouped_statistics(adverts(spark, sf_dir, columns), request))
 
 
 @query
@@ -281,19 +284,24 @@ def agg_map_ranked(spark, sf_dir):
 
 @query
 def typed_request(spark, sf_dir):
+    """Predicates of every type, some of which need only one column to hold; null keys and
+    values in the groups; two measured columns."""
     payload = {
-        "group_by": ["source", "year"],
-        "filter_string": [{"Like": [{"make": "Brand#1"}, True]}],
-        "aggregate": {PRICE: ["sum", "min", "max", "mean", "median", {"quantile": 0.25}]},
-        "filter_i32": [
-            {"Gte": [{"mileage": 10_000, PRICE: 10_000, "cc": 500}, True]},
-            {"Lte": [{"mileage": 160_000, PRICE: 80_000}, True]},
-            {"In": ["year", [1996, 1997, 1998]]},
+        "filter_string": [{"Like": [{"title": "*widget", "equipment": "5*"}, False]}],
+        "filter_i32": [{"Lt": [{"cc": 4_100}, True]}, {"In": ["power", [60, 120, 240, 350, 360]]}],
+        "filter_f64": [{"Gte": [{"discount": 0.5, "increase": 3.5}, False]}],
+        "filter_date": [
+            {"Gte": [{"created_on": "1996-03-01"}, True]}, {"Lt": [{"created_on": "2000-07-01"}, True]},
         ],
-        "filter_f64": [{"Gt": [{"discount": 1.5}, True]}],
-        "sort": [{"asc": ["source", True]}, {"desc": ["year", True]}],
+        "group_by": ["gearbox", "model"],
+        "aggregate": {
+            "save_diff_in_eur": ["count", {"quantile": 0.4}, "max"],
+            "mileage": ["mean", "median"],
+        },
+        "sort": [{"desc": ["gearbox", True]}, {"asc": ["model", True]}],
     }
-    columns = ["source", "year", "make", "mileage", "cc", "discount", PRICE]
+    columns = ["title", "equipment", "cc", "power", "discount", "increase", "created_on",
+               "gearbox", "model", "save_diff_in_eur", "mileage"]
     return rounded(typed_query(adverts(spark, sf_dir, columns), payload))
 
 
@@ -325,11 +333,6 @@ def chart_stat_measures(spark, sf_dir):
     return rounded(chart_statistics(adverts(spark, sf_dir, ["year", PRICE]), request))
 
 
-@query
-def chart_stat_no_group(spark, sf_dir):
-    return chart_statistics(adverts(spark, sf_dir, ["advert_id", "make"]), StatRequest())
-
-
 @query
 def summary_all(spark, sf_dir):
     rows = adverts(spark, sf_dir, ["engine", PRICE])
@@ -624,7 +627,7 @@ def deals(spark, sf_dir):
     wanted = ListingFilter(make="Brand#2", year_from=1996, price_to=40_000)
     return rounded(
         search_deals(
-            adverts(spark, sf_dir), wanted, [(PRICE, False), "advert_id"],
+            adverts(spark, sf_dir), wanted, [(PRICE, False), "advert_id"], MOST_DEALS,
             stable_key=["created_on", *ADVERT_COLUMNS],
         )
     )
@@ -633,14 +636,15 @@ def deals(spark, sf_dir):
 @query
 def top_deals(spark, sf_dir):
     order = [("save_diff_in_eur", False), "gearbox", "advert_id"]
-    return rounded(best_deals(adverts(spark, sf_dir), order, ListingFilter(make="Brand#9")))
+    wanted = ListingFilter(make="Brand#9")
+    return rounded(best_deals(adverts(spark, sf_dir), order, wanted, MOST_DEALS))
 
 
 @query
 def top_deals_nulls_last(spark, sf_dir):
     columns = ["advert_id", "make", "gearbox"]
     rows = adverts(spark, sf_dir, columns)
-    return best_deals(rows, [("gearbox", False), "advert_id"], limit=50_000)
+    return best_deals(rows, [("gearbox", False), "advert_id"])
 
 
 def _facet_query(column: str) -> None:
@@ -671,8 +675,11 @@ def distinct_normalised(spark, sf_dir):
 
 @query
 def distinct_pairs(spark, sf_dir):
-    rows = adverts(spark, sf_dir, ["make", "model", "gearbox"])
-    return distinct_on(rows, ["make", "model", "gearbox"])
+    """The third column follows from the first two, whichever row is kept."""
+    rows = adverts(spark, sf_dir, ["make", "model"])
+    return distinct_on(
+        rows.withColumn("spelled", F.upper(F.concat_ws("/", "make", "model"))), ["make", "model"]
+    )
 
 
 # --- estimates -------------------------------------------------------------------------
@@ -793,3 +800,173 @@ def result_grouped(spark, sf_dir):
 def result_whole(spark, sf_dir):
     rows = adverts(spark, sf_dir, ["make", PRICE])
     return whole_numbers(group_measures(rows, ["make"], PRICE, ["mean", "median", "std"]))
+
+
+@query
+def result_hidden(spark, sf_dir):
+    """Listings as one response: the advert's number is marked as hidden."""
+    rows = adverts(spark, sf_dir, ["advert_id", "make", "gearbox", "created_on", PRICE])
+    wanted = ListingFilter(make="Brand#6")
+    return columnar_json(best_deals(rows, [(PRICE, False), "advert_id"], wanted, 7))
+
+
+# --- wide, fractional and mixed types --------------------------------------------------
+
+
+def _wide(spark, sf_dir, *columns: str) -> DataFrame:
+    """Adverts with numbers no double or 32-bit integer holds: ``number`` around 10^15,
+    ``huge`` beyond 2^53; and ``tax``, a price times a fraction."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.select(
+        *columns,
+        (F.lit(10**15) + F.col("l_orderkey") * 1_000_003 + F.col("l_linenumber")).alias("number"),
+        (F.lit(2**53 + 1) + F.col("l_orderkey") * 2).alias("huge"),
+        (F.col("l_extendedprice") * F.col("l_tax")).alias("tax"),
+        F.lit("line").alias("make"),
+    )
+
+
+@query
+def quantile_wide(spark, sf_dir):
+    wanted = ["count", "min", "max", *[quantile(p, f"q{i}", own=True)
+                                       for i, p in enumerate((0.0, 0.1, 0.5, 0.777, 1.0))]]
+    rows = _wide(spark, sf_dir, "l_returnflag")
+    return group_measures(rows, ["l_returnflag"], "number", wanted)
+
+
+@query
+def quantile_double(spark, sf_dir):
+    rows = _wide(spark, sf_dir, "l_returnflag")
+    wanted = ["count", "median", "quantile_1", "quantile_37", "quantile_99"]
+    return rounded(group_measures(rows, ["l_returnflag"], "tax", wanted))
+
+
+@query
+def std_wide(spark, sf_dir):
+    """The deviation with and without a median next to it."""
+    rows = _wide(spark, sf_dir, "l_linestatus")
+    alone = group_measures(rows, ["l_linestatus"], "number", ["std"])
+    beside = group_measures(rows, ["l_linestatus"], "number", [Measure("with_median", "std"), "median"])
+    return alone.join(beside, "l_linestatus").select(
+        "l_linestatus",
+        *[F.round(F.col(c) / 1e6, 4).alias(c) for c in ("std", "with_median")])
+
+
+@query
+def agg_map_mixed_types(spark, sf_dir):
+    rows = _wide(spark, sf_dir, "l_returnflag", "l_linenumber")
+    return rounded(aggregate_map(rows, ["l_returnflag"], {
+        "huge": ["min", "max", "median", "count"], "l_linenumber": ["sum", "max", ("quantile", 0.9)],
+        "tax": ["max", "median"],
+    }))
+
+
+@query
+def dist_fractional(spark, sf_dir):
+    return rounded(distribution(
+        _wide(spark, sf_dir), "tax", 6, trim=False, last_closed=True).bins)
+
+
+@query
+def dist_fractional_quantile(spark, sf_dir):
+    return rounded(distribution(
+        _wide(spark, sf_dir), "tax", 6, kind="quantile", trim=False, last_closed=True).bins)
+
+
+@query
+def dist_wide(spark, sf_dir):
+    bins = distribution(_wide(spark, sf_dir), "number", 7, trim=False, last_closed=True).bins
+    return bins.select("column", "category", "index", "min", "max", "median", "count")
+
+
+@query
+def dist_wide_quantile(spark, sf_dir):
+    bins = distribution(
+        _wide(spark, sf_dir), "number", 7, kind="quantile", trim=False, last_closed=True).bins
+    return bins.select("column", "category", "index", "min", "max", "median", "count")
+
+
+# --- pivots over awkward values --------------------------------------------------------
+
+
+def _awkward(spark, sf_dir):
+    rows = adverts(spark, sf_dir, ["make", "year", "engine", "discount", PRICE])
+    dotted = F.concat(F.lit("1."), F.substring("engine", 1, 1), F.lit(" `x`"))
+    return rows.select("make", "year", dotted.alias("engine"),
+                       F.round("discount").alias("discount"), PRICE)
+
+
+@query
+def pivoted_dotted(spark, sf_dir):
+    request = _pivot_request(["make", "engine"], "count", "engine", ["make"])
+    return pivot_table(_awkward(spark, sf_dir), request)
+
+
+@query
+def pivoted_float(spark, sf_dir):
+    request = _pivot_request(["year", "discount"], "max", "discount", ["year"])
+    return pivot_table(_awkward(spark, sf_dir), request)
+
+
+@query
+def pivot_series_tall(spark, sf_dir):
+    request = _pivot_request(["year", "engine"], "min", "engine", x_column="year",
+                             listing_filter=ListingFilter(make="Brand#3"))
+    return pivot_chart(_awkward(spark, sf_dir), request).series
+
+
+# --- bins out of the data --------------------------------------------------------------
+
+
+@query
+def bins_of_years(spark, sf_dir):
+    """A bin per year that occurs, one more put in before them, as a table."""
+    rows = adverts(spark, sf_dir, ["year"])
+    years = [r.year for r in rows.select("year").distinct().orderBy("year").collect()]
+    bins = add_bin([Bin(y, y + 1, f"in {y}") for y in years], Bin(1900, years[0], "before"))
+    frame = bins_frame(spark, "year", bins)
+    counted = rows.groupBy(F.col("year").alias("start")).count()
+    return frame.join(counted, "start", "left").select(
+        "column", "start", "end", "category", "index", F.coalesce("count", F.lit(0)).alias("adverts"))
+
+
+# --- delimited text --------------------------------------------------------------------
+
+PRICE_FIELDS = (
+    "make", "model", "year", "engine", "gearbox", "power", "mileage", "cc", None, None,
+    PRICE, "estimated_price_in_eur", "save_diff_in_eur", None, "discount", "increase",
+)
+
+
+def _lines(spark, sf_dir, year=None):
+    """Adverts as lines of the price files; ``year`` takes the place of the year."""
+    rows = adverts(spark, sf_dir, [c for c in PRICE_FIELDS if c])
+    rows = rows.withColumns({c: F.round(c).cast("int") for c in ("discount", "increase")})
+    fields = [
+        F.lit("") if c is None
+        else F.coalesce((year if c == "year" and year is not None else F.col(c)).cast("string"),
+                        F.lit(""))
+        for c in PRICE_FIELDS
+    ]
+    return rows.select(F.concat_ws(";", *fields).alias("line"))
+
+
+@query
+def source_parsed(spark, sf_dir):
+    return rounded(parse_lines(_lines(spark, sf_dir), "line", "prices"))
+
+
+@query
+def source_bad_rows(spark, sf_dir):
+    bad = F.when(F.col("gearbox").isNull(), F.lit("n/a")).otherwise(F.col("year").cast("string"))
+    found = parse_lines(_lines(spark, sf_dir, bad), "line", "prices", keep_corrupt=True)
+    return bad_lines(found).select("row_count", "bad_row_count")
+
+
+@query
+def source_quotes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    marked = docs.select("doc_id", F.replace("text", F.lit(" a"), F.lit(' "a"')).alias("text"), "n_chars")
+    return strip_quotes(marked)
+
+

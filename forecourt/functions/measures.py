@@ -28,7 +28,7 @@ SIMPLE = {
     "avg": "{total} div nullif({count}, 0)",
     "std": "{std}",
     "rsd": "try_divide({std}, {mean})",
-    "rsd_percent": "try_divide({std} * 100, cast({mean} AS int))",
+    "rsd_percent": "try_divide({std} * 100, try_cast({mean} AS bigint))",
     "rsd_whole": "cast(try_divide({std} * 100, {mean}) AS int)",
 }
 FRACTIONAL_AVG = "try_divide({total}, {count})"
@@ -43,11 +43,15 @@ MOMENTS = {
 
 @dataclass(frozen=True)
 class Measure:
-    """A measure and the name its result goes by; ``fraction`` only for quantiles."""
+    """A measure and the name its result goes by; ``fraction`` only for quantiles.
+
+    ``own`` asks for a quantile in the type of the column instead of a double.
+    """
 
     name: str
     kind: str
     fraction: float | None = None
+    own: bool = False
 
     @property
     def ranked(self) -> bool:
@@ -66,10 +70,10 @@ def measure(name: str) -> Measure:
     )
 
 
-def quantile(fraction: float, name: str) -> Measure:
+def quantile(fraction: float, name: str, own: bool = False) -> Measure:
     if not 0 <= fraction <= 1:
         raise ValueError(f"quantile fraction {fraction} is outside 0..1")
-    return Measure(name, "quantile", fraction)
+    return Measure(name, "quantile", fraction, own)
 
 
 def measures(names: Iterable[str | Measure]) -> list[Measure]:
@@ -199,9 +203,7 @@ def moments(sums: Iterable[str], dtype: DataType) -> dict[str, str]:
             f" - power(cast({rest} AS double), 2) / nullif(fc_n, 0)"
         )
     else:
-        # A total beyond 64 bits is an error where it is asked for, as in Spark's own sum.
-        total = "cast(fc_sum AS bigint)" if is_whole(dtype) else "fc_sum"
-        found = {"fc_total": total, "fc_mean": "cast(fc_sum AS double) / nullif(fc_n, 0)"}
+        found = {"fc_total": "fc_sum", "fc_mean": "cast(fc_sum AS double) / nullif(fc_n, 0)"}
         spread = "fc_squares - fc_shift * fc_shift / nullif(fc_n, 0)"
     if "fc_squares" in sums:
         found["fc_std"] = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from forecourt.functions.measures import Measure, quoted
+from forecourt.functions.measures import Measure, is_whole, quoted
 from forecourt.operators.filters import require_columns
 from forecourt.operators.ranks import COUNT, VALUE, measures_of_counts, value_counts
 
@@ -145,19 +145,32 @@ def statistics_of_bins(
     Values in no bin count as none instead of being filtered away: the filter would
     sink to the listings and be evaluated per listing instead of per distinct value.
     """
-    binned = counts.select(place.alias("index"), VALUE, COUNT).selectExpr(
-        "index", VALUE, f"CASE WHEN index IS NULL THEN 0 ELSE {COUNT} END AS {COUNT}"
+    return measured_bins(counts, column, dtype, place, F.get(categories, place))
+
+
+def measured_bins(
+    counts: DataFrame, column: str, dtype: DataType, place: Column, category: Column
+) -> DataFrame:
+    """Measures of value counts per bin, given each value's place and category.
+
+    Medians of whole numbers are whole, those of others doubles.
+    """
+    binned = counts.select(
+        place.alias("index"), category.alias("category"), VALUE, COUNT
+    ).selectExpr(
+        "index", "category", VALUE, f"CASE WHEN index IS NULL THEN 0 ELSE {COUNT} END AS {COUNT}"
     )
     measured = measures_of_counts(
-        binned, ["index"], dtype, BIN_MEASURES, keep_empty=False, few_keys=True
+        binned, ["index", "category"], dtype, BIN_MEASURES, keep_empty=False, few_keys=True
     )
+    median = F.col("median").cast(dtype) if is_whole(dtype) else F.col("median")
     return measured.select(
         F.lit(column).alias("column"),
-        F.get(categories, F.col("index")).alias("category"),
+        "category",
         "index",
         "min",
         "max",
-        F.col("median").cast("int").alias("median"),
+        median.alias("median"),
         "count",
         "mean",
         "rsd",

@@ -46,8 +46,10 @@ def group_measures(
         return df.groupBy(*keys).agg(
             *[_over_rows(m, column, dtype, accuracy) for m in found]
         )
-    counts = value_counts(df, keys, column)
-    return measures_of_counts(counts, keys, dtype, found)
+    measured = measures_of_counts(value_counts(df, keys, column), keys, dtype, found)
+    # A total beyond 64 bits is an error where it is asked for, as in Spark's own sum.
+    totals = [m.name for m in found if m.kind == "sum" and isinstance(dtype, LongType)]
+    return measured.withColumns({t: F.col(t).cast("bigint") for t in totals})
 
 
 def _over_rows(m: Measure, column: str, dtype: DataType, accuracy: int) -> Column:

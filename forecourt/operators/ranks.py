@@ -99,7 +99,8 @@ def measures_of_counts(
 ) -> DataFrame:
     """Measures per key of a value-count table; without keys always one row.
 
-    A key whose values are all null keeps its row, with count 0, if ``keep_empty``.
+    Sums of 64-bit integers come as decimals, which the caller narrows. A key whose values are
+    all null keeps its row, with count 0, if ``keep_empty``.
     The table is read twice, in the same shape, so that Spark reuses its exchange.
     ``few_keys`` says that the keys are a short list fixed by the caller: the slices to
     look into, at most one per key and rank, are then broadcast.
@@ -130,12 +131,11 @@ def measures_of_counts(
         found AS (
           SELECT {keyed}{_aliased(sums)} FROM {source} {_grouped_by(keyed)}
         )"""
-    needed = {k: v for k, v in moments(sums, dtype).items()
-              if k != "fc_total" or any(m.kind in ("sum", "avg") for m in wanted)}
-
     def result(m: Measure) -> str:
         if not m.ranked:
             return of_moments(m, dtype)
+        if m.own:
+            return ranks[m.name][0]
         picks = " + ".join(f"cast({r} AS double)" for r in ranks[m.name])
         return f"({picks}) / {len(ranks[m.name])}"
 
@@ -151,7 +151,7 @@ def measures_of_counts(
     return counts.sparkSession.sql(
         f"""
         WITH {steps}{more},
-        moments AS (SELECT *{_more(needed)} FROM found)
+        moments AS (SELECT *{_more(moments(sums, dtype))} FROM found)
         SELECT {restored}{results} FROM moments
         """,
         sliced=sliced,

@@ -1,8 +1,8 @@
 """Outlier-trimmed distributions over equal-width or equal-frequency bins.
 
-Everything is derived from one table of value counts, so the listings are scanned and
-shuffled once and bins are assigned to distinct values. Only the bounds and the cut
-points, a handful of numbers, pass through the driver: they define the next step.
+Everything is one lazy plan over one table of value counts, so the listings are scanned
+once and bins are assigned to distinct values. Bounds and cut points enter as scalar
+subqueries; nothing is run, fetched or cached while a distribution is built.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from forecourt.functions.measures import Measure, quantile
-from forecourt.operators.bins import Bin, bin_index, bins_array, statistics_of_bins
+from forecourt.functions.measures import Measure, is_whole, quantile
+from forecourt.operators.bins import Bin, measured_bins
 from forecourt.operators.filters import ListingFilter, require_columns
 from forecourt.operators.ranks import COUNT, VALUE, measures_of_counts, value_counts
 from forecourt.plans.statistics import SUMMARY_MEASURES, even_quantiles, with_quantile_list
@@ -26,26 +26,28 @@ Kind = Literal["interval", "quantile"]
 
 # More rows than this, trimmed to these two quantiles.
 TRIM_TIERS = ((1000, 0.0005, 0.995), (500, 0.03, 0.97), (50, 0.05, 0.95))
+Tiers = Sequence[tuple[int, float, float]]
 
 
-def _trimmed_bounds(counts: DataFrame, dtype: DataType) -> DataFrame:
-    """One row: full and trimmed bounds, relative deviation and count."""
+def _trimmed_bounds(counts: DataFrame, dtype: DataType, tiers: Tiers) -> DataFrame:
+    """One row: full and trimmed bounds in the column's type, relative deviation and count."""
     wanted = [
         Measure("orig_start", "min"),
         Measure("orig_end", "max"),
         Measure("rsd", "rsd_percent"),
         Measure("count", "count"),
     ]
-    for size, low, high in TRIM_TIERS:
-        wanted += [quantile(low, f"low_{size}"), quantile(high, f"high_{size}")]
+    for size, low, high in tiers:
+        wanted += [quantile(low, f"low_{size}", own=True), quantile(high, f"high_{size}", own=True)]
 
     def tiered(side: str, full: str) -> str:
-        tiers = " ".join(f"WHEN count > {size} THEN {side}_{size}" for size, _, _ in TRIM_TIERS)
-        return f"cast(CASE {tiers} ELSE {full} END AS int)"
+        largest_first = sorted(tiers, reverse=True)
+        arms = " ".join(f"WHEN count > {size} THEN {side}_{size}" for size, _, _ in largest_first)
+        return f"CASE {arms} ELSE {full} END" if arms else full
 
     return measures_of_counts(counts, [], dtype, wanted).selectExpr(
-        "cast(orig_start AS int) AS orig_start",
-        "cast(orig_end AS int) AS orig_end",
+        "orig_start",
+        "orig_end",
         "rsd",
         "count",
         f"{tiered('low', 'orig_start')} AS start",
@@ -58,31 +60,27 @@ def trim_range(
     column: str,
     listing_filter: ListingFilter = ListingFilter(),
     as_of: dt.date | None = None,
+    tiers: Tiers = TRIM_TIERS,
 ) -> DataFrame:
     """One row with the column's range without outliers.
 
-    The more rows, the less is cut off; 50 rows or fewer keep their full range.
+    ``tiers`` are (rows, low, high): with more rows than the first that applies, largest
+    first, the range is that between these two quantiles; with fewer than all, it is whole.
+    By default, the more rows, the less is cut off, and 50 rows or fewer keep their range.
     """
     require_columns(df, [column])
     counts = value_counts(listing_filter.apply(df, as_of), [], column)
-    bounds = _trimmed_bounds(counts, df.schema[column].dataType)
+    bounds = _trimmed_bounds(counts, df.schema[column].dataType, tiers)
     return bounds.select(F.lit(column).alias("column"), "*")
 
 
 @dataclass(frozen=True)
 class Distribution:
-    """Per-bin measures, overall measures, and the edges between bins.
-
-    The two tables share value counts, which stay cached until ``release``.
-    """
+    """Per-bin measures, overall measures, and one row with the edges between bins."""
 
     bins: DataFrame
     summary: DataFrame
-    edges: list[int]
-    counts: DataFrame
-
-    def release(self) -> None:
-        self.counts.unpersist()
+    edges: DataFrame
 
 
 def equal_width_bins(start: int, end: int, n: int) -> list[Bin]:
@@ -103,6 +101,54 @@ def bins_between(cuts: Sequence[int]) -> list[Bin]:
     ]
 
 
+def _interval_places(
+    n: int, last_closed: bool, dtype: DataType, x: Column
+) -> tuple[Column, Column, Column]:
+    """Index and category of a value in n equal bins, and the edges, over ``fc_bounds``."""
+    start, end = F.col("fc_bounds.start"), F.col("fc_bounds.end")
+    last = F.lit(n - 1)
+    if is_whole(dtype):
+        step = F.call_function("div", end.cast("decimal(20,0)") - start, F.lit(n))
+        place = F.call_function("div", x.cast("decimal(20,0)") - start, step)
+        edge = lambda i: (start + i * step).cast(dtype)
+    else:
+        step = (end - start) / n
+        place = F.floor((x - start) / step)
+        edge = lambda i: (start + i * step).cast(dtype)
+    beyond = last if last_closed else F.lit(None)
+    index = F.when(step == 0, 0).when(place < n, place).otherwise(beyond).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: edge(i))
+    if last_closed:
+        ends = F.concat(F.slice(ends, 1, n), F.array(end))
+    edges = F.when(start.isNull(), F.array().cast(ends_type(dtype))).when(
+        step == 0, F.array_distinct(F.array(start, end))).otherwise(ends)
+    return index, index.cast("string"), edges
+
+
+def ends_type(dtype: DataType) -> str:
+    return f"array<{dtype.simpleString()}>"
+
+
+def _quantile_places(
+    n: int, last_closed: bool, dtype: DataType, x: Column
+) -> tuple[Column, Column, Column]:
+    """Index and category of a value between the n + 1 ``fc_cuts``, and the edges."""
+    cuts = F.col("fc_cuts")
+    wide = F.filter(
+        F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(cuts, i - 1) < F.get(cuts, i))
+    number = F.size(F.filter(cuts, lambda c: c <= x))
+    closed = F.when(F.size(wide) > 0, F.array_max(wide)).otherwise(n)
+    number = F.when(number <= n, number)
+    if last_closed:
+        number = F.coalesce(number, closed)
+    index = F.size(F.filter(wide, lambda i: i < number))
+    edges = F.array_distinct(F.filter(cuts, lambda c: c.isNotNull()))
+    if not last_closed:
+        # Without a bin that has any width there are no edges.
+        edges = F.when(F.size(wide) > 0, edges).otherwise(F.array().cast(ends_type(dtype)))
+    return F.when(number.isNotNull(), index).cast("int"), number.cast("string"), edges
+
+
 def distribution(
     df: DataFrame,
     column: str,
@@ -112,13 +158,14 @@ def distribution(
     listing_filter: ListingFilter = ListingFilter(),
     last_closed: bool = False,
     as_of: dt.date | None = None,
+    tiers: Tiers = TRIM_TIERS,
 ) -> Distribution:
-    """Split the filtered column into n bins of equal width or equal frequency.
+    """Split the filtered column, of any numeric type, into n bins of equal width or frequency.
 
     ``trim`` cuts outliers off first. Bins are half-open: values at the very end are in
-    no bin, and equal-width bins have a whole step, so a remainder at the top is in
-    none either. ``last_closed`` puts both into the last bin. Where the range is
-    narrower than the bins are many, there is one equal-width bin, closed.
+    no bin, and equal-width bins of whole numbers have a whole step, so a remainder at the
+    top is in none either. ``last_closed`` puts both into the last bin. Where the range is
+    narrower than the bins are many (or has no width), there is one equal-width bin, closed.
     """
     if n < 2:
         raise ValueError("at least two bins are required")
@@ -126,37 +173,27 @@ def distribution(
         raise ValueError(f"unknown kind of distribution {kind!r}")
     require_columns(df, [column])
     dtype = df.schema[column].dataType
-    # Cached, as every step reads it; a lost piece is counted again from the listings.
-    counts = value_counts(listing_filter.apply(df, as_of), [], column)
-    counts = counts.select(VALUE, COUNT).persist()
-
+    counts = value_counts(listing_filter.apply(df, as_of), [], column).select(VALUE, COUNT)
     if trim:
-        start, end = _trimmed_bounds(counts, dtype).select("start", "end").first()
+        found = _trimmed_bounds(counts, dtype, tiers)
     else:
-        start, end = counts.selectExpr(
-            f"cast(min({VALUE}) AS int)", f"cast(max({VALUE}) AS int)"
-        ).first()
-    inside = counts.filter(F.col(VALUE).between(F.lit(start), F.lit(end)))
-    wanted = [*SUMMARY_MEASURES, *even_quantiles(n)]
-    whole = measures_of_counts(inside, [], dtype, wanted)
-
-    if start is None:
-        bins = []
-    elif kind == "interval":
-        bins = equal_width_bins(start, end, n)
-        last_closed = last_closed or len(bins) == 1
-    else:
-        cuts = whole.select("min", *[m.name for m in even_quantiles(n)]).first()
-        bins = bins_between([int(c) for c in cuts])
-    if last_closed and start is not None:
-        bins = bins or [Bin(start, end, str(n))]
-        bins[-1] = bins[-1]._replace(end=end)
-
-    measured = statistics_of_bins(
-        inside, column, dtype, bin_index(VALUE, bins, last_closed), bins_array(bins)
-    )
-    edges = sorted({e for b in bins for e in (b.start, b.end)})
-    return Distribution(measured, with_quantile_list(whole, column, n), edges, counts)
+        found = counts.agg(F.min(VALUE).alias("start"), F.max(VALUE).alias("end"))
+    bounds = found.select(F.struct("start", "end").alias("b")).scalar()
+    inside = counts.filter(F.col(VALUE).between(bounds["start"], bounds["end"]))
+    whole = measures_of_counts(inside, [], dtype, [*SUMMARY_MEASURES, *even_quantiles(n)])
+
+    given = [bounds.alias("fc_bounds")]
+    places = _interval_places
+    if kind == "quantile":
+        places = _quantile_places
+        own = [quantile(m.fraction, m.name, own=True) for m in even_quantiles(n)]
+        cuts = measures_of_counts(inside, [], dtype, [Measure("min", "min"), *own])
+        cuts = cuts.select(F.array("min", *[m.name for m in own]).alias("cuts")).scalar()
+        given.append(cuts.alias("fc_cuts"))
+    index, category, edges = places(n, last_closed, dtype, F.col(VALUE))
+    bins = measured_bins(inside.select("*", *given), column, dtype, index, category)
+    edge_row = df.sparkSession.range(1).select(*given).select(edges.alias("edges"))
+    return Distribution(bins, with_quantile_list(whole, column, n), edge_row)
 
 
 def distribution_chart(parts: Distribution, column: str) -> DataFrame:
@@ -166,7 +203,7 @@ def distribution_chart(parts: Distribution, column: str) -> DataFrame:
     Means, medians and deviations are whole numbers.
     """
     entries = parts.bins.selectExpr(
-        "struct(index, column, category, min, max, median, count,"
+        "struct(index, column, category, min, max, bigint(median) AS median, count,"
         " bigint(mean) AS mean, bigint(rsd) AS rsd) AS entry"
     ).agg(
         F.transform(
@@ -176,7 +213,7 @@ def distribution_chart(parts: Distribution, column: str) -> DataFrame:
     return parts.summary.select(
         F.lit(column).alias("axis_label"),
         F.lit("stat_category").alias("data_label"),
-        F.array(*[F.lit(e) for e in parts.edges]).cast("array<int>").alias("axis_values"),
+        parts.edges.scalar().alias("axis_values"),
         "min",
         "max",
         F.col("median").cast("int").alias("median"),

@@ -191,7 +191,6 @@ def alternative_estimates(
 
 # --- batch ---------------------------------------------------------------------
 
-TEXTS = ("make", "model", "gearbox", "engine")
 NUMBERS = ("year", "cc")
 BANDED = {"mileage": MILEAGE_BANDS, "power": POWER_BANDS}
 FOUND = "found"

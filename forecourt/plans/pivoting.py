@@ -98,7 +98,7 @@ def pivot_chart(
     """Labels of the x axis and one series per pivot value.
 
     Group columns other than x, the second x and the pivot are combined. Without a pivot
-    column, the other group columns make up the series.
+    column, the other group columns make up the series. Building a chart runs no query.
     """
     request.check()
     if request.x_column is None:
@@ -120,12 +120,10 @@ def pivot_chart(
     )
     grouped = grouped_statistics(df, unsorted, as_of)
     require_columns(grouped, [*base, request.pivot_column])
-    wide = p.pivot(
-        grouped,
-        base,
-        request.pivot_column,
-        request.y_function,
-        request.pivot_values(df, as_of),
-        request.cell,
+    return Chart(
+        p.labels(grouped, x),
+        p.cell_series(
+            grouped, base, request.pivot_column, request.y_function, request.values,
+            request.cell,
+        ),
     )
-    return Chart(p.labels(wide, x), p.series(wide, base))

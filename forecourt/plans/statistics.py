@@ -148,10 +148,11 @@ def price_band_distribution(
     df: DataFrame,
     column: str = DEFAULT_STAT_COLUMN,
     listing_filter: ListingFilter | None = None,
+    as_of: dt.date | None = None,
 ) -> DataFrame:
     """Count, mean, median and relative deviation, all whole, per fixed price band."""
     require_columns(df, [column])
-    listings = listing_filter.apply(df) if listing_filter else df
+    listings = listing_filter.apply(df, as_of) if listing_filter else df
     banded = listings.select(
         price_band(column).alias("price_breakdown"),
         price_band_order(column).alias("price_breakdown_order"),

@@ -23,6 +23,12 @@ def _schema_of(dataset: str | StructType) -> StructType:
     return DATASETS[dataset]
 
 
+def _options(mode: str = "PERMISSIVE") -> dict[str, str]:
+    """How a delimited line is parsed, from a file or a column."""
+    return {"sep": SEPARATOR, "dateFormat": DATE_FORMAT, "mode": mode,
+            "columnNameOfCorruptRecord": CORRUPT}
+
+
 def read_csv(
     spark: SparkSession,
     dataset: str | StructType,
@@ -41,20 +47,39 @@ def read_csv(
     return spark.read.csv(
         [paths] if isinstance(paths, str) else list(paths),
         schema=schema,
-        sep=SEPARATOR,
         header=True,
-        dateFormat=DATE_FORMAT,
-        mode=mode,
-        columnNameOfCorruptRecord=CORRUPT,
+        **_options(mode),
     )
 
 
+def parse_lines(
+    df: DataFrame,
+    column: str,
+    dataset: str | StructType,
+    mode: str = "PERMISSIVE",
+    keep_corrupt: bool = False,
+) -> DataFrame:
+    """Parse a column of ``;``-separated lines as ``read_csv`` parses files.
+
+    ``mode`` is PERMISSIVE or FAILFAST. ``keep_corrupt`` adds the raw text of bad lines.
+    """
+    schema = _schema_of(dataset)
+    if keep_corrupt:
+        schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return df.select(F.from_csv(column, ddl, _options(mode)).alias("fields")).select("fields.*")
+
+
 def count_bad_rows(
     spark: SparkSession, dataset: str | StructType, paths: str | Sequence[str]
 ) -> DataFrame:
     """One row: how many rows the files hold, how many do not fit the schema, and a
     check sum of all fields."""
-    rows = read_csv(spark, dataset, paths, keep_corrupt=True)
+    return bad_lines(read_csv(spark, dataset, paths, keep_corrupt=True))
+
+
+def bad_lines(rows: DataFrame) -> DataFrame:
+    """The same for rows that have been parsed with ``keep_corrupt``."""
     # Whether a row fits is only known once every field is parsed, so no field may be
     # left out of the scan: a check sum over all of them stays in the result.
     fields = [F.col(c) for c in rows.columns if c != CORRUPT]

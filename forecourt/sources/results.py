@@ -1,7 +1,9 @@
 """Results in the shape clients expect.
 
-Row results stay tables. The shapes here gather a *small* result into one row, and
-refuse one that is not small; larger results are written with ``write_json``.
+Row results stay tables, and so do ``series_lists`` (a row per series) and
+``dimension_summary`` (a row per dimension). The shapes that are one JSON text are for
+answers that have been aggregated: they hold the whole table in one row. Other results
+are written with ``write_json``.
 """
 
 from __future__ import annotations
@@ -16,25 +18,21 @@ from forecourt.functions.text import text_or
 from forecourt.operators.filters import require_columns
 from forecourt.sources.schemas import visible_columns
 
-MOST_ROWS = 10_000
 
-
-def _gathered(df: DataFrame, most: int) -> DataFrame:
-    """One row holding the list of all rows in their order; fails above ``most``."""
+def _gathered(df: DataFrame) -> DataFrame:
+    """One row holding the list of all rows in their order."""
     position = F.monotonically_increasing_id()
-    rows = df.limit(most + 1).select(position.alias("fc_at"), F.struct("*").alias("row"))
+    rows = df.select(position.alias("fc_at"), F.struct("*").alias("row"))
     listed = rows.agg(
-        F.array_sort(F.collect_list(F.struct("fc_at", "row"))).alias("rows")
-    )
-    too_many = F.raise_error(F.lit(f"more than {most} rows do not fit one response"))
-    return listed.select(
-        F.when(F.size("rows") > most, too_many)
-        .otherwise(F.transform("rows", lambda r: r["row"]))
-        .alias("rows")
+        F.array_sort(
+            F.collect_list(F.struct("fc_at", "row")),
+            lambda a, b: F.when(a["fc_at"] < b["fc_at"], -1).otherwise(1),
+        ).alias("rows")
     )
+    return listed.select(F.transform("rows", lambda r: r["row"]).alias("rows"))
 
 
-def columnar_json(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+def columnar_json(df: DataFrame) -> DataFrame:
     """One JSON text: the row count, one list per column, and column metadata.
 
     A null text is ``""``, a null number ``null``, a date its ISO form.
@@ -64,7 +62,7 @@ def columnar_json(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
         *[listed(c) for c in df.columns],
         metadata.alias("metadata"),
     )
-    return _gathered(df, most).select(
+    return _gathered(df).select(
         F.to_json(body, {"ignoreNullFields": "false"}).alias("json")
     )
 
@@ -85,9 +83,7 @@ def dimension_summary(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     ).select("dimension", places[F.col("dimension")].alias("column_index"), "distinct_count")
 
 
-def grouped_response(
-    df: DataFrame, dimensions: Sequence[str], most: int = MOST_ROWS
-) -> DataFrame:
+def grouped_response(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """One row with metadata, dimensions, measures and the total of a grouped table."""
     require_columns(df, dimensions)
     measures = [c for c in df.columns if c not in dimensions]
@@ -109,7 +105,7 @@ def grouped_response(
             data.alias("data"),
         )
 
-    return _gathered(rows, most).select(
+    return _gathered(rows).select(
         metadata.alias("metadata"),
         F.array(*[dimension(i, d) for i, d in enumerate(dimensions)]).alias("dimensions"),
         F.transform(
@@ -119,13 +115,11 @@ def grouped_response(
     )
 
 
-def series_lists(series: DataFrame, x: str, most: int = MOST_ROWS) -> DataFrame:
-    """One row per series with its points in order of x; fails above ``most`` points."""
+def series_lists(series: DataFrame, x: str) -> DataFrame:
+    """One row per series with its points in order of x."""
     require_columns(series, ["label", x, "value"])
-    points = _gathered(series.select("label", x, "value"), most)
     return (
-        points.select(F.inline("rows"))
-        .groupBy("label")
+        series.groupBy("label")
         .agg(F.array_sort(F.collect_list(F.struct(x, "value"))).alias("points"))
     )
 

@@ -108,13 +108,12 @@ def counts(parts):
 def test_distribution_remainder_and_closing(prices):
     df = prices(range(12))
     parts = distribution(df, "price_in_eur", 3, trim=False)
-    assert parts.edges == [0, 3, 6, 9]
+    assert parts.edges.first()["edges"] == [0, 3, 6, 9]
     assert counts(parts) == [("0", 3), ("1", 3), ("2", 3)]
     assert parts.summary.first()["count"] == 12
-    parts.release()
     closed = distribution(df, "price_in_eur", 3, trim=False, last_closed=True)
     assert counts(closed) == [("0", 3), ("1", 3), ("2", 6)]
-    assert closed.edges == [0, 3, 6, 11]
+    assert closed.edges.first()["edges"] == [0, 3, 6, 11]
 
 
 def test_tied_quantiles_make_no_bin(prices):

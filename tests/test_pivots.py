@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from forecourt.operators.ordering import first_rows, sort_by, top_k
 from forecourt.operators.facets import distinct_spellings, facet, models_of
-from forecourt.operators.pivot import pivot, pivot_values, series
+from forecourt.operators.pivot import cell_series, pivot, pivot_values, series
 from forecourt.plans.deals import best_deals, search_deals
 from forecourt.plans.pivoting import PivotRequest, pivot_chart, pivot_table
 from forecourt.plans.statistics import StatRequest, chart_statistics
@@ -42,7 +42,7 @@ def test_pivot_table_fills_gaps_in_value_columns_only(listings):
 
 
 def test_null_pivot_values_have_a_column(listings):
-    assert pivot_values(listings, "gearbox") == ["Automatic", "Manual", None]
+    assert pivot_values(listings, "gearbox") == ["Automatic", "Manual", "null"]
     request = PivotRequest(StatRequest(group=["year", "gearbox"], aggregators=["count"], order=["year"]), "count", "gearbox")
     wide = pivot_table(listings, request)
     assert wide.columns == ["year", "Automatic", "Manual", "null"]
@@ -54,9 +54,29 @@ def test_given_values_need_no_query_and_choose_columns(listings):
     assert pivot_table(listings, request).columns == ["year", "make", "Petrol"]
 
 
-def test_too_many_pivot_values_are_refused(listings):
-    with pytest.raises(ValueError, match="more than 2 values"):
-        pivot_values(listings, "year", most=2)
+def test_pivot_values_may_be_dotted_fractional_or_bigger_than_double(spark):
+    rows_ = [("x", "1.6 TDI", 0.1, 1e7, 2**53 + 1), ("x", "2.0", 2.5, 1.5, 3), ("y", "a`b", 0.1, 1e7, 3)]
+    df = spark.createDataFrame(rows_, "i string, name string, f float, d double, n bigint")
+    df = df.withColumn("v", F.lit(1))
+    for column, names in (("name", ["1.6 TDI", "2.0", "a`b"]), ("f", ["0.1", "2.5"]),
+                          ("d", ["1.5", "1.0E7"]), ("n", ["3", "9007199254740993"])):
+        wide = pivot(df, ["i"], column, "v", pivot_values(df, column)).orderBy("i")
+        assert wide.columns == ["i", *names]
+        assert sum(sum(r[1:]) for r in wide.collect()) == 3
+        long_form = {(r.i, r.label): r.value for r in cell_series(df, ["i"], column, "v").collect()}
+        assert long_form == {(r.i, n): float(r[n]) for r in wide.collect() for n in names}
+    given = pivot(df, ["i"], "d", "v", [1e7, 1.5, "1.0E7"][:2]).orderBy("i")
+    assert given.columns == ["i", "1.0E7", "1.5"] and given.first()["1.0E7"] == 1
+
+
+def test_names_that_clash_are_refused(listings):
+    df = listings.withColumns({"label": F.lit(1), "year2": F.lit("make")})
+    with pytest.raises(ValueError, match="index columns: make"):
+        pivot(df, ["make"], "year2", "cc", ["make"])
+    with pytest.raises(ValueError, match="label"):
+        cell_series(df, ["label"], "make", "cc")
+    with pytest.raises(ValueError, match="label"):
+        series(df.select("label", "cc"), ["label"])
 
 
 def test_cells_combine_collapsed_groups(listings):
@@ -171,11 +191,12 @@ def test_columnar_json(spark):
     assert found["metadata"][1] == {"column_name": "n", "column_index": 1, "column_dtype": "int", "visible": True}
 
 
-def test_large_results_do_not_fit_one_response(spark):
-    df = spark.range(11).orderBy("id")
-    assert json.loads(columnar_json(df, most=11).first()["json"])["id"] == list(range(11))
-    with pytest.raises(PySparkException, match="more than 10 rows"):
-        columnar_json(df, most=10).collect()
+def test_responses_have_no_cap_and_keep_the_order(spark):
+    df = spark.range(12_345).orderBy(F.desc("id"))
+    assert json.loads(columnar_json(df).first()["json"])["id"] == list(range(12_344, -1, -1))
+    points = df.select(F.lit("a").alias("label"), F.col("id").alias("x"), F.lit(1.0).alias("value"))
+    row, = series_lists(points, "x").collect()
+    assert [p.x for p in row.points] == list(range(12_345))
 
 
 def test_grouped_response(listings):

@@ -10,6 +10,7 @@ from forecourt.operators.filters import ListingFilter
 from forecourt.operators.grouping import group_measures
 from forecourt.plans.distribution import distribution
 from forecourt.plans.estimate import estimate_prices
+from forecourt.plans.pivoting import PivotRequest, pivot_chart
 from forecourt.plans.statistics import StatRequest, grouped_statistics, summary
 from forecourt.sources.readers import read_parquet
 from forecourt.sources.writers import write_parquet
@@ -123,11 +124,53 @@ def test_batch_never_pairs_a_hot_model(spark):
     assert metrics and max(metrics) <= 2 * n
 
 
-def test_a_distribution_counts_the_listings_once(parquet):
-    parts = distribution(parquet, "price_in_eur", 4, kind="quantile")
-    for part in (parts.bins, parts.summary):
-        plan = planned(part)
-        assert "InMemoryTableScan" in plan
-    assert parts.counts.storageLevel.useMemory
-    parts.release()
-    assert not parts.counts.storageLevel.useMemory
+def jobs_run(spark, build):
+    """How many jobs building a query runs."""
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    built = build()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before, built
+
+
+@pytest.mark.parametrize("kind", ["interval", "quantile"])
+def test_a_distribution_is_one_lazy_plan(spark, parquet, kind):
+    n, parts = jobs_run(spark, lambda: distribution(parquet, "price_in_eur", 4, kind=kind))
+    assert n == 0
+    plan = executed(parts.bins)
+    assert scans(plan) == 1 and "InMemoryTableScan" not in plan
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_a_chart_is_built_without_a_query(spark, parquet):
+    stat = StatRequest(group=["year", "engine"], aggregators=["avg"])
+    request = PivotRequest(stat, "avg", "engine", x_column="year")
+    n, chart = jobs_run(spark, lambda: pivot_chart(parquet, request))
+    assert n == 0
+    plan = planned(chart.series)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_wide_values_are_ordered_in_small_parts(spark):
+    """Consecutive microseconds, large doubles: no part holds more than a few thousand values."""
+    for kind, low in (("bigint", 1_700_000_000_000_000), ("double", 1e13), ("double", 1e200)):
+        step = 1 if low < 1e100 else 1e195
+        df = spark.range(60_000).selectExpr(f"cast({low!r} + id * {step!r} AS {kind}) AS x")
+        found = group_measures(df, [], "x", ["median", "quantile_10"])
+        row = found.first()
+        assert abs(row["quantile_10"] - (low + 6000 * step)) <= abs(step)
+        plan = found._jdf.queryExecution().executedPlan()
+        assert "fc_part" in plan.toString()
+
+
+def test_keyed_ranks_share_one_partitioning(spark, parquet):
+    """Without broadcasts, join and window of the values looked into use the same exchange."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = planned(group_measures(parquet, ["make", "gearbox"], "price_in_eur", ["median"]))
+    finally:
+        spark.conf.set(key, before)
+    # Twice the value counts, slices, slices by key, both sides of the join, the result.
+    assert plan.count("Exchange hashpartitioning") <= 7
+    for line in plan.splitlines():
+        assert "coalesce(fc_key" not in line and "isnull(fc_key" not in line
