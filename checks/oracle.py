@@ -819,3 +819,25 @@ oracle("source_bad_rows", """
 SELECT count(*) AS row_count, count(*) FILTER (gearbox IS NULL) AS bad_row_count FROM adverts
 """)
 oracle("source_quotes", "SELECT doc_id, replace(text, '\"', '') AS text, n_chars FROM documents")
+oracle("estimate_batch_ranges", f"""
+SELECT request_id, {ANSWER.replace('n AS "count"', 'coalesce(n, 0) AS "count"')}
+FROM requests LEFT JOIN (SELECT request_id AS id, {MEASURED} FROM chosen GROUP BY request_id)
+  ON id = request_id
+""", f"""
+requests AS (
+  SELECT concat_ws('-', make, m) AS request_id, make AS w_make, m, m % 4 AS k
+  FROM (SELECT DISTINCT make, month(created_on) AS m FROM adverts)
+),
+met AS (
+  SELECT request_id, {P}, k <> 1 OR cc = 1250 AS strict
+  FROM requests JOIN adverts ON make = w_make
+    AND CASE k WHEN 0 THEN year = 1997
+               WHEN 1 THEN year >= 1996 + m % 3 AND year <= 1998 AND (cc = 1250 OR cc >= 2000)
+               WHEN 2 THEN {P} >= 30000 ELSE year <= 1998 AND discount <= 4.5 END
+    AND (k = 3 OR mileage <= m * 12000)
+),
+chosen AS (
+  SELECT * FROM (SELECT *, max(strict) OVER (PARTITION BY request_id) AS any_strict FROM met)
+  WHERE strict = any_strict
+)
+""")

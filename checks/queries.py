@@ -970,3 +970,26 @@ def source_quotes(spark, sf_dir):
     return strip_quotes(marked)
 
 
+@query
+def estimate_batch_ranges(spark, sf_dir):
+    """One request per make and month of sale: some with limits, some open, some that only
+    a relaxed try can meet."""
+    columns = ["make", "year", "mileage", "cc", "discount"]
+    month = F.col("month") % 4
+    requests = (
+        adverts(spark, sf_dir, ["make", "created_on"])
+        .select("make", F.month("created_on").alias("month")).distinct()
+        .select(
+            F.concat_ws("-", "make", "month").alias("request_id"),
+            "make",
+            F.when(month == 0, F.lit(1997)).alias("year"),
+            F.when(month < 2, 1996 + F.col("month") % 3).alias("year_from"),
+            F.when(month != 2, F.lit(1998)).alias("year_to"),
+            F.when(month != 3, F.col("month") * 12_000).alias("mileage_to"),
+            F.when(month == 1, F.lit(1_250)).alias("cc"),
+            F.when(month == 1, F.lit(2_000)).alias("cc_from"),
+            F.when(month == 2, F.lit(30_000)).alias("price_from"),
+            F.when(month == 3, F.lit(4.5)).alias("discount_to"),
+        )
+    )
+    return est.estimate_prices(requests, adverts(spark, sf_dir, [*columns, PRICE]))

@@ -14,7 +14,14 @@ from pyspark.sql.types import ArrayType
 from forecourt.functions.bands import MILEAGE_BANDS, POWER_BANDS, band_number, band_of
 from forecourt.functions.measures import measures
 from forecourt.functions.text import any_like
-from forecourt.operators.filters import SEARCHED, ListingFilter, require_columns
+from forecourt.operators.filters import (
+    AT_LEAST,
+    AT_MOST,
+    EXACT_OR_RANGE,
+    SEARCHED,
+    ListingFilter,
+    require_columns,
+)
 from forecourt.operators.grouping import group_measures
 from forecourt.operators.ranks import COUNT, VALUE, measures_of_counts, value_counts
 from forecourt.plans.statistics import DEFAULT_STAT_COLUMN
@@ -199,6 +206,14 @@ FIELDS = ("year", *BANDED, "make", "model", "gearbox", "engine", "cc", FOUND)
 RELAXED = ("cc", FOUND)
 # How an open field is written: an SQL literal no escaped text can equal.
 OPEN = r"r'\N'"
+# Limits a request may give: its column, the advert's, the comparison, and the exact field
+# that replaces it.
+LIMITS = (
+    *((f"{name}_{side}", name, op, name) for name in EXACT_OR_RANGE
+      for side, op in (("from", ">="), ("to", "<="))),
+    *((name, column, ">=", None) for name, column in AT_LEAST.items()),
+    *((name, column, "<=", None) for name, column in AT_MOST.items()),
+)
 
 
 def _escaped(text: Column) -> Column:
@@ -244,21 +259,31 @@ def estimate_prices(
     """Estimate every request of a table.
 
     A request may give ``make, model, year, engine`` (a value or a list), ``gearbox,
-    mileage, power`` and ``cc``; a null leaves the field open. ``search`` holds for the
-    whole batch. As for a single request, mileage and power mean their bands, and a
-    request nothing meets is tried again without ``cc`` and ``search``. Requests
-    without comparables keep a row with count 0.
+    mileage, power`` and ``cc``, and limits: ``year, power, mileage`` and ``cc`` with
+    ``_from`` and ``_to``, ``price, price_from, price_to, estimated_price``, and
+    ``discount`` and ``save_diff`` with ``_from`` and ``_to``. A null leaves a field open; any
+    other column is an error. ``search`` holds for the whole batch. As for a single request,
+    mileage and power mean their bands, an exact value replaces its limits, and a request
+    nothing meets is tried again without ``cc`` and ``search``. Requests without comparables
+    keep a row with count 0.
 
     Requests and adverts are never paired. Equal wishes are answered once, and adverts
     are reduced to price counts per *cell* (the fields wishes give), one set of cells
     for every combination of given fields that occurs, so a model holding most of
-    adverts and requests costs its distinct prices.
+    adverts and requests costs its distinct prices. Wishes with limits read the cell's
+    counts together with the limited columns.
     """
     require_columns(requests, [id_column])
     require_columns(adverts, [column])
+    limits = [limit for limit in LIMITS if limit[0] in requests.columns]
+    known = {id_column, *FIELDS, *(name for name, *_ in limits)} - {FOUND}
+    unknown = sorted(set(requests.columns) - known)
+    if unknown:
+        raise ValueError(f"unknown request columns: {', '.join(unknown)}")
     asked = _fields(requests, None if search is None else F.lit(True))
-    if not asked:
+    if not asked and not limits:
         raise ValueError("requests name no field to compare by")
+    require_columns(adverts, [of for _, of, *_ in limits])
     require_columns(adverts, [k for k in asked if k != FOUND])
     names = list(asked)
     bits = {k: 1 << i for i, k in enumerate(names)}
@@ -266,19 +291,43 @@ def estimate_prices(
 
     # Wishes: the fields asked for as one compact text to shuffle and join by.
     wish_of = {"engine": "to_json(fc_engine)"} if listed else {}
-    given = " + ".join(f"if(fc_{k} IS NULL, 0, {bit})" for k, bit in bits.items())
-    wanted = requests.select(id_column, *[c.alias(f"fc_{k}") for k, c in asked.items()])
-    wanted = wanted.selectExpr("*", f"{_key(names, wish_of)} AS strict", f"{given} AS given")
+    given = " + ".join(["0", *(f"if(fc_{k} IS NULL, 0, {bit})" for k, bit in bits.items())])
+
+    def held(level: int) -> dict[str, str]:
+        """The limits that count, as SQL: none where an exact value is given and not dropped."""
+        found = {}
+        for name, _, _, exact in limits:
+            if exact in names and not (level and exact in RELAXED):
+                found[name] = f"if(fc_{exact} IS NULL, fl_{name}, NULL)"
+            else:
+                found[name] = f"fl_{name}"
+        return found
+
+    def wish(level: int, kept: Mapping[str, str]) -> str:
+        if not limits:
+            return _key(names, kept)
+        texts = ", ".join(f"coalesce(cast({e} AS string), {OPEN})" for e in held(level).values())
+        return f"concat_ws('|', {_key(names, kept)}, {texts})"
+
+    def bounds(level: int) -> str:
+        return "".join(f", {e} AS fm_{name}" for name, e in held(level).items())
+
+    wanted = requests.select(
+        id_column, *[c.alias(f"fc_{k}") for k, c in asked.items()],
+        *[F.col(name).alias(f"fl_{name}") for name, *_ in limits])
+    # What level 1 may fall back on is part of the wish.
+    whole_wish = f"concat_ws('|', {wish(0, wish_of)}, {wish(1, wish_of)})" if limits else wish(0, wish_of)
+    wanted = wanted.selectExpr("*", f"{whole_wish} AS strict", f"{given} AS given")
     strict = wanted.drop(id_column).distinct()
 
     # A wish that gives cc or a search has a second try without them.
     relaxable = [k for k in names if k in RELAXED]
     dropped = {k: "NULL" for k in relaxable}
     mask = sum(bits[k] for k in relaxable)
-    first = "struct(0 AS level, strict AS wish, given)"
+    first = f"struct(0 AS level, {wish(0, wish_of) if limits else 'strict'} AS wish, given{bounds(0)})"
     second = (
-        f"struct(1 AS level, {_key(names, {**wish_of, **dropped})} AS wish,"
-        f" given & {~mask} AS given)"
+        f"struct(1 AS level, {wish(1, {**wish_of, **dropped})} AS wish,"
+        f" given & {~mask} AS given{bounds(1)})"
     )
     tries = strict.selectExpr(
         "strict",
@@ -294,15 +343,19 @@ def estimate_prices(
     attempts = tries.drop("strict", "level")
     if listed:
         attempts = attempts.withColumn("fc_engine", F.explode_outer("fc_engine"))
-    looked_up = attempts.selectExpr("wish", "given", f"{cell_of(within)} AS cell").distinct()
+    marks = [f"fm_{name}" for name, *_ in limits]
+    looked_up = attempts.selectExpr(
+        "wish", "given", f"{cell_of(within)} AS cell", *marks).distinct()
 
     met = None
     if search is not None:
         met = F.coalesce(any_like(SEARCHED, search), F.lit(False))
     described = _fields(adverts, met)
+    limited = sorted({of for _, of, *_ in limits})
     fine = value_counts(
-        adverts.select(*[described[k].alias(f"fc_{k}") for k in names], column),
-        [f"fc_{k}" for k in names],
+        adverts.select(*[described[k].alias(f"fc_{k}") for k in names], column,
+                       *[F.col(c).alias(f"fr_{c}") for c in limited]),
+        [*(f"fc_{k}" for k in names), *(f"fr_{c}" for c in limited)],
         column,
     )
     # One set of cells per combination of given fields, at most one per subset.
@@ -310,12 +363,15 @@ def estimate_prices(
     cells = (
         fine.withColumn("fc_all", combinations)
         .withColumn("given", F.explode("fc_all"))
-        .selectExpr(f"{cell_of(within)} AS cell", VALUE, COUNT)
-        .groupBy("cell", VALUE)
+        .selectExpr(f"{cell_of(within)} AS cell", *[f"fr_{c}" for c in limited], VALUE, COUNT)
+        .groupBy("cell", *[f"fr_{c}" for c in limited], VALUE)
         .agg(F.sum(COUNT).alias(COUNT))
     )
 
-    matched = looked_up.join(cells, "cell").select("wish", VALUE, COUNT)
+    matched = looked_up.join(cells, "cell")
+    for name, of, op, _ in limits:
+        matched = matched.where(f"fm_{name} IS NULL OR fr_{of} {op} fm_{name}")
+    matched = matched.select("wish", VALUE, COUNT)
     measured = measures_of_counts(
         matched, ["wish"], adverts.schema[column].dataType, measures(ESTIMATE_MEASURES)
     )

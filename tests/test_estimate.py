@@ -183,7 +183,40 @@ def test_batch_search_holds_for_all_and_is_dropped(spark, listings):
 
 def test_batch_needs_fields(spark, listings):
     with pytest.raises(ValueError, match="no field"):
-        est.estimate_prices(spark.createDataFrame([(1,)], "request_id int"), listings)
+        est.est.estimate_prices(spark.createDataFrame([(1,)], "request_id int"), listings)
     asked = spark.createDataFrame([(1, "x")], "request_id int, make string")
     with pytest.raises(ValueError, match="missing columns"):
-        est.estimate_prices(asked, listings.drop("make"))
+        est.est.estimate_prices(asked, listings.drop("make"))
+
+
+def test_a_batch_knows_every_limit_a_single_request_knows(spark):
+    rows = spark.range(400).selectExpr(
+        "if(id % 2 = 0, 'A', 'B') AS make", "cast(2000 + id % 9 AS int) AS year",
+        "cast(60 + id % 7 * 30 AS int) AS power", "cast(id % 11 * 9000 AS int) AS mileage",
+        "cast(1000 + id % 5 * 200 AS int) AS cc", "cast(id % 13 AS double) AS discount",
+        "cast(if(id % 6 = 0, null, id * 10 - 900) AS int) AS save_diff_in_eur",
+        "cast(5000 + id * 37 % 900 AS int) AS price_in_eur",
+        "cast(5000 + id * 31 % 700 AS int) AS estimated_price_in_eur")
+    asked = [
+        {"make": "A", "year_from": 2003, "year_to": 2005}, {"make": "B", "power_to": 120},
+        {"make": "A", "year": 2004, "year_from": 2008}, {"mileage_from": 9000, "mileage_to": 45_000},
+        {"make": "B", "cc": 1_111, "cc_from": 1_600}, {"make": "B", "cc": 1_200, "cc_to": 1_000},
+        {"price": 5_100, "price_to": 5_500}, {"estimated_price": 5_300, "discount_from": 2.0},
+        {"save_diff_from": -100, "save_diff_to": 900, "discount_to": 7.5}, {"make": "C", "year_to": 1},
+        {"price_from": 5_890},
+    ]
+    names = sorted({k for one in asked for k in one})
+    kinds = {"make": "string", "discount_from": "double", "discount_to": "double"}
+    requests = spark.createDataFrame(
+        [(i, *(one.get(k) for k in names)) for i, one in enumerate(asked)],
+        "request_id int, " + ", ".join(f"{k} {kinds.get(k, 'int')}" for k in names))
+    got = {r.request_id: r[1:] for r in est.estimate_prices(requests, rows).collect()}
+    for i, one in enumerate(asked):
+        single = est.estimate_price(rows, ListingFilter(**one)).collect()
+        assert got[i] == (tuple(single[0]) if single else (0, *[None] * 9)), one
+
+
+def test_a_batch_refuses_columns_it_does_not_know(listings):
+    requests = listings.select(F.col("advert_id").alias("request_id"), "make", F.lit(1).alias("doors"))
+    with pytest.raises(ValueError, match="unknown request columns: doors"):
+        est.estimate_prices(requests, listings)
