@@ -8,8 +8,9 @@ subqueries; nothing is run, fetched or cached while a distribution is built.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Literal
 
 from pyspark.sql import Column, DataFrame
@@ -76,11 +77,26 @@ def trim_range(
 
 @dataclass(frozen=True)
 class Distribution:
-    """Per-bin measures, overall measures, and one row with the edges between bins."""
+    """Per-bin measures, overall measures, and one row with the edges between bins.
 
-    bins: DataFrame
-    summary: DataFrame
-    edges: DataFrame
+    Each is a plan of its own, put together when it is first asked for.
+    """
+
+    build_bins: Callable[[], DataFrame]
+    build_summary: Callable[[], DataFrame]
+    build_edges: Callable[[], DataFrame]
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        return self.build_bins()
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return self.build_summary()
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.build_edges()
 
 
 def equal_width_bins(start: int, end: int, n: int) -> list[Bin]:
@@ -178,22 +194,33 @@ def distribution(
         found = _trimmed_bounds(counts, dtype, tiers)
     else:
         found = counts.agg(F.min(VALUE).alias("start"), F.max(VALUE).alias("end"))
-    bounds = found.select(F.struct("start", "end").alias("b")).scalar()
-    inside = counts.filter(F.col(VALUE).between(bounds["start"], bounds["end"]))
-    whole = measures_of_counts(inside, [], dtype, [*SUMMARY_MEASURES, *even_quantiles(n)])
+    bounds = found.select(F.struct("start", "end").alias("b")).scalar().alias("fc_bounds")
+    # The bounds are a column, so that the plan holds their subquery once.
+    bounded = counts.select("*", bounds).filter(
+        F.col(VALUE).between(F.col("fc_bounds.start"), F.col("fc_bounds.end")))
+    inside = bounded.drop("fc_bounds")
 
-    given = [bounds.alias("fc_bounds")]
     places = _interval_places
+    given = [bounds]
+    placed = bounded
     if kind == "quantile":
         places = _quantile_places
         own = [quantile(m.fraction, m.name, own=True) for m in even_quantiles(n)]
         cuts = measures_of_counts(inside, [], dtype, [Measure("min", "min"), *own])
         cuts = cuts.select(F.array("min", *[m.name for m in own]).alias("cuts")).scalar()
-        given.append(cuts.alias("fc_cuts"))
+        given = [cuts.alias("fc_cuts")]
+        placed = inside.select("*", *given)
     index, category, edges = places(n, last_closed, dtype, F.col(VALUE))
-    bins = measured_bins(inside.select("*", *given), column, dtype, index, category)
-    edge_row = df.sparkSession.range(1).select(*given).select(edges.alias("edges"))
-    return Distribution(bins, with_quantile_list(whole, column, n), edge_row)
+
+    def summary() -> DataFrame:
+        wanted = [*SUMMARY_MEASURES, *even_quantiles(n)]
+        return with_quantile_list(measures_of_counts(inside, [], dtype, wanted), column, n)
+
+    return Distribution(
+        lambda: measured_bins(placed, column, dtype, index, category),
+        summary,
+        lambda: df.sparkSession.range(1).select(*given).select(edges.alias("edges")),
+    )
 
 
 def distribution_chart(parts: Distribution, column: str) -> DataFrame:
