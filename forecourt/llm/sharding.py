@@ -57,7 +57,7 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.nd
 
 def shuffle_into_shards(
     df: DataFrame, shards: int = 16, seed: int = 1, key: list[str] | None = None,
-    rows_per_partition: int = 100_000,
+    rows_per_partition: int = 25_000,
 ) -> DataFrame:
     """All rows with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in its shard).
 
