@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forecourt.llm.common import free_name
+from forecourt.llm.common import free_name, ship, written
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -34,7 +35,9 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) ->
     return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
-def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.ndarray:
+def communication_matrix(
+    rows: list[int], shards: list[int], seed: int | list[int]
+) -> np.ndarray:
     """How many rows of each partition go to each shard, drawn as a uniform shuffle would.
 
     Row sums are ``rows``, column sums ``shards``; the law is multivariate hypergeometric.
@@ -55,6 +58,30 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.nd
     return matrix
 
 
+def _cuts(df: DataFrame, part: F.Column, parts: int, sizes: list[int], seed: int) -> DataFrame:
+    """``p, cuts``: per partition, how many of its permuted rows go to the first 1, 2, ... shards.
+
+    The matrix is drawn in two levels, about sqrt(parts) groups of as many partitions: the
+    driver draws what each group sends to each shard; given that, groups do not depend on each
+    other, and tasks draw the rows of their partitions. The law is that of one draw.
+    """
+    groups = math.ceil(math.sqrt(parts))
+    counts = written(df.select(part.alias("p")).groupBy("p").agg(F.count("*").alias("n")).select(
+        "p", "n", F.pmod("p", F.lit(groups)).alias("g")), "counts")
+    sums = sorted((row.g, row.n) for row in counts.groupBy("g").agg(F.sum("n").alias("n")).collect())
+    drawn = communication_matrix([n for _, n in sums], sizes, seed)
+    totals = {g: line.tolist() for (g, _), line in zip(sums, drawn)}
+
+    def draw(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("p")
+        group = int(found["g"].iloc[0])
+        matrix = communication_matrix(found["n"].tolist(), totals[group], [seed, group])
+        return pd.DataFrame({"p": found["p"], "cuts": list(np.cumsum(matrix, axis=1))})
+
+    ship(df.sparkSession)
+    return written(counts.groupBy("g").applyInPandas(draw, "p long, cuts array<long>"), "cuts")
+
+
 def shuffle_into_shards(
     df: DataFrame, shards: int = 16, seed: int = 1, key: list[str] | None = None,
     rows_per_partition: int = 25_000,
@@ -71,8 +98,8 @@ def shuffle_into_shards(
     a hash of all columns, and rows equal in everything are exchangeable. An empty table
     gives no rows.
 
-    The driver sees one count and one matrix row per partition of ``rows_per_partition``
-    rows, nothing else. A shard is ranked in ranges of about ``rows_per_partition`` rows,
+    Partitions have about ``rows_per_partition`` rows; the driver sees counts of groups of
+    them, about as many as the square root of their number. A shard is ranked in ranges of about ``rows_per_partition`` rows,
     never in one task.
     """
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
@@ -90,14 +117,10 @@ def shuffle_into_shards(
     p, o, r, s, tie = (free_name(df, c) for c in ("part", "order", "range", "again", "tie"))
     laid = {p: F.pmod(hashed(0), F.lit(parts)), o: hashed(1),
             r: F.pmod(hashed(2), F.lit(ranges)), s: hashed(3)}
-    counts = dict(df.select(laid[p].alias("p")).groupBy("p").count().collect())
     sizes = [total // shards + (i < total % shards) for i in range(shards)]
-    known = sorted(counts)
-    matrix = communication_matrix([counts[k] for k in known], sizes, seed)
     cut = free_name(df, "cuts")
-    cuts = df.sparkSession.createDataFrame(
-        [(int(k), [int(x) for x in np.cumsum(line)]) for k, line in zip(known, matrix)],
-        f"`{p}` long, `{cut}` array<long>")
+    cuts = _cuts(df, laid[p], parts, sizes, seed).select(
+        F.col("p").alias(p), F.col("cuts").alias(cut))
     place = free_name(df, "place")
 
     def cut_up(rows: DataFrame, ties: list[str]) -> DataFrame:
