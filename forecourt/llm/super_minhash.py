@@ -272,8 +272,9 @@ def near_duplicates(
     one = signed.select("s", "key").join(wanted, "s", "left_semi").groupBy("s").agg(
         F.min("key").alias("key"))
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sets = written(_shingles(named.join(one.select("key").distinct(), "key", "left_semi"), words)
-                   .join(wanted, "s", "left_semi"), "sets")
+    its = one.select(F.col("key").alias("its")).distinct()
+    chosen = named.join(its, F.col("key").eqNullSafe(F.col("its")), "left_semi")
+    sets = written(_shingles(chosen, words).join(wanted, "s", "left_semi"), "sets")
     links = written(_confirmed(stars, sets, percent), "links")
     known = written(components(links), "components")
     placed = shared.join(known.withColumnRenamed("node", "s"), "s", "left").select(

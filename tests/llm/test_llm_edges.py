@@ -90,6 +90,49 @@ def test_near(odd, none):
     assert near_duplicates(none).collect() == []
 
 
+def test_near_without_keys(spark):
+    long, other = (" ".join(f"{x}{i * i % 7919}" for i in range(300)) for x in "ab")
+    docs = spark.createDataFrame(
+        [(4, long), (None, long + " more"), (None, other), (None, other + " more"), (9, "far off")],
+        "doc_id long, text string")
+    rows = near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter(
+        {(4, 4, True): 1, (None, 4, False): 1, (None, None, True): 2, (9, 9, True): 1})
+
+
+def test_near_pairs_left_in_open_buckets(spark):
+    """A chain and a common passage: every link is found, whichever member leads a bucket."""
+    import random
+
+    draw = random.Random(4)
+    passage = [f"p{i}" for i in range(70)]
+    texts = []
+    for i in range(40):
+        own = [f"o{i}x{j}" for j in range(draw.choice([12, 20, 25, 60]))]
+        texts.append(passage + own)
+    base = [f"c{i}" for i in range(120)]
+    for step in range(30):
+        texts.append(base[step * 3:step * 3 + 60])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string")
+    sets = [{tuple(t[k:k + 5]) for k in range(len(t) - 4)} for t in texts]
+    lowest = list(range(len(texts)))
+
+    def root(x):
+        while lowest[x] != x:
+            x = lowest[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                lowest[y] = x
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {
+        i: root(i) for i in range(len(texts))}
+
+
 def test_quality(spark, odd, none):
     labels = spark.createDataFrame(
         [(i, int(i > 8), 0) for i in range(1, 20)] + [(None, 1, 0), (5, None, 0), (99, 1, 1), (6, 7, 0)],
