@@ -27,15 +27,20 @@ for _name, _bytes in enumerate((
 _CLASS[128:] = 9  # parts of other letters
 
 
-def _share(part: float, whole: float) -> float:
-    """A share on the scale of the logistic function, held off its ends."""
-    p = (part + 0.5) / (whole + 1.0)
+# As if every text went on for this many characters or words of usual prose: a short text
+# differs from prose only as far as it has the length to show it.
+_USUAL_BYTES, _USUAL_WORDS = 25.0, 8.0
+
+
+def _share(part: float, whole: float, usual: float, more: float = _USUAL_BYTES) -> float:
+    """A share on the scale of the logistic function, drawn towards the usual one."""
+    p = (part + usual * more) / (whole + more)
     return float(np.log(p / (1.0 - p)))
 
 
-def _rate(part: float, whole: float) -> float:
-    """The logarithm of how many there are per word."""
-    return float(np.log((part + 0.5) / (whole + 1.0)))
+def _rate(part: float, whole: float, usual: float) -> float:
+    """The logarithm of how many there are per word, drawn towards the usual number."""
+    return float(np.log((part + usual * _USUAL_WORDS) / (whole + _USUAL_WORDS)))
 
 
 def statistics(text: str | None) -> list[float]:
@@ -52,12 +57,13 @@ def statistics(text: str | None) -> list[float]:
     capitals = sum(1 for w in words if w.isupper()) if by[2] > n / 2 else 0
     clean = sum(1 for w in words if w.isalpha())
     return [
-        float(np.log1p(n)), float(np.log((visible + 1) / (n + 1))),
-        _share(by[1] + by[2] + by[9], visible), _share(by[2], by[1] + by[2] + by[9]),
-        _share(by[3], visible), _share(by[4], visible), _share(by[0], visible),
-        _rate(by[5], n), _rate(by[6], n), _rate(by[7], n),
+        float(np.log1p(n)), _rate(visible, n, 5.0),
+        _share(by[1] + by[2] + by[9], visible, 0.95),
+        _share(by[2], by[1] + by[2] + by[9], 0.03), _share(by[3], visible, 0.005),
+        _share(by[4], visible, 0.03), _share(by[0], visible, 0.005),
+        _rate(by[5], n, 0.01), _rate(by[6], n, 0.005), _rate(by[7], n, 0.02),
         float(np.log((distinct + 1) / (n + 1) ** 0.75)), float(-(shown * np.log2(shown)).sum()),
-        _share(capitals, n), _share(clean, n),
+        _share(capitals, n, 0.02, _USUAL_WORDS), _share(clean, n, 0.85, _USUAL_WORDS),
     ]
 
 
@@ -98,7 +104,7 @@ class Discriminant:
 
 
 def fit(
-    labelled: DataFrame, label: str, pooled: float = 0.3, ridge: float = 0.05,
+    labelled: DataFrame, label: str, pooled: float = 0.1, ridge: float = 0.3,
     temperature: float | None = None, prior: float | None = None,
 ) -> Discriminant | None:
     """Fit the discriminant on rows with statistics ``x`` and a label 0 or 1 (others are left out).
