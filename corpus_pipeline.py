@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from forecourt.llm.common import table, written
 from forecourt.llm.decontaminate import clean_documents
-from forecourt.llm.line_dedup import drop_repeated_chunks
+from forecourt.llm.line_dedup import drop_repeated_passages
 from forecourt.llm.packing import pack
 from forecourt.llm.quality import drop_low_quality
 from forecourt.llm.super_minhash import drop_near_duplicates
@@ -22,15 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of several lines that occur before.
+    """Documents without passages of over 50 words that occur before.
 
     ``n_chars`` follows the text; documents of which nothing is left go, those whose text was
     null from the start stay.
     """
-    clean = drop_repeated_chunks(docs.select(COLUMNS))
-    n_chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(
+    clean = drop_repeated_passages(docs.select(COLUMNS))
+    n_chars = F.when(F.col("units_removed") > 0, F.char_length("text").cast("long")).otherwise(
         F.col("n_chars"))
-    return clean.where("lines_removed = 0 OR text IS NOT NULL").withColumn(
+    return clean.where("units_removed = 0 OR text IS NOT NULL").withColumn(
         "n_chars", n_chars).select(COLUMNS)
 
 

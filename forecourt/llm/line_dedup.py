@@ -1,4 +1,8 @@
-"""Repeated passages of several lines, found by content-defined chunks, with Spark functions only."""
+"""Repeated passages, with Spark functions only.
+
+``drop_repeated_chunks`` finds them by content-defined chunks of lines and keeps what lies beside
+the chunks; ``drop_repeated_passages`` removes every repeated run of units (sentences, lines).
+"""
 
 from __future__ import annotations
 
@@ -98,3 +102,106 @@ def drop_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_id
     return marked.select(
         *columns, n_lines.alias(lines), n_gone.alias(removed),
         F.when(spans.isNull(), 0).otherwise(F.size(spans)).alias(count))
+
+
+# A unit ends after a sentence, or after a line whose next line is not blank.
+_UNIT_END = (r"(?<=[.!?][\"'\u201d\u2019)\u00bb\]]?[^\S\n]{1,4})(?=\S)"
+             r"|(?<=[\u3002\uff01\uff1f])(?=[^\s\u3002\uff01\uff1f])"
+             r"|(?<=\n)(?=[^\S\n]*\S)")
+_BLANK = " \t\n\x0b\f\r"
+_HALF = 1 << 31
+
+
+def units(text: F.Column) -> F.Column:
+    """The units of a text: its sentences within lines, with the blanks that follow them.
+
+    Joined, they are the text. Only the first unit may be without a word.
+    """
+    return F.split(text, _UNIT_END, -1)
+
+
+def passages(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """The shortest runs of more than ``words`` words: ``first``, ``last`` (units), ``h``, ``check``.
+
+    For each unit, the shortest such run that starts with it, and the shortest one that ends
+    with it. If a run of units of more than ``words`` words repeats, each of its units is in
+    one of these runs that lies within it, and that run repeats, too. ``h`` and ``check`` are hashes
+    of the run's bytes without the blanks at its end.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    parts, bare, of = (free_name(docs, c) for c in ("units", "bare", "of"))
+    cut = docs.where(F.col(text).isNotNull()).select(*kept, units(F.col(text)).alias(parts))
+    cut = cut.withColumn(bare, F.transform(parts, lambda u: F.rtrim(u, F.lit(_BLANK))))
+    # The unit of each word.
+    cut = cut.withColumn(of, F.flatten(F.transform(parts, lambda u, i: F.array_repeat(
+        i, F.regexp_count(u, F.lit(r"\S+"))))))
+    its = F.col(of)
+    ahead = F.transform(its, lambda u, p: F.when(
+        F.coalesce(F.get(its, p - 1) != u, F.lit(True)),
+        u.cast("long") * _HALF + F.get(its, p + words)))
+    behind = F.transform(its, lambda u, p: F.when(
+        F.coalesce(F.get(its, p + 1) != u, F.lit(True)),
+        F.get(its, p - words).cast("long") * _HALF + u))
+    runs = F.array_distinct(F.array_compact(F.concat(ahead, behind)))
+    spelt = F.transform(runs, lambda r: F.struct(r.alias("run"), F.concat(
+        F.array_join(F.slice(F.col(parts), (r / _HALF).cast("int") + 1,
+                             (r % _HALF).cast("int") - (r / _HALF).cast("int")), ""),
+        F.get(F.col(bare), (r % _HALF).cast("int"))).alias("t")))
+    hashed = F.transform(spelt, lambda r: F.struct(
+        r["run"].alias("run"), F.xxhash64(r["t"]).alias("h"),
+        F.xxhash64(F.lit(30_011), r["t"]).alias("check")))
+    return cut.select(*kept, F.inline(hashed))
+
+
+def drop_repeated_passages(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 50,
+) -> DataFrame:
+    """The rows of ``docs`` without the passages of more than ``words`` words that occur before.
+
+    A passage is a run of units (see ``units``), of one or many lines. A unit goes if it is in
+    such a run that also stands earlier: in a row with a smaller key (nulls last), or earlier in
+    the same text. So the first copy of every unit stays. What is left of a line keeps its
+    line break. Two columns follow: ``units`` (before) and ``units_removed``. Where nothing but blanks
+    is left, the text is null. Texts that are null stay null (0 units). Rows that repeat both
+    key and text are one document.
+
+    Runs are counted by a 64-bit hash; equal ones are told apart by a pair of them. Texts are
+    not moved but for the last join, which puts the removed units beside their text.
+    """
+    row = free_name(docs, "row_hash")
+    ident = F.xxhash64(F.col(key), F.col(text))
+    slim = docs.select(F.col(key).alias("id"), ident.alias("row"), F.col(text).alias("text"))
+    runs = passages(slim, "text", words)
+    many = written(
+        runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "many")
+    suspects = written(runs.join(many, "h", "left_semi"), "runs")
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "run", "row")
+    # Written, so that Spark can split the join below at hot keys.
+    first = written(suspects.groupBy("h", "check").agg(
+        F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"), "first")
+    again = suspects.join(first, ["h", "check"]).where(
+        (F.col("row") != F.col("first.row")) | (F.col("run") != F.col("first.run")))
+    gone = again.groupBy("id", "row").agg(F.collect_set("run").alias("gone"))
+    before, removed = free_name(docs, "units"), free_name(docs, "units_removed")
+    its_id, its_row, its, parts, out, stay = (free_name(docs, c) for c in (
+        "gone_id", "gone_row", "gone", "parts", "out", "stay"))
+    marked = docs.withColumn(row, ident).join(
+        gone.withColumnsRenamed({"id": its_id, "row": its_row, "gone": its}),
+        (F.col(row) == F.col(its_row)) & F.col(key).eqNullSafe(F.col(its_id)), "left")
+    marked = marked.withColumn(parts, units(F.col(text))).withColumn(
+        out, F.array_distinct(F.flatten(F.transform(its, lambda r: F.sequence(
+            (r / _HALF).cast("int"), (r % _HALF).cast("int"))))))
+    marked = marked.withColumn(
+        stay, F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(out)))
+    # Where a line break goes with the units behind this one, it comes back.
+    joined = F.array_join(F.transform(stay, lambda i, k: F.when(
+        (F.get(F.col(stay), k + 1) > i + 1) & ~F.get(F.col(parts), i).endswith("\n")
+        & F.exists(F.slice(F.col(parts), i + 2, F.get(F.col(stay), k + 1) - i - 1),
+                   lambda u: u.endswith("\n")),
+        F.concat(F.get(F.col(parts), i), F.lit("\n"))).otherwise(F.get(F.col(parts), i))), "")
+    left = F.rtrim(joined, F.lit(_BLANK))
+    new_text = F.when(F.col(its).isNull(), F.col(text)).when(left != "", left)
+    columns = [new_text.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return marked.select(
+        *columns, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias(before),
+        F.when(F.col(its).isNull(), 0).otherwise(F.size(out)).alias(removed))

@@ -9,7 +9,7 @@ from forecourt.llm.common import table
 from forecourt.llm.decontaminate import contaminated
 from forecourt.llm.exact_dedup import exact_duplicates
 from forecourt.llm.license_scan import license_notices
-from forecourt.llm.line_dedup import drop_repeated_chunks
+from forecourt.llm.line_dedup import drop_repeated_chunks, drop_repeated_passages
 from forecourt.llm.packing import pack
 from forecourt.llm.quality import classify
 from forecourt.llm.sharding import shuffle_into_shards
@@ -80,6 +80,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "lines", "lines_removed", "chunks_removed", "text")
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the units of passages of over 50 words that occur before."""
+    docs = table(spark, sf_dir, "documents")
+    return drop_repeated_passages(docs).select("doc_id", "units", "units_removed", "text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the row that stays of those equal to it."""
     return exact_duplicates(table(spark, sf_dir, "documents")).select(
@@ -160,6 +166,7 @@ LLM_QUERIES = {
     "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
