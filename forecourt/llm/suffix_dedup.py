@@ -171,22 +171,42 @@ class Runs:
 
     ``doc``, ``start`` (in its document) and ``count`` of windows, ``at`` (in the data),
     ``anchor`` (the hash of the anchor), ``around`` (the hash of all bytes of its windows).
+    Runs depend on their document only, not on its neighbours in the batch or on segments.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
-        parts = [self._segment(data, offsets, at, length, seed)
-                 for at in range(0, max(len(data) - length + 1, 0), _SEGMENT)]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, seed: int,
+                 segment: int = _SEGMENT):
+        parts = [self._segment(data, offsets, at, length, seed, segment)
+                 for at in range(0, max(len(data) - length + 1, 0), segment)]
         names = ("at", "count", "anchor", "around")
         for i, name in enumerate(names):
             kind = np.int64 if i < 2 else np.uint64
             setattr(self, name, np.concatenate([p[i] for p in parts]).astype(kind)
                     if parts else np.empty(0, dtype=kind))
+        if len(parts) > 1:
+            self._join(data, np.concatenate([p[4] for p in parts]), length)
         self.doc = np.searchsorted(offsets, self.at, side="right") - 1
         self.start = self.at - offsets[self.doc]
 
+    def _join(self, data, spot, length):
+        """Make one run of those that a border between segments cuts (one anchor at one place)."""
+        more = (self.at[1:] == self.at[:-1] + self.count[:-1]) & (spot[1:] == spot[:-1])
+        if not more.any():
+            return
+        lead = np.flatnonzero(np.concatenate(([True], ~more)))
+        parts = np.diff(np.append(lead, len(self.at)))
+        count = np.add.reduceat(self.count, lead)
+        self.at, self.anchor, self.around = self.at[lead], self.anchor[lead], self.around[lead]
+        self.count = count
+        for i in np.flatnonzero(parts > 1).tolist():
+            own = data[self.at[i]:self.at[i] + count[i] + length - 1]
+            total = np.sum(_TABLE[own] * _power(_UP, len(own))[:len(own)], dtype=np.uint64)
+            size = np.array([len(own)], dtype=np.uint64)
+            self.around[i] = mixed(total + size * np.uint64(_UP))[0]
+
     @staticmethod
-    def _segment(data, offsets, at, length, seed):
-        part = data[at:at + _SEGMENT + length - 1]
+    def _segment(data, offsets, at, length, seed, segment):
+        part = data[at:at + segment + length - 1]
         n, span = len(part), length - seed + 1
         windows = n - length + 1
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(
@@ -211,14 +231,14 @@ class Runs:
         np.add.at(inside, np.clip(borders, 0, windows), -1)
         valid = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
         if not len(valid):
-            return [np.empty(0, dtype=np.int64)] * 4
+            return [np.empty(0, dtype=np.int64)] * 5
         cut = np.flatnonzero((np.diff(anchor[valid]) != 0) | (np.diff(valid) != 1)) + 1
         first = valid[np.concatenate(([0], cut))]
         last = valid[np.concatenate((cut - 1, [len(valid) - 1]))]
         end = last + length
         around = mixed((sums[end] - sums[first]) * down[first]
                        + (end - first).astype(np.uint64) * np.uint64(_UP))
-        return first + at, last - first + 1, hashes[anchor[first]], around
+        return first + at, last - first + 1, hashes[anchor[first]], around, anchor[first] + at
 
 
 def _bytes_of(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -286,12 +306,12 @@ def _array(blobs: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=kind)
 
 
-def _find_anchors(length: int, seed: int, buckets: int):
+def _find_anchors(length: int, seed: int, buckets: int, segment: int = _SEGMENT):
     """Of each batch (row, text): its anchors by bucket; those that the batch repeats, in bucket -1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 1):
             rows = batch.column(0).to_numpy(zero_copy_only=False)
-            runs = Runs(*_column(batch.column(1)), length, seed)
+            runs = Runs(*_column(batch.column(1)), length, seed, segment)
             if not len(runs.at):
                 continue
             owner = rows[runs.doc]
@@ -342,7 +362,7 @@ def _local_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                      np.zeros(len(anchors), dtype=bool))
 
 
-def _strings(length: int, seed: int, buckets: int):
+def _strings(length: int, seed: int, buckets: int, segment: int = _SEGMENT):
     """Of each batch (row, key, text, spots): the bytes around repeated anchors, by bucket.
 
     Equal surroundings go once per batch, with the first place; the windows of the others
@@ -357,7 +377,7 @@ def _strings(length: int, seed: int, buckets: int):
             sizes = spots.value_lengths().to_numpy(zero_copy_only=False)
             marks = spots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             places = np.repeat(np.arange(len(rows), dtype=np.int64), sizes) << 32 | marks >> 1
-            runs = Runs(data, offsets, length, seed)
+            runs = Runs(data, offsets, length, seed, segment)
             own = runs.doc << 32 | runs.start
             found = np.flatnonzero(np.isin(own, places))
             hot = np.isin(own[found], places[marks & 1 == 1])
@@ -509,6 +529,7 @@ def _with_small(texts: DataFrame, small: DataFrame, values: F.Column, how: str,
 def repeated_bytes(
     docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 100, seed: int = 32,
     hot: int = 20_000, docs_per_bucket: int = 2_000, broadcast_bytes: int = 64 << 20,
+    segment: int = _SEGMENT,
 ) -> DataFrame:
     """Every row's key with ``n_bytes``, ``n_removed``, ``spans`` and ``kept`` of its text in UTF-8.
 
@@ -524,6 +545,7 @@ def repeated_bytes(
     task and content. A group of more than ``hot`` occurrences of an anchor is dealt out again
     by the windows' own content, so no task gets it whole. Positions and spans are joined to
     the texts by sending them around if they have at most ``broadcast_bytes``, else by a shuffle.
+    Anchors are looked for in ``segment`` bytes at a time, which changes no result.
     """
     buckets = max(8, math.ceil(docs.count() / docs_per_bucket))
     base = docs.select(
@@ -532,7 +554,7 @@ def repeated_bytes(
         F.coalesce(F.col(text), F.lit("")).alias("text"))
     binary = "anchor binary, times binary, row binary, start binary"
     anchors = written(map_batches(
-        base.select("row", "text"), _find_anchors(length, seed, buckets),
+        base.select("row", "text"), _find_anchors(length, seed, buckets, segment),
         "bucket long, " + binary), "anchors")
     spot = "row long, start int, anchor long, hot boolean"
     dealt = anchors.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
@@ -548,7 +570,7 @@ def repeated_bytes(
         forget(used)
     around = _with_small(base, marks, 4 * F.size("spots"), "inner", broadcast_bytes)
     strings = written(map_batches(
-        around.select("row", "key", "text", "spots"), _strings(length, seed, buckets),
+        around.select("row", "key", "text", "spots"), _strings(length, seed, buckets, segment),
         "bucket long, anchor binary, around binary, key binary, row binary, start binary,"
         " count binary, data binary"), "strings")
     dealt = strings.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
