@@ -22,3 +22,16 @@ def test_notices_in_the_middle_of_long_lines(size):
         found = notices(line, *RULES)
         assert [won[0] for won, _, _ in found] == [name]
         assert line[found[0][1]:found[0][2]] in wording
+
+
+def test_all_notices_of_a_block(spark):
+    mixed = " and ".join(text for _, text in TEMPLATES)
+    assert [won[0] for won, _, _ in notices(mixed, *RULES)] == [name for name, _ in TEMPLATES]
+    docs = spark.createDataFrame(
+        [(1, "Licensed under CC BY 4.0.\nor\nReleased under the MIT License."),
+         (2, TEMPLATES[1][1]), (3, "word " * 600 + TEMPLATES[3][1] + " word" * 600)],
+        "doc_id long, text string")
+    rows = license_notices(docs).collect()
+    assert sorted((r.doc_id, r.license) for r in rows) == [
+        (1, "CC-BY-4.0"), (1, "MIT"), (2, "Apache-2.0"), (3, "MIT")]
+    assert next(r for r in rows if r.doc_id == 3).block == TEMPLATES[3][1].rstrip(".")
