@@ -1,4 +1,4 @@
-"""Exact duplicates by an extendible-hash index on shared files, with Spark functions only."""
+"""Exact duplicates by hash and bytes, with an extendible-hash directory, with Spark functions only."""
 
 from __future__ import annotations
 
@@ -58,9 +58,9 @@ def exact_duplicates(
     text counts as empty, and all empty texts are equal. Rows that repeat the key that stays
     are marked kept, too. Other columns are not read.
 
-    Entries (hash, digest, length, key) go to index files in the shared folder. Buckets are
-    ranges of the hash; owner tasks reduce the entries of theirs. Where a hash occurs more
-    than once, the texts themselves are compared: they are chained under the hash, one link
+    Entries (hash, digest, length, key) go to index files in the shared folder, not laid out by
+    bucket. Duplicates are found by grouping on the hash and the bytes; the directory only
+    names each hash's bucket. Where a hash occurs more than once, the texts themselves are compared: they are chained under the hash, one link
     per distinct byte string. Only those texts are moved, and copies are counted before they
     are, so that a text that fills a third of the rows costs one row per task; the join that
     hands results back is one that Spark splits at hot keys.
