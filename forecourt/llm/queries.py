@@ -27,7 +27,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt into 16 shards of equal row counts."""
     docs = table(spark, sf_dir, "documents")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return shuffle_into_shards(docs, 16, key=["doc_id"]).select(
+    return shuffle_into_shards(docs, 16).select(
         "doc_id", (F.length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
