@@ -10,6 +10,7 @@ from forecourt.llm.decontaminate import contaminated
 from forecourt.llm.exact_dedup import exact_duplicates
 from forecourt.llm.license_scan import license_notices
 from forecourt.llm.line_dedup import drop_repeated_chunks, drop_repeated_passages
+from forecourt.llm.mixing import mixed_documents
 from forecourt.llm.packing import pack
 from forecourt.llm.quality import classify
 from forecourt.llm.sharding import shuffle_into_shards
@@ -92,6 +93,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of the sources, weighed 5, 2, 1 in turn, takes of each document."""
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (
     PARTITION BY coalesce(html, '')) AS last FROM pages),
@@ -157,6 +163,35 @@ k AS (SELECT doc_id, bare, count(*) OVER (PARTITION BY bare) AS group_size,
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(bare) AS text_sha256 FROM k
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(list_filter(
+    regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')), 0)::BIGINT AS size,
+  md5('0:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM s),
+a AS (SELECT *, 2 * source_size AS cap, 3 * sum(source_size) OVER () AS budget2,
+  coalesce(sum(2 * source_size) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    AS before,
+  sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+  FROM w WINDOW r AS (ORDER BY 2 * source_size / weight, source NULLS LAST)),
+f AS (SELECT *, 2 * cap * after <= (budget2 - 2 * before) * weight AS is_full FROM a),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE
+    ((budget2 - 2 * sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) * weight)::DOUBLE
+    / (2 * sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ())::DOUBLE END AS target FROM f),
+q AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source
+    ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN target > 0
+    THEN (pass * source_size + before + size)::DOUBLE / target ELSE 0 END AS finish
+  FROM q, (VALUES (0), (1)) p(pass)),
+m AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, h, pass
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e),
+b AS (SELECT *, greatest(0, least(size, (SELECT sum(size) FROM d) * 3 // 2 - start)) AS got FROM m)
+SELECT doc_id, any_value(size) AS size, any_value(source_size)::BIGINT AS source_size,
+  any_value(target) AS target, sum(got)::BIGINT AS taken FROM b GROUP BY h, source, doc_id
+"""
+
 LLM_QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -169,6 +204,7 @@ LLM_QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_mixing": op11_mixing,
 }
 
 LLM_ORACLES = {
@@ -176,4 +212,5 @@ LLM_ORACLES = {
     "op7_near_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_mixing": OP11_SQL,
 }
