@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[i
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2,
-    seed: int = 0, rows_per_range: int = 20_000,
+    seed: int = 0, rows_per_range: int = 5_000,
 ) -> DataFrame:
     """The queue of a mix: every document ``most`` times, with what the mix takes of it.
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forecourt.llm.collocations import collocations
 from forecourt.llm.common import table
+from forecourt.llm.conversations import repair_report
 from forecourt.llm.decontaminate import contaminated
 from forecourt.llm.exact_dedup import exact_duplicates
 from forecourt.llm.license_scan import license_notices
@@ -98,6 +100,16 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to four words of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and the cheapest way to repair it."""
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (
     PARTITION BY coalesce(html, '')) AS last FROM pages),
@@ -192,6 +204,36 @@ SELECT doc_id, any_value(size) AS size, any_value(source_size)::BIGINT AS source
   any_value(target) AS target, sum(got)::BIGINT AS taken FROM b GROUP BY h, source, doc_id
 """
 
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+    lambda i: array_to_string(w[i:i + k - 1], ' '))) AS p FROM w, range(1, 5) ks(k)),
+f AS (SELECT lang, k, p, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT f.lang, p, n, f.k AS size, string_split(p, ' ') AS w FROM f WHERE f.k > 1),
+parts AS (SELECT lang, p, n, ks.k, array_to_string(w[:ks.k], ' ') AS lp,
+    array_to_string(w[ks.k + 1:], ' ') AS rp FROM c, range(1, 4) ks(k) WHERE ks.k < size),
+cuts AS (SELECT s.lang, s.p, s.n AS a, s.k, x.n AS l, y.n AS r,
+    2000000 * s.n::HUGEINT // (x.n + y.n) AS score
+  FROM parts s JOIN f x ON x.lang = s.lang AND x.p = s.lp JOIN f y ON y.lang = s.lang AND y.p = s.rp),
+best AS (SELECT lang, p, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r,
+    min(score) AS score FROM cuts GROUP BY lang, p),
+most AS (SELECT lang, p, max(n) AS n FROM (
+    SELECT lang, n, array_to_string(w[i:i + k - 1], ' ') AS p
+    FROM c, range(2, 4) ks(k), range(1, 4) s(i) WHERE k < size AND i + k - 1 <= size)
+  GROUP BY lang, p),
+stay AS (SELECT b.* FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.p = b.p
+  WHERE m.n IS NULL OR 100 * m.n < 80 * b.a),
+ranked AS (SELECT *, row_number() OVER (
+    PARTITION BY lang ORDER BY score DESC, a DESC, encode(p)) AS rank FROM stay)
+SELECT lang, rank, p AS phrase, a, l, r, t.n, score::BIGINT AS score
+FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 LLM_QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -205,6 +247,8 @@ LLM_QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_mixing": op11_mixing,
+    "op12_collocations": op12_collocations,
+    "op13_conversations": op13_conversations,
 }
 
 LLM_ORACLES = {
@@ -213,4 +257,5 @@ LLM_ORACLES = {
     "op8_line_dedup": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_mixing": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
