@@ -136,7 +136,13 @@ def wide(value: str, dtype: DataType) -> str:
 
 def anchor_of(value: str, count: str, dtype: DataType) -> str:
     """A value near the mean, from which deviations are measured, as SQL."""
-    mean = f"try_divide(sum(cast({value} AS double) * {count}), sum(if({value} IS NULL, 0, {count})))"
+    return centre_of(
+        f"try_divide(sum(cast({value} AS double) * {count}), sum(if({value} IS NULL, 0, {count})))",
+        dtype)
+
+
+def centre_of(mean: str, dtype: DataType) -> str:
+    """A double in the type deviations are measured in, as SQL."""
     if is_whole(dtype):
         return f"cast(greatest(least(round({mean}), 9.2E18D), -9.2E18D) AS decimal(20,0))"
     return wide(mean, dtype)

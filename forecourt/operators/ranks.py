@@ -12,7 +12,8 @@ distinct values. Ranks are then found in steps:
    its own extremes, into one *part* per thousand distinct values, and only the parts
    that hold a wanted rank are ordered.
 
-A key has at most 8,192 slices of 32-bit integers (16,384 of 64-bit ones).
+A slice of 32-bit integers has at most 8,192 values, and a key at most 528,000 such slices (of
+64-bit integers 16,384).
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ COUNT = "fc_count"
 ROWS = "fc_rows"
 
 STEP_BITS = 7
+WIDTH_BITS = 13
 FRACTION_BITS = 20
 PART_VALUES = 1024
 
@@ -53,7 +55,8 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def slice_of(value: str, dtype: DataType) -> str:
     """An order-preserving coarse number of the value, as SQL.
 
-    It keeps the place of the leading bit and the seven bits after it, all in exact
+    It keeps the place of the leading bit and the seven bits after it (of 32-bit integers all
+    but the last 13 bits at least), all in exact
     arithmetic: the same value gets the same slice on every machine. Of fractions the
     binary places beyond the twentieth do not count; numbers beyond 2^42 are scaled down.
     """
@@ -71,13 +74,18 @@ def slice_of(value: str, dtype: DataType) -> str:
         most = 62 * len(steps) * 2**STEP_BITS
         number = f"(CASE WHEN isnan({number}) THEN {most + 2} {arms} ELSE {most + 1} END)"
         return f"if({value} < 0, -1 - {number}, {number})"
-    number = _octaves(size)
+    number = _octaves(size, WIDTH_BITS if is_small(dtype) else 64)
     return f"if({value} < 0, -1 - {number}, {number})"
 
 
-def _octaves(size: str) -> str:
-    """The place of the leading bit of a whole number, and the bits after it, as one number."""
+def _octaves(size: str, most: int = 64) -> str:
+    """The place of the leading bit of a whole number, and the bits after it, as one number.
+
+    At most ``most`` bits at its end do not count.
+    """
     shift = f"greatest(length(bin({size})) - {STEP_BITS + 1}, 0)"
+    if most < 64:
+        shift = f"least({shift}, {most})"
     return f"({shift} * {2**STEP_BITS} + shiftright({size}, {shift}))"
 
 

@@ -1,8 +1,9 @@
 """Outlier-trimmed distributions over equal-width or equal-frequency bins.
 
-Everything is one lazy plan over one table of value counts, so the listings are scanned
-once and bins are assigned to distinct values. Bounds and cut points enter as scalar
-subqueries; nothing is run, fetched or cached while a distribution is built.
+Everything is one lazy plan over one running-count index of the values (``operators.running``), so
+the listings are scanned once. Trim bounds, cut points and the median of every bin are
+lookups in it. Bounds and cuts are joined to the index as one row; nothing is run, fetched or
+cached while a distribution is built.
 """
 
 from __future__ import annotations
@@ -17,11 +18,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from forecourt.functions.measures import Measure, is_whole, quantile
-from forecourt.operators.bins import Bin, measured_bins
+from forecourt.functions.measures import Measure, is_whole
+from forecourt.operators.bins import Bin
 from forecourt.operators.filters import ListingFilter, require_columns
 from forecourt.operators.ranks import COUNT, VALUE, measures_of_counts, value_counts
-from forecourt.plans.statistics import SUMMARY_MEASURES, even_quantiles, with_quantile_list
+from forecourt.operators.running import (
+    TOTAL,
+    UPTO,
+    entry_at,
+    even_values,
+    measured_runs,
+    rank_of,
+    running_counts,
+    with_row,
+)
+from forecourt.plans.statistics import even_quantiles, with_quantile_list
 
 Kind = Literal["interval", "quantile"]
 
@@ -30,30 +41,30 @@ TRIM_TIERS = ((1000, 0.0005, 0.995), (500, 0.03, 0.97), (50, 0.05, 0.95))
 Tiers = Sequence[tuple[int, float, float]]
 
 
-def _trimmed_bounds(counts: DataFrame, dtype: DataType, tiers: Tiers) -> DataFrame:
-    """One row: full and trimmed bounds in the column's type, relative deviation and count."""
-    wanted = [
-        Measure("orig_start", "min"),
-        Measure("orig_end", "max"),
-        Measure("rsd", "rsd_percent"),
-        Measure("count", "count"),
-    ]
-    for size, low, high in tiers:
-        wanted += [quantile(low, f"low_{size}", own=True), quantile(high, f"high_{size}", own=True)]
+def _bounds(index: DataFrame, dtype: DataType, tiers: Tiers, trim: bool) -> DataFrame:
+    """One row: ``lower`` and ``upper``, the first and the last index entry of the (trimmed) range.
 
-    def tiered(side: str, full: str) -> str:
+    Besides, the extremes of all and the number of rows.
+    """
+    entry = f"struct({VALUE}, {UPTO}, {COUNT})"
+    found = [f"min({entry}) AS least", f"max({entry}) AS most", f"max({TOTAL}) AS {TOTAL}"]
+    sides = {"lower": "least", "upper": "most"}
+    if trim and tiers:
         largest_first = sorted(tiers, reverse=True)
-        arms = " ".join(f"WHEN count > {size} THEN {side}_{size}" for size, _, _ in largest_first)
-        return f"CASE {arms} ELSE {full} END" if arms else full
-
-    return measures_of_counts(counts, [], dtype, wanted).selectExpr(
-        "orig_start",
-        "orig_end",
-        "rsd",
-        "count",
-        f"{tiered('low', 'orig_start')} AS start",
-        f"{tiered('high', 'orig_end')} AS end",
-    )
+        for i, (_, low, high) in enumerate(largest_first):
+            for side, q in (("lower", low), ("upper", high)):
+                found.append(f"{entry_at(rank_of(repr(float(q)) + 'D', TOTAL))} AS {side}_{i}")
+        for side, whole in list(sides.items()):
+            arms = " ".join(f"WHEN {TOTAL} > {size} THEN {side}_{i}"
+                            for i, (size, _, _) in enumerate(largest_first))
+            sides[side] = f"CASE {arms} ELSE {whole} END"
+    return index.agg(*[F.expr(f) for f in found]).selectExpr(
+        TOTAL, f"least.{VALUE} AS orig_start", f"most.{VALUE} AS orig_end",
+        *[f"{sql} AS {side}" for side, sql in sides.items()],
+    ).selectExpr(
+        "*", f"lower.{VALUE} AS start", f"upper.{VALUE} AS end",
+        f"lower.{UPTO} - lower.{COUNT} AS fc_before", f"upper.{UPTO} AS fc_last",
+        f"upper.{UPTO} - lower.{UPTO} + lower.{COUNT} AS fc_rows_within").drop("lower", "upper")
 
 
 def trim_range(
@@ -70,9 +81,14 @@ def trim_range(
     By default, the more rows, the less is cut off, and 50 rows or fewer keep their range.
     """
     require_columns(df, [column])
+    dtype = df.schema[column].dataType
     counts = value_counts(listing_filter.apply(df, as_of), [], column)
-    bounds = _trimmed_bounds(counts, df.schema[column].dataType, tiers)
-    return bounds.select(F.lit(column).alias("column"), "*")
+    bounds = _bounds(running_counts(counts, dtype), dtype, tiers, trim=True)
+    whole = measures_of_counts(
+        counts, [], dtype, [Measure("rsd", "rsd_percent"), Measure("count", "count")])
+    # Both have one row.
+    return whole.join(bounds, F.col("count") == F.coalesce(TOTAL, F.lit(0))).select(
+        F.lit(column).alias("column"), "orig_start", "orig_end", "rsd", "count", "start", "end")
 
 
 @dataclass(frozen=True)
@@ -189,38 +205,56 @@ def distribution(
         raise ValueError(f"unknown kind of distribution {kind!r}")
     require_columns(df, [column])
     dtype = df.schema[column].dataType
-    counts = value_counts(listing_filter.apply(df, as_of), [], column).select(VALUE, COUNT)
-    if trim:
-        found = _trimmed_bounds(counts, dtype, tiers)
-    else:
-        found = counts.agg(F.min(VALUE).alias("start"), F.max(VALUE).alias("end"))
-    bounds = found.select(F.struct("start", "end").alias("b")).scalar().alias("fc_bounds")
-    # The bounds are a column, so that the plan holds their subquery once.
-    bounded = counts.select("*", bounds).filter(
-        F.col(VALUE).between(F.col("fc_bounds.start"), F.col("fc_bounds.end")))
-    inside = bounded.drop("fc_bounds")
-
-    places = _interval_places
-    given = [bounds]
-    placed = bounded
+    counts = value_counts(listing_filter.apply(df, as_of), [], column)
+    index = running_counts(counts, dtype)
+    bounds = _bounds(index, dtype, tiers, trim).withColumn(
+        "fc_bounds", F.struct("start", "end"))
+    given = bounds.select(TOTAL, "fc_bounds", "fc_before", "fc_last", "fc_rows_within")
+    # The values within the bounds are the rows after the first and up to the last of them.
+    within = with_row(index, given).where(
+        (F.col(UPTO) > F.col("fc_before")) & (F.col(UPTO) <= F.col("fc_last")))
+    cuts = even_values(within, n, "fc_before", "fc_rows_within")
     if kind == "quantile":
-        places = _quantile_places
-        own = [quantile(m.fraction, m.name, own=True) for m in even_quantiles(n)]
-        cuts = measures_of_counts(inside, [], dtype, [Measure("min", "min"), *own])
-        cuts = cuts.select(F.array("min", *[m.name for m in own]).alias("cuts")).scalar()
-        given = [cuts.alias("fc_cuts")]
-        placed = inside.select("*", *given)
-    index, category, edges = places(n, last_closed, dtype, F.col(VALUE))
+        places, row = _quantile_places, given.join(F.broadcast(cuts), TOTAL)
+        placed = with_row(index, row).where(
+            (F.col(UPTO) > F.col("fc_before")) & (F.col(UPTO) <= F.col("fc_last")))
+    else:
+        places, row, placed = _interval_places, given, within
+    place, category, edges = places(n, last_closed, dtype, F.col(VALUE))
 
-    def summary() -> DataFrame:
-        wanted = [*SUMMARY_MEASURES, *even_quantiles(n)]
-        return with_quantile_list(measures_of_counts(inside, [], dtype, wanted), column, n)
+    def bins() -> DataFrame:
+        return _bins(placed.select(
+            place.alias("index"), category.alias("category"), VALUE, COUNT, UPTO), column, dtype)
 
-    return Distribution(
-        lambda: measured_bins(placed, column, dtype, index, category),
-        summary,
-        lambda: df.sparkSession.range(1).select(*given).select(edges.alias("edges")),
-    )
+    def summary() -> DataFrame:
+        # The same with one bin, beside the quantiles.
+        one = measured_runs(within.select(F.lit(0).alias("index"), VALUE, COUNT, UPTO), ["index"], dtype)
+        values = df.sparkSession.range(1).select(cuts.select("fc_cuts").scalar().alias("fc_cuts"))
+        whole = values.join(one, F.col("index") == 0, "left").selectExpr(
+            "coalesce(count, 0) AS count", "min", "max", "mean", "median", "rsd",
+            *[f"get(fc_cuts, {i}) AS {m.name}" for i, m in enumerate(even_quantiles(n), start=1)])
+        return with_quantile_list(whole.selectExpr(
+            "count", "min", "max", "mean", "median", "rsd",
+            *[f"cast({m.name} AS double) AS {m.name}" for m in even_quantiles(n)]), column, n)
+
+    def ends() -> DataFrame:
+        wanted = [c for c in row.columns if c in ("fc_bounds", "fc_cuts")]
+        found = df.sparkSession.range(1).select(*[row.select(c).scalar().alias(c) for c in wanted])
+        if kind == "quantile":
+            none = F.array().cast(ends_type(dtype))
+            found = found.withColumn("fc_cuts", F.coalesce("fc_cuts", none))
+        return found.select(edges.alias("edges"))
+
+    return Distribution(bins, summary, ends)
+
+
+def _bins(placed: DataFrame, column: str, dtype: DataType) -> DataFrame:
+    """Measures of every bin that holds a value, in order. Medians of whole numbers are whole."""
+    measured = measured_runs(placed.where("index IS NOT NULL"), ["index", "category"], dtype)
+    median = F.col("median").cast(dtype) if is_whole(dtype) else F.col("median")
+    return measured.select(
+        F.lit(column).alias("column"), "category", "index", "min", "max", median.alias("median"),
+        "count", "mean", "rsd").orderBy("index")
 
 
 def distribution_chart(parts: Distribution, column: str) -> DataFrame:
