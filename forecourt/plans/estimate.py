@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from forecourt.functions.bands import MILEAGE_BANDS, POWER_BANDS, band_number, band_of
-from forecourt.functions.measures import measures
+from forecourt.functions.measures import is_whole, measures
 from forecourt.functions.text import any_like
 from forecourt.operators.filters import (
     AT_LEAST,
@@ -201,52 +201,79 @@ def alternative_estimates(
 NUMBERS = ("year", "cc")
 BANDED = {"mileage": MILEAGE_BANDS, "power": POWER_BANDS}
 FOUND = "found"
-# Fields in the order they enter a key. Those dropped when a wish is relaxed come last.
+# Fields that must be met exactly. Those dropped when a wish is relaxed come last.
 FIELDS = ("year", *BANDED, "make", "model", "gearbox", "engine", "cc", FOUND)
 RELAXED = ("cc", FOUND)
-# How an open field is written: an SQL literal no escaped text can equal.
-OPEN = r"r'\N'"
 # Limits a request may give: its column, the advert's, the comparison, and the exact field
-# that replaces it.
+# that replaces it. Those of ``created_on`` are days back from a date.
 LIMITS = (
     *((f"{name}_{side}", name, op, name) for name in EXACT_OR_RANGE
       for side, op in (("from", ">="), ("to", "<="))),
     *((name, column, ">=", None) for name, column in AT_LEAST.items()),
     *((name, column, "<=", None) for name, column in AT_MOST.items()),
+    ("created_on_from", "created_on", ">=", None),
+    ("created_on_to", "created_on", "<=", None),
 )
-
-
-def _escaped(text: Column) -> Column:
-    """Text in which a bare bar or an open field's mark cannot occur."""
-    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(text, F.lit("|"), F.lit("\\|"))
+# A range becomes nodes of a tree in this many columns of a wish.
+TREES = 2
 
 
 def _fields(df: DataFrame, search: Column | None) -> dict[str, Column]:
-    """The comparable fields a table has, as text, except engines given as a list."""
+    """The comparable fields a table has, as they are compared; engines may be a list."""
     found: dict[str, Column] = {}
     for name in FIELDS:
         if name == FOUND:
             if search is not None:
-                found[name] = search.cast("string")
+                found[name] = search
         elif name in df.columns:
             if name in BANDED:
-                found[name] = band_number(name, BANDED[name]).cast("string")
+                found[name] = band_number(name, BANDED[name])
             elif name in NUMBERS:
-                found[name] = F.col(name).cast("string")
+                whole = is_whole(df.schema[name].dataType)
+                found[name] = F.col(name).cast("bigint" if whole else "double")
             elif isinstance(df.schema[name].dataType, ArrayType):
                 listed = F.array_sort(F.array_distinct(F.array_compact(name)))
-                found[name] = F.transform(F.when(F.size(listed) > 0, listed), _escaped)
+                found[name] = F.when(F.size(listed) > 0, listed)
             else:
-                found[name] = _escaped(F.col(name).cast("string"))
+                found[name] = F.col(name).cast("string")
     return found
 
 
-def _key(names: Sequence[str], kept: Mapping[str, str] | None = None) -> str:
-    """A key over fields, as SQL: the fields, or the expressions given instead, between
-    bars."""
-    parts = [(kept or {}).get(k, f"fc_{k}") for k in names]
-    return f"concat_ws('|', {', '.join(f'coalesce({p}, {OPEN})' for p in parts)})"
+def _print(names: Sequence[str]) -> str:
+    """Two 64-bit hashes of some columns and of which of them are null, as SQL."""
+    present = " + ".join(f"if({name} IS NULL, 0L, {1 << i}L)" for i, name in enumerate(names))
+    values = ", ".join((present, *names))
+    return f"struct(xxhash64({values}) AS a, xxhash64(7919, {values}) AS b)"
+
+
+def tree_nodes(position: str, levels: str) -> str:
+    """The nodes above a position of a tree of four branches, one a level, as SQL.
+
+    Nodes are longs: their place among those of their level, and the level in the last six bits.
+    """
+    return (f"transform(sequence(0, {levels}), l -> shiftright(cast({position} AS bigint), 2 * l)"
+            " * 64 + l)")
+
+
+def tree_cover(first: str, last: str, levels: str) -> str:
+    """The fewest nodes that cover positions from first to last (both in), as SQL.
+
+    On each level, whole nodes lie between two places; those that fill no whole node of the
+    next level are taken. That is at most six a level.
+    """
+    def places(level: str) -> tuple[str, str]:
+        return (f"shiftright({first} + shiftleft(1L, 2 * ({level})) - 1, 2 * ({level}))",
+                f"shiftright({last} + 1, 2 * ({level}))")
+
+    def nodes(start: str, end: str) -> str:
+        # The sequence would run backwards.
+        return (f"if({start} < {end}, transform(sequence({start}, {end} - 1), n -> n * 64 + l),"
+                " cast(array() AS array<bigint>))")
+
+    (left, right), (above, below) = places("l"), places("l + 1")
+    return (f"flatten(transform(sequence(0, {levels}), l -> if({above} < {below}, concat("
+            f"{nodes(left, f'4 * {above}')}, {nodes(f'4 * {below}', right)}),"
+            f" {nodes(left, right)})))")
 
 
 def estimate_prices(
@@ -255,23 +282,31 @@ def estimate_prices(
     id_column: str = "request_id",
     column: str = DEFAULT_STAT_COLUMN,
     search: str | None = None,
+    as_of: dt.date | None = None,
 ) -> DataFrame:
     """Estimate every request of a table.
 
     A request may give ``make, model, year, engine`` (a value or a list), ``gearbox,
     mileage, power`` and ``cc``, and limits: ``year, power, mileage`` and ``cc`` with
-    ``_from`` and ``_to``, ``price, price_from, price_to, estimated_price``, and
-    ``discount`` and ``save_diff`` with ``_from`` and ``_to``. A null leaves a field open; any
+    ``_from`` and ``_to``, ``price, price_from, price_to, estimated_price``,
+    ``discount`` and ``save_diff`` with ``_from`` and ``_to``, and ``created_on_from`` and
+    ``created_on_to`` (days back from ``as_of``, today if not given). A null leaves a field open; any
     other column is an error. ``search`` holds for the whole batch. As for a single request,
     mileage and power mean their bands, an exact value replaces its limits, and a request
     nothing meets is tried again without ``cc`` and ``search``. Requests without comparables
     keep a row with count 0.
 
-    Requests and adverts are never paired. Equal wishes are answered once, and adverts
+    Requests and adverts are never paired. Equal wishes are answered once (they go by two
+    64-bit hashes of all they ask for), and adverts
     are reduced to price counts per *cell* (the fields wishes give), one set of cells
     for every combination of given fields that occurs, so a model holding most of
-    adverts and requests costs its distinct prices. Wishes with limits read the cell's
-    counts together with the limited columns.
+    adverts and requests costs its distinct prices.
+
+    A range of whole numbers or days is a few nodes of a tree over the column's values, and every
+    value lies in one node of each level; so ranges, too, are met by equality, and a wish
+    reads the distinct prices of its nodes, however many adverts there are. That holds for two
+    limited columns of a wish, and for limits of the price itself; limits on fractions, and on a
+    third column at once, are compared row by row among the counts of those nodes.
     """
     require_columns(requests, [id_column])
     require_columns(adverts, [column])
@@ -286,91 +321,163 @@ def estimate_prices(
     require_columns(adverts, [of for _, of, *_ in limits])
     require_columns(adverts, [k for k in asked if k != FOUND])
     names = list(asked)
+    for k in set(names) & set(NUMBERS):  # compared in one type
+        if not (is_whole(requests.schema[k].dataType) and is_whole(adverts.schema[k].dataType)):
+            asked[k] = asked[k].cast("double")
     bits = {k: 1 << i for i, k in enumerate(names)}
     listed = "engine" in names and isinstance(requests.schema["engine"].dataType, ArrayType)
+    today = as_of or dt.datetime.now(dt.timezone.utc).date()
 
-    # Wishes: the fields asked for as one compact text to shuffle and join by.
-    wish_of = {"engine": "to_json(fc_engine)"} if listed else {}
-    given = " + ".join(["0", *(f"if(fc_{k} IS NULL, 0, {bit})" for k, bit in bits.items())])
-
-    def held(level: int) -> dict[str, str]:
-        """The limits that count, as SQL: none where an exact value is given and not dropped."""
-        found = {}
-        for name, _, _, exact in limits:
-            if exact in names and not (level and exact in RELAXED):
-                found[name] = f"if(fc_{exact} IS NULL, fl_{name}, NULL)"
-            else:
-                found[name] = f"fl_{name}"
-        return found
-
-    def wish(level: int, kept: Mapping[str, str]) -> str:
-        if not limits:
-            return _key(names, kept)
-        texts = ", ".join(f"coalesce(cast({e} AS string), {OPEN})" for e in held(level).values())
-        return f"concat_ws('|', {_key(names, kept)}, {texts})"
-
-    def bounds(level: int) -> str:
-        return "".join(f", {e} AS fm_{name}" for name, e in held(level).items())
+    # Both tries of every wish: the fields that are not given are null.
+    def limit_value(name: str, of: str) -> Column:
+        if of == "created_on":
+            return F.unix_date(F.date_sub(F.lit(today), F.col(name).cast("int")))
+        return F.col(name)
 
     wanted = requests.select(
         id_column, *[c.alias(f"fc_{k}") for k, c in asked.items()],
-        *[F.col(name).alias(f"fl_{name}") for name, *_ in limits])
-    # What level 1 may fall back on is part of the wish.
-    whole_wish = f"concat_ws('|', {wish(0, wish_of)}, {wish(1, wish_of)})" if limits else wish(0, wish_of)
-    wanted = wanted.selectExpr("*", f"{whole_wish} AS strict", f"{given} AS given")
-    strict = wanted.drop(id_column).distinct()
-
-    # A wish that gives cc or a search has a second try without them.
+        *[limit_value(name, of).alias(f"fl_{name}") for name, of, *_ in limits])
+    limited = list(dict.fromkeys(of for _, of, *_ in limits))
     relaxable = [k for k in names if k in RELAXED]
-    dropped = {k: "NULL" for k in relaxable}
-    mask = sum(bits[k] for k in relaxable)
-    first = f"struct(0 AS level, {wish(0, wish_of) if limits else 'strict'} AS wish, given{bounds(0)})"
-    second = (
-        f"struct(1 AS level, {wish(1, {**wish_of, **dropped})} AS wish,"
-        f" given & {~mask} AS given{bounds(1)})"
-    )
-    tries = strict.selectExpr(
-        "strict",
-        *[f"fc_{k}" for k in names],
-        f"inline(if(given & {mask} = 0, array({first}), array({first}, {second})))",
-    )
 
-    # What a wish looks up: one cell, or one for each engine it lists.
-    def cell_of(kept: Mapping[str, str]) -> str:
-        return f"concat_ws('|', given, {_key(names, kept)})"
+    def bounds(level: int) -> list[str]:
+        """Per limited column its limits, as SQL: none where an exact value is given and kept."""
+        found = []
+        for of in limited:
+            for op, best in ((">=", "greatest"), ("<=", "least")):
+                held = []
+                for name, its, its_op, exact in limits:
+                    if (its, its_op) == (of, op):
+                        replaced = exact in names and not (level and exact in RELAXED)
+                        held.append(
+                            f"if(fc_{exact} IS NULL, fl_{name}, NULL)" if replaced else f"fl_{name}")
+                side = f"{best}({', '.join(held)})" if len(held) > 1 else (
+                    held[0] if held else "cast(NULL AS int)")
+                found.append(f"{side} AS {'lo' if op == '>=' else 'hi'}_{of}")
+        return found
 
-    within = {k: f"if(given & {bit} = 0, NULL, fc_{k})" for k, bit in bits.items()}
-    attempts = tries.drop("strict", "level")
+    def one_try(level: int) -> str:
+        kept = [f"{'NULL' if level and k in RELAXED else f'fc_{k}'} AS fc_{k}" for k in names]
+        given = " + ".join(
+            ["0", *(f"if(fc_{k} IS NULL, 0, {bits[k]})" for k in names
+                    if not (level and k in RELAXED))])
+        return f"struct({level} AS level, {', '.join((*kept, f'{given} AS given', *bounds(level)))})"
+
+    everything = [f"fc_{k}" for k in names] + [f"fl_{name}" for name, *_ in limits]
+    wanted = wanted.selectExpr("*", f"{_print(everything)} AS strict")
+    dropped = " OR ".join(f"fc_{k} IS NOT NULL" for k in relaxable) or "false"
+    tries = wanted.dropDuplicates(["strict"]).selectExpr(
+        "strict", f"inline(if({dropped}, array({one_try(0)}, {one_try(1)}), array({one_try(0)})))"
+    ) if relaxable else wanted.dropDuplicates(["strict"]).selectExpr(
+        "strict", f"inline(array({one_try(0)}))")
+    ends = [f"{side}_{of}" for of in limited for side in ("lo", "hi")]
+    tries = tries.selectExpr("*", f"{_print([*[f'fc_{k}' for k in names], *ends])} AS wish")
+
+    attempts = tries.drop("strict", "level").dropDuplicates(["wish"])
     if listed:
         attempts = attempts.withColumn("fc_engine", F.explode_outer("fc_engine"))
-    marks = [f"fm_{name}" for name, *_ in limits]
-    looked_up = attempts.selectExpr(
-        "wish", "given", f"{cell_of(within)} AS cell", *marks).distinct()
 
     met = None
     if search is not None:
         met = F.coalesce(any_like(SEARCHED, search), F.lit(False))
     described = _fields(adverts, met)
-    limited = sorted({of for _, of, *_ in limits})
-    fine = value_counts(
-        adverts.select(*[described[k].alias(f"fc_{k}") for k in names], column,
-                       *[F.col(c).alias(f"fr_{c}") for c in limited]),
-        [*(f"fc_{k}" for k in names), *(f"fr_{c}" for c in limited)],
-        column,
-    )
-    # One set of cells per combination of given fields, at most one per subset.
-    combinations = looked_up.agg(F.collect_set("given")).scalar()
-    cells = (
-        fine.withColumn("fc_all", combinations)
-        .withColumn("given", F.explode("fc_all"))
-        .selectExpr(f"{cell_of(within)} AS cell", *[f"fr_{c}" for c in limited], VALUE, COUNT)
-        .groupBy("cell", *[f"fr_{c}" for c in limited], VALUE)
-        .agg(F.sum(COUNT).alias(COUNT))
-    )
-
-    matched = looked_up.join(cells, "cell")
-    for name, of, op, _ in limits:
-        matched = matched.where(f"fm_{name} IS NULL OR fr_{of} {op} fm_{name}")
+    treed = [of for of in limited if of != column]
+
+    def plain(of: str) -> Column:
+        return F.unix_date(of) if of == "created_on" else F.col(of)
+
+    rows = adverts.select(
+        *[described[k].cast(wanted.schema[f"fc_{k}"].dataType).alias(f"fc_{k}")
+          if k in NUMBERS else described[k].alias(f"fc_{k}") for k in names], column,
+        *[plain(of).alias(f"fr_{of}") for of in treed])
+    fine = value_counts(rows, [*(f"fc_{k}" for k in names), *(f"fr_{of}" for of in treed)], column)
+
+    # Whole numbers and days have trees over the range of the adverts' values.
+    whole = [of for of in treed if of == "created_on" or is_whole(adverts.schema[of].dataType)]
+    spans = {of: 1 << i for i, of in enumerate(whole)}
+    extent = rows.agg(F.struct(*[
+        F.struct(F.min(f"fr_{of}").cast("bigint").alias("base"),
+                 F.max(f"fr_{of}").cast("bigint").alias("top")).alias(of) for of in whole]
+        or [F.lit(0).alias("none")]).alias("extent")).scalar()
+    mask = " + ".join(["0", *(
+        f"if(lo_{of} IS NULL AND hi_{of} IS NULL, 0, {bit})" for of, bit in spans.items())])
+    attempts = attempts.selectExpr("*", f"{mask} AS mask").withColumn("extent", extent)
+
+    def levels(of: str) -> str:
+        return f"((length(bin(extent.{of}.top - extent.{of}.base)) + 1) div 2)"
+
+    def nth(n: int, expression: Callable[[str], str]) -> str:
+        """An expression for the nth limited column of ``mask``, as SQL; null if there is none."""
+        arms = " ".join(
+            f"WHEN mask & {bit} > 0 AND bit_count(mask & {bit - 1}) = {n} THEN {expression(of)}"
+            for of, bit in spans.items())
+        return f"CASE {arms} END"
+
+    def covered(of: str) -> str:
+        base, top = f"extent.{of}.base", f"extent.{of}.top"
+        low = f"greatest(ceil(coalesce(lo_{of}, {base})) - {base}, 0L)"
+        high = f"least(floor(coalesce(hi_{of}, {top})), {top}) - {base}"
+        return (f"if({high} < {low}, cast(array() AS array<bigint>),"
+                f" {tree_cover(f'cast({low} AS bigint)', f'cast({high} AS bigint)', f'cast({levels(of)} AS int)')})")
+
+    trees = range(min(TREES, len(whole)))
+
+    def node(df: DataFrame, n: int, expression: Callable[[str], str]) -> DataFrame:
+        return df.withColumn(f"node_{n}", F.explode(F.expr(
+            f"if(bit_count(mask) <= {n}, array(-1L), {nth(n, expression)})")))
+
+    # Limits that no tree meets: of fractions, and of a third column.
+    rest = [of for of in treed if of not in spans or len(spans) > TREES]
+    within = [f"if(given & {bit} = 0, NULL, fc_{k}) AS fc_{k}" for k, bit in bits.items()]
+
+    def cell(to: int) -> str:
+        parts = [f"fc_{k}" for k in names] + [f"node_{n}" for n in range(to)]
+        return f"struct(given, mask, {', '.join(parts)}) AS cell_{to}"
+
+    looked_up = attempts
+    for n in trees:
+        looked_up = node(looked_up, n, covered)
+    limit_of_value = [f"{side}_{column} AS {name}" if column in limited else f"cast(NULL AS int) AS {name}"
+                      for side, name in (("lo", "low"), ("hi", "high"))]
+    looked_up = looked_up.selectExpr(
+        "wish", *[cell(to) for to in range(len(trees) + 1)], *limit_of_value,
+        *[f"{end}_{of}" for of in rest for end in ("lo", "hi")])
+
+    # One set of cells per combination of given fields and limited columns, at most one per subset.
+    combinations = attempts.agg(F.collect_set(F.struct("given", "mask"))).scalar()
+    cells = fine.withColumn("fc_all", combinations).withColumn(
+        "fc_one", F.explode("fc_all")).selectExpr("*", "fc_one.given", "fc_one.mask")
+    # What a wish gives must be there.
+    there = [f"(given & {bit} = 0 OR fc_{k} IS NOT NULL)" for k, bit in bits.items()]
+    there += [f"(mask & {bit} = 0 OR fr_{of} IS NOT NULL)" for of, bit in spans.items()]
+    cells = cells.where(" AND ".join(there) or "true")
+    compared = [
+        f"if(mask & {spans[of]} > 0 AND bit_count(mask & {spans[of] - 1}) < {TREES}, NULL, fr_{of})"
+        f" AS fr_{of}" if of in spans else f"fr_{of}" for of in rest]
+    cells = cells.selectExpr(
+        "given", "mask", *within, *[f"fr_{of} AS at_{of}" for of in whole], *compared, VALUE, COUNT)
+    if whole:
+        cells = cells.withColumn("extent", extent)
+    asked_for = looked_up.select(*[f"cell_{to}" for to in range(len(trees) + 1)])
+    for to in range(len(trees) + 1):
+        if to:
+            cells = node(cells, to - 1, lambda of: tree_nodes(
+                f"at_{of} - extent.{of}.base", f"cast({levels(of)} AS int)"))
+        cells = cells.selectExpr("*", cell(to))
+        if limits:
+            # Only what some wish asks for goes on.
+            cells = cells.join(asked_for.select(f"cell_{to}").distinct(), f"cell_{to}", "left_semi")
+    key = f"cell_{len(trees)}"
+    cells = cells.groupBy(key, *[f"fr_{of}" for of in rest], VALUE).agg(F.sum(COUNT).alias(COUNT))
+
+    matched = looked_up.join(cells, key)
+    matched = matched.where(f"(low IS NULL OR {VALUE} >= low) AND (high IS NULL OR {VALUE} <= high)")
+    for of in rest:
+        # Null where a tree has met the limit.
+        met_by_tree = f"(fr_{of} IS NULL AND {key}.mask & {spans[of]} > 0)" if of in spans else "false"
+        matched = matched.where(
+            f"{met_by_tree} OR ((lo_{of} IS NULL OR fr_{of} >= lo_{of})"
+            f" AND (hi_{of} IS NULL OR fr_{of} <= hi_{of}))")
     matched = matched.select("wish", VALUE, COUNT)
     measured = measures_of_counts(
         matched, ["wish"], adverts.schema[column].dataType, measures(ESTIMATE_MEASURES)
