@@ -760,7 +760,9 @@ def closed_bins(x: str, n: int, place: str, category: str) -> tuple[str, str]:
     """Equal bins over the whole range, the last one closed."""
     whole_type = x == "number"
     middle = f"CAST(trunc(median({x})) AS BIGINT)" if whole_type else r(f"median({x})")
-    more = "" if whole_type else f", {r(f'avg({x})')} AS mean, {r(rsd_percent(x))} AS rsd"
+    # A mean of a thousand values of four digits may lie in the middle of two numbers of six.
+    more = "" if whole_type else (
+        f", round(CAST(avg({x}) AS DOUBLE), 8) AS mean, {r(rsd_percent(x))} AS rsd")
     shown = (lambda e: e) if whole_type else r
     return f"""
 SELECT '{x}' AS "column", CAST({category} AS VARCHAR) AS category, bin AS "index",
@@ -841,3 +843,103 @@ chosen AS (
   WHERE strict = any_strict
 )
 """)
+
+# --- many bins, limits per request, indexes and mergeable states -------------------------
+
+PRICE_BINS = f"""
+bins AS (
+  SELECT '{P}' AS "column", start, "end", CAST("index" AS VARCHAR) AS category, "index" FROM (
+    SELECT {P} AS start, lead({P}) OVER (ORDER BY {P}) AS "end",
+      CAST(row_number() OVER (ORDER BY {P}) - 1 AS INTEGER) AS "index"
+    FROM (SELECT DISTINCT {P} FROM adverts WHERE make < 'Brand#19')
+  ) WHERE "end" IS NOT NULL
+)
+"""
+oracle("bins_table_stats", f"""
+SELECT "column", category, "index", {bin_measures()}
+FROM adverts ASOF JOIN bins ON {P} >= start WHERE {P} < "end" GROUP BY ALL
+""", PRICE_BINS)
+oracle("bins_table_overlaps", """
+SELECT * FROM (
+  SELECT *, lead(start) OVER (ORDER BY start, "end") AS next_start
+  FROM (SELECT * REPLACE ("end" + CASE WHEN start % 2 = 0 THEN 3 ELSE 0 END AS "end") FROM bins)
+) WHERE next_start < "end"
+""", PRICE_BINS)
+oracle("dist_index_quantile", f"""
+SELECT '{P}' AS "column", CAST(bin AS VARCHAR) AS category,
+  CAST(dense_rank() OVER (ORDER BY bin) - 1 AS INTEGER) AS "index", {bin_measures()}
+FROM trimmed ASOF JOIN wide ON {P} >= lo_cut WHERE {P} < hi_cut GROUP BY bin
+""", f"""{range_steps(True, "make <> 'x'")},
+  sorted AS (SELECT {P}, row_number() OVER (ORDER BY {P}) - 1 AS spot, count(*) OVER () AS n FROM trimmed),
+  cuts AS (SELECT i, {P} AS cut FROM range(0, 101) r(i)
+    JOIN sorted ON spot = CAST(floor((n - 1) * (i / 100::DOUBLE) + 0.5) AS BIGINT)),
+  wide AS (SELECT * FROM (
+    SELECT i + 1 AS bin, cut AS lo_cut, lead(cut) OVER (ORDER BY i) AS hi_cut FROM cuts)
+    WHERE lo_cut < hi_cut)""")
+S = "save_diff_in_eur"
+oracle("dist_index_interval", f"""
+SELECT '{S}' AS "column", CAST(bin AS VARCHAR) AS category, bin AS "index", {bin_measures(S)}
+FROM (SELECT {S}, CAST(least(59, ({S} - lo) // ((hi - lo) // 60)) AS INTEGER) AS bin
+      FROM adverts, bounds WHERE make <> 'x' AND {S} BETWEEN lo AND hi)
+GROUP BY bin
+""", f"""bounds AS (SELECT CAST({nearest(0.0005, S)} AS INTEGER) AS lo,
+    CAST({nearest(0.995, S)} AS INTEGER) AS hi FROM adverts WHERE make <> 'x')""")
+oracle("estimate_batch_limits", f"""
+SELECT request_id, {ANSWER}
+FROM requests JOIN (SELECT request_id AS id, {MEASURED} FROM met GROUP BY request_id) ON id = request_id
+""", f"""
+hot AS (SELECT mileage, power, created_on, {P} FROM adverts WHERE make = 'Brand#1'),
+requests AS (
+  SELECT concat_ws('-', mileage, power) AS request_id, mileage AS m, power AS w,
+    min(created_on) AS first_day
+  FROM hot GROUP BY mileage, power
+),
+met AS (
+  SELECT request_id, {P} FROM requests JOIN hot ON mileage >= m - 24000
+    AND (w % 3 = 0 OR mileage <= m + 16000) AND (w % 3 <> 1 OR power <= w)
+    AND (m % 3 <> 0 OR created_on >= first_day) AND (m % 5 <> 0 OR {P} <= 60000)
+)
+""")
+_title, _equipment = "lower(title)", "lower(equipment)"
+oracle("search_indexed", f"""
+SELECT advert_id, title, equipment, {P}, 'RED.*get' AS search FROM adverts
+WHERE regexp_matches({_title}, 'red.*get') OR regexp_matches({_equipment}, 'red.*get')
+UNION ALL SELECT advert_id, title, equipment, {P}, '*bolt' FROM adverts
+WHERE {_title} LIKE '%bolt' OR {_equipment} LIKE '%bolt'
+UNION ALL SELECT advert_id, title, equipment, {P}, 'urgent' FROM adverts
+WHERE contains({_title}, 'urgent') OR contains({_equipment}, 'urgent')
+""")
+oracle("quantile_sketch", f"""
+SELECT make, fraction, "rows", true AS "within" FROM (
+  SELECT make, count({P}) AS "rows" FROM adverts GROUP BY make),
+  (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) f(fraction)
+""")
+oracle("facet_overlap_sketch", f"""
+SELECT make, count(DISTINCT {P}) AS distinct_prices, count(DISTINCT {P}) FILTER ({P} IN (
+    SELECT {P} FROM adverts WHERE engine = '2-HIGH')) AS shared_prices, true AS "within"
+FROM adverts GROUP BY make
+""")
+oracle("stat_merged", f"SELECT make, {aliased(['count', 'mean', 'std', 'rsd'])} FROM adverts GROUP BY make")
+oracle("pivoted_variant", f"""
+SELECT make, year, concat('{{', string_agg(concat('"', label, '":', total), ',' ORDER BY label), '}}')
+  AS cells
+FROM (SELECT make, year, coalesce(gearbox, 'null') AS label, sum({P}) AS total
+      FROM adverts GROUP BY ALL)
+GROUP BY make, year
+""")
+oracle("spellings_collated", """
+SELECT min(title) AS value, count(DISTINCT title) AS spellings, count(*) AS listings
+FROM (SELECT CASE WHEN year % 3 = 0 THEN upper(title) WHEN year % 3 = 1 THEN array_to_string(
+    list_transform(string_split(title, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') ELSE title END
+    AS title FROM adverts)
+GROUP BY lower(title)
+""")
+oracle("result_pages", f"""
+SELECT spot // 150 AS page, spot // 150 * 150 AS first, CAST(count(*) AS INTEGER) AS items,
+  concat('[', string_agg(concat('{{"advert_id":"', advert_id, '","make":"', make, '","gearbox":',
+    CASE WHEN gearbox IS NULL THEN 'null' ELSE concat('"', gearbox, '"') END,
+    ',"{P}":', {P}, '}}'), ',' ORDER BY spot), ']') AS json
+FROM (SELECT *, row_number() OVER (ORDER BY {P} DESC, advert_id) - 1 AS spot
+      FROM adverts WHERE make = 'Brand#2')
+GROUP BY spot // 150
+""")

@@ -21,23 +21,38 @@ from forecourt.functions.bands import (
 from forecourt.functions.measures import Measure, quantile
 from forecourt.operators.bins import (
     Bin,
-    add_bin,
     axis_values,
     bin_at,
     bin_extent,
     bin_statistics,
-    bins_frame,
+    bin_table_statistics,
+    bins_between_values,
     label_bins,
+    numbered_bins,
     overlapping,
 )
-from forecourt.operators.facets import distinct_spellings, facet, models_of
+from forecourt.operators.facets import collated_values, distinct_spellings, facet, models_of
 from forecourt.operators.filters import ListingFilter, in_range, typed_filter, typed_predicate
 from forecourt.operators.grouping import aggregate_map, group_measures, row_count
 from forecourt.operators.ordering import distinct_on, distinct_values, sort_by
+from forecourt.operators.search_index import indexed_search, trigram_index
+from forecourt.operators.sketches import (
+    distinct_error,
+    facet_overlap,
+    merged_moments,
+    merged_quantiles,
+    moment_states,
+    quantile_states,
+)
 from forecourt.plans import estimate as est
 from forecourt.plans.deals import MOST_DEALS, best_deals, search_deals
 from forecourt.plans.distribution import distribution, distribution_chart, trim_range
-from forecourt.plans.pivoting import PivotRequest, pivot_chart, pivot_table
+from forecourt.plans.pivoting import (
+    PivotRequest,
+    pivot_chart,
+    pivot_object_table,
+    pivot_table,
+)
 from forecourt.plans.statistics import (
     StatRequest,
     chart_statistics,
@@ -51,6 +66,7 @@ from forecourt.sources.results import (
     columnar_json,
     dimension_summary,
     grouped_response,
+    json_pages,
     series_lists,
     whole_numbers,
 )
@@ -66,12 +82,12 @@ def query(function: Query) -> Query:
     return function
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Fractional columns rounded, so that engines can be compared."""
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Fractional columns rounded, so that engines can be compared; ``digits`` for some of them."""
     kinds = (DoubleType, FloatType)
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`").cast("double"), DIGITS).alias(f.name)
+            F.round(F.col(f"`{f.name}`").cast("double"), digits.get(f.name, DIGITS)).alias(f.name)
             if isinstance(f.dataType, kinds)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -863,14 +879,15 @@ def agg_map_mixed_types(spark, sf_dir):
 
 @query
 def dist_fractional(spark, sf_dir):
-    return rounded(distribution(
-        _wide(spark, sf_dir), "tax", 6, trim=False, last_closed=True).bins)
+    bins = distribution(_wide(spark, sf_dir), "tax", 6, trim=False, last_closed=True).bins
+    return rounded(bins, mean=8)
 
 
 @query
 def dist_fractional_quantile(spark, sf_dir):
-    return rounded(distribution(
-        _wide(spark, sf_dir), "tax", 6, kind="quantile", trim=False, last_closed=True).bins)
+    bins = distribution(
+        _wide(spark, sf_dir), "tax", 6, kind="quantile", trim=False, last_closed=True).bins
+    return rounded(bins, mean=8)
 
 
 @query
@@ -922,14 +939,53 @@ def pivot_series_tall(spark, sf_dir):
 def bins_of_years(spark, sf_dir):
     """A bin per year that occurs, one more put in before them, as a table."""
     rows = adverts(spark, sf_dir, ["year"])
-    years = [r.year for r in rows.select("year").distinct().orderBy("year").collect()]
-    bins = add_bin([Bin(y, y + 1, f"in {y}") for y in years], Bin(1900, years[0], "before"))
-    frame = bins_frame(spark, "year", bins)
+    years = rows.select("year").distinct()
+    bins = years.select(
+        F.lit("year").alias("column"), F.col("year").alias("start"), (F.col("year") + 1).alias("end"),
+        F.concat(F.lit("in "), "year").alias("category"))
+    before = years.agg(F.min("year").alias("end")).select(
+        F.lit("year").alias("column"), F.lit(1900).alias("start"), "end", F.lit("before").alias("category"))
+    frame = numbered_bins(bins.unionByName(before), "year")
     counted = rows.groupBy(F.col("year").alias("start")).count()
     return frame.join(counted, "start", "left").select(
         "column", "start", "end", "category", "index", F.coalesce("count", F.lit(0)).alias("adverts"))
 
 
+def _price_bins(spark, sf_dir):
+    """Bins between the distinct prices of half of the makes."""
+    some = adverts(spark, sf_dir, ["make", PRICE]).where("make < 'Brand#19'")
+    return bins_between_values(some, PRICE)
+
+
+@query
+def bins_table_stats(spark, sf_dir):
+    """Measures of thousands of bins, which are a table made from the data."""
+    rows = adverts(spark, sf_dir, [PRICE])
+    return rounded(bin_table_statistics(rows, PRICE, _price_bins(spark, sf_dir)))
+
+
+@query
+def bins_table_overlaps(spark, sf_dir):
+    """Of thousands of bins, made longer where their start is even, those that run into the next."""
+    bins = _price_bins(spark, sf_dir)
+    longer = bins.withColumn("end", F.col("end") + F.when(F.col("start") % 2 == 0, 3).otherwise(0))
+    return overlapping(longer)
+
+
+@query
+def dist_index_quantile(spark, sf_dir):
+    """A hundred bins of equal frequency over the trimmed prices of all adverts."""
+    rows = adverts(spark, sf_dir, ["make", PRICE])
+    return rounded(distribution(rows, PRICE, 100, kind="quantile").bins)
+
+
+@query
+def dist_index_interval(spark, sf_dir):
+    """Sixty bins of equal width over the trimmed differences, many of which are null."""
+    rows = adverts(spark, sf_dir, ["make", "save_diff_in_eur"])
+    return rounded(distribution(rows, "save_diff_in_eur", 60, last_closed=True).bins)
+
+
 # --- delimited text --------------------------------------------------------------------
 
 PRICE_FIELDS = (
@@ -993,3 +1049,100 @@ def estimate_batch_ranges(spark, sf_dir):
         )
     )
     return est.estimate_prices(requests, adverts(spark, sf_dir, [*columns, PRICE]))
+
+
+@query
+def estimate_batch_limits(spark, sf_dir):
+    """Requests for one make, each with limits of its own around a mileage and power that occurs."""
+    columns = ["make", "mileage", "power", "created_on"]
+    rows = adverts(spark, sf_dir, [*columns, PRICE])
+    day = F.date_diff(F.lit(AS_OF), "created_on")
+    requests = (
+        rows.where("make = 'Brand#1'").groupBy("make", "mileage", "power")
+        .agg(F.max(day).alias("day"))
+        .select(
+            F.concat_ws("-", "mileage", "power").alias("request_id"),
+            "make",
+            (F.col("mileage") - 24_000).alias("mileage_from"),
+            F.when(F.col("power") % 3 != 0, F.col("mileage") + 16_000).alias("mileage_to"),
+            F.when(F.col("power") % 3 == 1, F.col("power")).alias("power_to"),
+            F.when(F.col("mileage") % 3 == 0, F.col("day")).alias("created_on_from"),
+            F.when(F.col("mileage") % 5 == 0, F.lit(60_000)).alias("price_to"),
+        )
+    )
+    return est.estimate_prices(requests, rows, as_of=AS_OF)
+
+
+# --- indexes and mergeable states ------------------------------------------------------
+
+
+@query
+def search_indexed(spark, sf_dir):
+    """Two searches by way of a trigram index, a pattern and the end of a text."""
+    columns = ["advert_id", "title", "equipment", PRICE]
+    rows = adverts(spark, sf_dir, columns)
+    index = trigram_index(rows)
+    parts = [indexed_search(rows, index, value).withColumn("search", F.lit(value))
+             for value in ("RED.*get", "*bolt", "urgent")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def quantile_sketch(spark, sf_dir):
+    """Quantiles per make from sketches kept per year, beside exact ranks: within the bound or not."""
+    rows = adverts(spark, sf_dir, ["make", "year", PRICE])
+    states = quantile_states(rows, ["make", "year"], PRICE)
+    found = merged_quantiles(states, ["make"], [0.1, 0.5, 0.9, 0.99])
+    exact = rows.join(found, "make").groupBy("make", "fraction", "rows").agg(
+        F.sum((F.col(PRICE) < F.col("value")).cast("int")).alias("below"),
+        F.sum((F.col(PRICE) <= F.col("value")).cast("int")).alias("upto"))
+    slack = F.col("rows") * 0.02 + 1
+    wanted = F.col("fraction") * F.col("rows")
+    within = (F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)
+    return exact.select("make", "fraction", F.col("rows").cast("long").alias("rows"), within.alias("within"))
+
+
+@query
+def facet_overlap_sketch(spark, sf_dir):
+    """Distinct prices per make shared with the adverts of one engine, from sketches: within 5 percent."""
+    rows = adverts(spark, sf_dir, ["make", "engine", PRICE])
+    chosen = F.col("engine") == "2-HIGH"
+    found = facet_overlap(rows, "make", PRICE, chosen)
+    exact = rows.groupBy("make", PRICE).agg(F.max(chosen).alias("here"))
+    everywhere = rows.where(chosen).select(F.col(PRICE).alias("p")).distinct()
+    exact = exact.join(everywhere, F.col(PRICE) == F.col("p"), "left").groupBy("make").agg(
+        F.count(PRICE).alias("n"), F.count("p").alias("both"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= distinct_error() * F.col("n") + 1
+    return found.join(exact, "make").select(
+        "make", F.col("n").alias("distinct_prices"), F.col("both").alias("shared_prices"),
+        (near("distinct_count", "n") & near("shared", "both")).alias("within"))
+
+
+@query
+def stat_merged(spark, sf_dir):
+    """Measures per make from states of its years."""
+    rows = adverts(spark, sf_dir, ["make", "year", PRICE])
+    return rounded(merged_moments(moment_states(rows, ["make", "year"], PRICE), ["make"]))
+
+
+@query
+def pivoted_variant(spark, sf_dir):
+    request = _pivot_request(["make", "year", "gearbox"], "sum", "gearbox", ["make", "year"])
+    found = pivot_object_table(adverts(spark, sf_dir, ["make", "year", "gearbox", PRICE]), request)
+    return found.select("make", "year", F.to_json("cells").alias("cells"))
+
+
+@query
+def spellings_collated(spark, sf_dir):
+    """Titles in mixed case, counted as one whatever their case."""
+    rows = adverts(spark, sf_dir, ["title", "year"])
+    spelt = F.when(F.col("year") % 3 == 0, F.upper("title")).when(
+        F.col("year") % 3 == 1, F.initcap("title")).otherwise(F.col("title"))
+    return collated_values(rows.select(spelt.alias("title")), "title")
+
+
+@query
+def result_pages(spark, sf_dir):
+    """Adverts of a make in pages of 150, dearest first."""
+    rows = adverts(spark, sf_dir, ["advert_id", "make", "gearbox", PRICE]).where("make = 'Brand#2'")
+    return json_pages(rows, [(PRICE, False), "advert_id"], 150)

@@ -73,6 +73,31 @@ def pivot(
     return wide.select(*keys, *filled)
 
 
+def pivot_objects(
+    grouped: DataFrame, index: Sequence[str], column: str, value: str, cell: str = "sum",
+    name: str = "cells",
+) -> DataFrame:
+    """One row per index key, its cells as one VARIANT object from pivot value to value.
+
+    Like ``pivot``, but the pivot values need not be known: nothing is asked for while the plan is
+    built, and keys have only the cells they have rows for. A null pivot value goes by the name
+    ``null``. An object holds as many cells as one key has pivot values. Read a cell with
+    ``variant_get``.
+    """
+    require_columns(grouped, [*index, column, value])
+    _checked_cell(cell)
+    if name in index:
+        raise ValueError(f"{name} is the name of an index column")
+    keys = [F.col(quoted(c)) for c in index]
+    cells = grouped.select(
+        *keys, text_or(F.col(quoted(column)), NO_VALUE).alias("fc_pivot"),
+        F.col(quoted(value)).alias("fc_cell"),
+    ).groupBy(*keys, "fc_pivot").agg(CELLS[cell]("fc_cell").alias("fc_cell"))
+    entries = F.collect_list(F.struct("fc_pivot", "fc_cell"))
+    return cells.groupBy(*keys).agg(
+        F.to_variant_object(F.map_from_entries(F.array_sort(entries))).alias(name))
+
+
 def labels(df: DataFrame, x: str) -> DataFrame:
     """Sorted distinct axis labels; a null is ``Unknown``."""
     return (

@@ -85,6 +85,31 @@ def pivot_table(
     return sort_by(wide, request.stat.order)
 
 
+def pivot_object_table(
+    df: DataFrame, request: PivotRequest, as_of: dt.date | None = None, name: str = "cells"
+) -> DataFrame:
+    """Grouped statistics with one row per index key and its cells as one VARIANT object.
+
+    One lazy plan: unlike ``pivot_table`` it does not ask which pivot values there are.
+    """
+    request.check()
+    if request.pivot_column is None:
+        raise ValueError("a pivot column is required")
+    unsorted = StatRequest(
+        request.stat.filter, request.stat.group, [request.y_function], (),
+        request.stat.stat_column,
+    )
+    objects = p.pivot_objects(
+        grouped_statistics(df, unsorted, as_of),
+        [c for c in request.stat.group if c != request.pivot_column],
+        request.pivot_column,
+        request.y_function,
+        request.cell,
+        name,
+    )
+    return sort_by(objects, request.stat.order)
+
+
 class Chart(NamedTuple):
     """Axis labels and series, each a table."""
 

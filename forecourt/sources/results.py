@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, FractionalType, IntegralType, StringType
 
+from forecourt.functions.measures import quoted
 from forecourt.functions.text import text_or
 from forecourt.operators.filters import require_columns
+from forecourt.operators.ordering import positions
 from forecourt.sources.schemas import visible_columns
 
 
@@ -115,6 +117,28 @@ def grouped_response(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     )
 
 
+def json_pages(df: DataFrame, order: Sequence, rows_per_page: int = 1000) -> DataFrame:
+    """A result of any size in pages: ``page`` (from 0), ``first`` (position), ``items``, ``json``.
+
+    ``json`` is the page's rows as one text, a list of objects with all columns, nulls included.
+    Rows are numbered in order (see ``positions``), so pages are the same whenever they are asked
+    for, and no task holds more than the rows of a page.
+    """
+    if rows_per_page < 1:
+        raise ValueError("a page needs at least one row")
+    numbered = positions(df, order, "fc_position")
+    row = F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+    page = F.call_function("div", F.col("fc_position"), F.lit(rows_per_page)).alias("page")
+    listed = numbered.select(page, F.struct(F.col("fc_position").alias("at"), row).alias("entry"))
+    gathered = listed.groupBy("page").agg(F.array_sort(
+        F.collect_list("entry"), lambda a, b: F.when(a["at"] < b["at"], -1).otherwise(1)
+    ).alias("entries"))
+    return gathered.select(
+        "page", (F.col("page") * rows_per_page).alias("first"), F.size("entries").alias("items"),
+        F.to_json(F.transform("entries", lambda e: e["row"]), {"ignoreNullFields": "false"})
+        .alias("json"))
+
+
 def series_lists(series: DataFrame, x: str) -> DataFrame:
     """One row per series with its points in order of x."""
     require_columns(series, ["label", x, "value"])
