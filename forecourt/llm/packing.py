@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -100,7 +101,31 @@ def encoder(path: str) -> Callable[[str], list[int]]:
              if token not in added}
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
+    # The pattern's look-ahead needs a stack as deep as a run of blanks is long. In a very long
+    # one, the pattern always ends before the last blank that something follows, so what is before
+    # that is encoded by itself, without the look-ahead.
+    blanks = tiktoken.Encoding(
+        "blanks", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens=added)
+    marks = re.compile("(%s)" % "|".join(
+        re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
+
+    def in_parts(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in _LONG_BLANKS.finditer(text):
+            start, end = run.span()
+            if end < len(text):
+                end -= 1
+            ids += fast.encode_ordinary(text[at:start])
+            ids += blanks.encode_ordinary(text[start:end])
+            at = end
+        return ids + fast.encode_ordinary(text[at:])
+
     def encode(text: str) -> list[int]:
+        if len(text) >= _LONG and _LONG_BLANKS.search(text):
+            ids = []
+            for part in marks.split(text) if marks else [text]:
+                ids += [added[part]] if part in added else in_parts(part)
+            return ids
         if any(token in text for token in added):
             return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)
@@ -108,6 +133,12 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     return encode
 
 
+#: From this length on, runs of blanks (what Unicode calls white space) are taken out first.
+_LONG = 50_000
+_LONG_BLANKS = re.compile(
+    "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG)
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
