@@ -24,11 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where that is unset (a single machine, tests), a temporary folder of this process.
+    Where that is unset, a temporary folder of this process on a single machine (tests), and an
+    error on a cluster, whose executors would not see it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="forecourt-"))
     return _own_folder[0]
