@@ -181,14 +181,14 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(
     records: DataFrame, folder: str, max_bytes: int = 64 << 20, date: str = "2000-01-01T00:00:00Z",
 ) -> DataFrame:
-    """Write records into ZIP archives in ``folder``; the manifest (``path, records``) is returned.
+    """Write records into ZIP archives in ``folder``; the manifest (``path, records, bytes``) is returned.
 
     Each task writes archives of its own, of up to about ``max_bytes``, one stored member
     with the gzipped records and one with their index. File names are new at every attempt;
     the manifest is a written table of those whose tasks succeeded, so that a task that runs
     twice leaves a stray file at worst, no second copy of a record.
     """
-    schema = pa.schema([("path", pa.string()), ("records", pa.int64())])
+    schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c for c in batch.columns)))
@@ -209,11 +209,13 @@ def write_archives(
                         row = next(rows, None)
                 archive.writestr(INDEX, "".join(lines))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([len(lines)], pa.int64())], schema=schema)
+                [pa.array([path]), pa.array([len(lines)], pa.int64()), pa.array([at], pa.int64())],
+                schema=schema)
 
     return written(
         map_batches(
-            records.select("page_id", "url", "payload", "record_type", "refers_to"), run, "path string, records long"), "manifest")
+            records.select("page_id", "url", "payload", "record_type", "refers_to"), run,
+            "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
@@ -221,7 +223,8 @@ def read_archives(manifest: DataFrame, bytes_per_task: int = 8 << 20) -> DataFra
     refers_to, payload``.
 
     Directory and index of each archive are read first. Then tasks read the records' ranges,
-    about ``bytes_per_task`` of neighbouring ones each, whatever the size of an archive.
+    about ``bytes_per_task`` of neighbouring ones each, whatever the size of an archive: there are
+    as many tasks as the bytes in the manifest make.
     Digests of responses are taken from the payload and must be those of the header. A
     revisit has no payload of its own: null.
     """
@@ -274,7 +277,9 @@ def read_archives(manifest: DataFrame, bytes_per_task: int = 8 << 20) -> DataFra
                 file.close()
 
     spans = map_batches(manifest.select("path"), locate, "path string, at long, n long")
-    dealt = spans.repartition("path", F.floor(F.col("at") / bytes_per_task))
+    whole = manifest.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(1, -(-whole // bytes_per_task))
+    dealt = spans.repartition(tasks, "path", F.floor(F.col("at") / bytes_per_task))
     return map_batches(
         dealt, fetch, "page_id long, url string, record_type string, payload_digest string,"
         " refers_to long, payload binary")
