@@ -220,3 +220,109 @@ def test_a_batch_refuses_columns_it_does_not_know(listings):
     requests = listings.select(F.col("advert_id").alias("request_id"), "make", F.lit(1).alias("doors"))
     with pytest.raises(ValueError, match="unknown request columns: doors"):
         est.estimate_prices(requests, listings)
+
+
+RANGES = {
+    "year": ("year_from", "year_to"), "power": ("power_from", "power_to"),
+    "mileage": ("mileage_from", "mileage_to"), "cc": ("cc_from", "cc_to"),
+    "discount": ("discount_from", "discount_to"), "save_diff_in_eur": ("save_diff_from", "save_diff_to"),
+    "price_in_eur": ("price_from", "price_to"),
+}
+
+
+def test_limits_match_brute_force(spark):
+    """Up to five ranges a request, beyond what occurs on either side, empty ones, nulls, days."""
+    import datetime as dt
+
+    draw = random.Random(9)
+    today = dt.date(2020, 1, 1)
+    kinds = {
+        "make": lambda: draw.choice(["hot", "hot", "hot", "b", None]), "year": lambda: draw.randint(2000, 2009),
+        "power": lambda: draw.choice([None, *range(60, 200, 20)]), "mileage": lambda: draw.randint(0, 99) * 1500,
+        "cc": lambda: draw.choice([1000, 1200, 3000]), "discount": lambda: draw.choice([None, 0.5, 2.25, 7.0]),
+        "save_diff_in_eur": lambda: draw.choice([None, -900, -1, 0, 35, 800]),
+        "price_in_eur": lambda: draw.choice([None, *range(900, 90_000, 777)]),
+        "created_on": lambda: draw.choice([None, *[today - dt.timedelta(days=d) for d in range(0, 400, 37)]]),
+    }
+    adverts = [{k: f() for k, f in kinds.items()} for _ in range(700)]
+    requests = []
+    for i in range(150):
+        one = {"request_id": i, "make": draw.choice(["hot", "b", None]), "cc": draw.choice([None, None, 1200, 7])}
+        for column in draw.sample(list(RANGES), draw.randint(0, 4)):
+            low, high = RANGES[column]
+            step = draw.choice([0.5, 1.0]) if column == "discount" else draw.choice([1, 20, 3000])
+            at = kinds[column]() or (0.0 if column == "discount" else 0)
+            one[low] = draw.choice([None, at - step, at, at + 3 * step])
+            one[high] = draw.choice([None, at + step, at, at + 5 * step, at - 2 * step])
+        if draw.random() < 0.4:
+            one["created_on_from"] = draw.choice([0, 100, 10_000])
+        if draw.random() < 0.3:
+            one["created_on_to"] = draw.choice([0, 74, 9_999])
+        requests.append(one)
+
+    def met(request, advert, relaxed):
+        if request["make"] is not None and advert["make"] != request["make"]:
+            return False
+        exact = None if relaxed else request["cc"]
+        if exact is not None and advert["cc"] != exact:
+            return False
+        limits = {c: (request.get(a), request.get(b)) for c, (a, b) in RANGES.items()}
+        if exact is not None:
+            limits.pop("cc")
+        days = [request.get(f"created_on_{side}") for side in ("from", "to")]
+        limits["created_on"] = tuple(d if d is None else today - dt.timedelta(days=d) for d in days)
+        for column, (low, high) in limits.items():
+            x = advert[column]
+            if (low is not None and (x is None or x < low)) or (high is not None and (x is None or x > high)):
+                return False
+        return True
+
+    names = ["request_id", "make", "cc", *[n for pair in RANGES.values() for n in pair],
+             "created_on_from", "created_on_to"]
+    kind = {"make": "string", "discount_from": "double", "discount_to": "double", "power_to": "bigint"}
+    asked = spark.createDataFrame(
+        [tuple(r.get(n) for n in names) for r in requests], ", ".join(f"{n} {kind.get(n, 'int')}" for n in names))
+    known = spark.createDataFrame(
+        [tuple(a.values()) for a in adverts],
+        "make string, year int, power int, mileage int, cc int, discount double, save_diff_in_eur int,"
+        " price_in_eur int, created_on date")
+    found = {r["request_id"]: r for r in est.estimate_prices(asked, known, as_of=today).collect()}
+    assert len(found) == len(requests)
+    sizes = set()
+    for request in requests:
+        own = [a for a in adverts if met(request, a, False)] or [a for a in adverts if met(request, a, True)]
+        paid = [a["price_in_eur"] for a in own if a["price_in_eur"] is not None]
+        got = found[request["request_id"]]
+        middle = int(statistics.median(paid) + 0.5) if paid else None
+        assert (got["count"], got["max"], got["median"]) == (len(paid), max(paid, default=None), middle), request
+        sizes.add(len(paid))
+    assert 0 in sizes and len(sizes) > 20
+
+
+def test_limits_over_one_hot_make_read_nodes_not_adverts(spark):
+    """Two thousand requests with ranges of their own over thousands of adverts of one make."""
+    adverts = spark.range(8_000).selectExpr(
+        "'hot' AS make", "cast(id % 500 * 300 AS int) AS mileage", "cast(1000 + id % 5 AS int) AS price_in_eur")
+    asked = spark.range(2_000).selectExpr(
+        "id AS request_id", "'hot' AS make", "cast(id % 250 * 300 AS int) AS mileage_from",
+        "cast(100000 + id * 20 AS int) AS mileage_to")
+    answered = est.estimate_prices(asked, adverts)
+    rows = answered.collect()
+    assert len(rows) == 2_000
+    one = next(r for r in rows if r["request_id"] == 7)
+    assert one["count"] == sum(2100 <= i % 500 * 300 <= 100_140 for i in range(8_000))
+    outputs = []
+
+    def visit(node):
+        if "Join" in node.nodeName() and node.metrics().get("numOutputRows").isDefined():
+            outputs.append(node.metrics().get("numOutputRows").get().value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+        elif hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            visit(node.plan())
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+
+    visit(answered._jdf.queryExecution().executedPlan())
+    # Every pair of a request and an advert in its range would be some 7 million.
+    assert outputs and max(outputs) <= 2_000 * 64 * 5
