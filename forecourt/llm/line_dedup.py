@@ -6,6 +6,8 @@ the chunks; ``drop_repeated_passages`` removes every repeated run of units (sent
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,37 +122,67 @@ def units(text: F.Column) -> F.Column:
     return F.split(text, _UNIT_END, -1)
 
 
-def passages(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """The shortest runs of more than ``words`` words: ``first``, ``last`` (units), ``h``, ``check``.
+def _bound(value: F.Column, use: Callable[[F.Column], F.Column]) -> F.Column:
+    """``use(value)``, with the value computed once per row wherever Spark puts the expression.
+
+    A column that is used inside a lambda may be written out there when a filter or projection
+    above moves down, and is then computed for every element. The variable of a lambda is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def hashed_units(docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` but the text, ``prints`` (a 128-bit hash of each unit) and ``counts`` (its words).
+
+    Blanks at the end of a unit do not count. Rows with a null text have no row.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
+
+    def printed(unit: F.Column) -> F.Column:
+        bare = F.rtrim(unit, F.lit(_BLANK))
+        return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(30_011), bare).alias("b"),
+                        F.regexp_count(unit, F.lit(r"\S+")).alias("words"))
+
+    found = docs.where(F.col(text).isNotNull()).select(
+        *kept, _bound(units(F.col(text)), lambda u: F.transform(u, printed)).alias("found"))
+    return found.select(
+        *kept, F.transform("found", lambda u: F.struct(u["a"], u["b"])).alias("prints"),
+        F.transform("found", lambda u: u["words"]).alias("counts"))
+
+
+def passages(printed: DataFrame, words: int) -> DataFrame:
+    """The shortest runs of more than ``words`` words of ``hashed_units``: ``id``, ``row``, ``run``, ``prints``.
 
     For each unit, the shortest such run that starts with it, and the shortest one that ends
     with it. If a run of units of more than ``words`` words repeats, each of its units is in
-    one of these runs that lies within it, and that run repeats, too. ``h`` and ``check`` are hashes
-    of the run's bytes without the blanks at its end.
+    one of these runs that lies within it, and that run repeats, too. ``run`` holds the first
+    and the last unit, ``prints`` the hashes of the units between.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    parts, bare, of = (free_name(docs, c) for c in ("units", "bare", "of"))
-    cut = docs.where(F.col(text).isNotNull()).select(*kept, units(F.col(text)).alias(parts))
-    cut = cut.withColumn(bare, F.transform(parts, lambda u: F.rtrim(u, F.lit(_BLANK))))
     # The unit of each word.
-    cut = cut.withColumn(of, F.flatten(F.transform(parts, lambda u, i: F.array_repeat(
-        i, F.regexp_count(u, F.lit(r"\S+"))))))
-    its = F.col(of)
-    ahead = F.transform(its, lambda u, p: F.when(
-        F.coalesce(F.get(its, p - 1) != u, F.lit(True)),
-        u.cast("long") * _HALF + F.get(its, p + words)))
-    behind = F.transform(its, lambda u, p: F.when(
-        F.coalesce(F.get(its, p + 1) != u, F.lit(True)),
-        F.get(its, p - words).cast("long") * _HALF + u))
-    runs = F.array_distinct(F.array_compact(F.concat(ahead, behind)))
-    spelt = F.transform(runs, lambda r: F.struct(r.alias("run"), F.concat(
-        F.array_join(F.slice(F.col(parts), (r / _HALF).cast("int") + 1,
-                             (r % _HALF).cast("int") - (r / _HALF).cast("int")), ""),
-        F.get(F.col(bare), (r % _HALF).cast("int"))).alias("t")))
-    hashed = F.transform(spelt, lambda r: F.struct(
-        r["run"].alias("run"), F.xxhash64(r["t"]).alias("h"),
-        F.xxhash64(F.lit(30_011), r["t"]).alias("check")))
-    return cut.select(*kept, F.inline(hashed))
+    of = F.flatten(F.transform("counts", lambda n, i: F.array_repeat(i, n)))
+
+    def found(its: F.Column) -> F.Column:
+        ahead = F.transform(its, lambda u, p: F.when(
+            F.coalesce(F.get(its, p - 1) != u, F.lit(True)),
+            u.cast("long") * _HALF + F.get(its, p + words)))
+        behind = F.transform(its, lambda u, p: F.when(
+            F.coalesce(F.get(its, p + 1) != u, F.lit(True)),
+            F.get(its, p - words).cast("long") * _HALF + u))
+        return F.array_distinct(F.array_compact(F.concat(ahead, behind)))
+
+    runs = printed.select("id", "row", "prints", F.explode(_bound(of, found)).alias("run"))
+    return runs.select("id", "row", "run", _held("run").alias("prints"))
+
+
+def _held(run: str) -> F.Column:
+    """The hashes of a run's units, out of ``prints``."""
+    first, last = _ends(run)
+    return F.slice("prints", first + 1, last - first + 1)
+
+
+def _ends(run) -> tuple[F.Column, F.Column]:
+    run = F.col(run) if isinstance(run, str) else run
+    return (run / _HALF).cast("int"), (run % _HALF).cast("int")
 
 
 def drop_repeated_passages(
@@ -158,50 +190,64 @@ def drop_repeated_passages(
 ) -> DataFrame:
     """The rows of ``docs`` without the passages of more than ``words`` words that occur before.
 
-    A passage is a run of units (see ``units``), of one or many lines. A unit goes if it is in
+    A passage is a run of units (see ``units``), of one or many lines; blanks at the ends of units
+    do not tell passages apart. A unit goes if it is in
     such a run that also stands earlier: in a row with a smaller key (nulls last), or earlier in
     the same text. So the first copy of every unit stays. What is left of a line keeps its
     line break. Two columns follow: ``units`` (before) and ``units_removed``. Where nothing but blanks
     is left, the text is null. Texts that are null stay null (0 units). Rows that repeat both
     key and text are one document.
 
-    Runs are counted by a 64-bit hash; equal ones are told apart by a pair of them. Texts are
-    not moved but for the last join, which puts the removed units beside their text.
+    Texts are read once for the hashes of their units (128 bits), which are written; runs are
+    slices of these, counted by one hash of them first, and those that repeat are compared unit
+    by unit, hash by hash; bytes are not. Texts are moved only in the last join, which puts
+    the removed units beside them.
     """
     row = free_name(docs, "row_hash")
     ident = F.xxhash64(F.col(key), F.col(text))
     slim = docs.select(F.col(key).alias("id"), ident.alias("row"), F.col(text).alias("text"))
-    runs = passages(slim, "text", words)
+    printed = written(hashed_units(slim, "text"), "units")
+    runs = passages(printed, words).select("id", "row", "run", F.xxhash64("prints").alias("h"))
     many = written(
         runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "many")
-    suspects = written(runs.join(many, "h", "left_semi"), "runs")
+    # Only runs whose hash repeats get their units' hashes back.
+    repeated = runs.join(many, "h", "left_semi").groupBy("id", "row").agg(
+        F.collect_list("run").alias("runs")).withColumnsRenamed({"id": "its_id", "row": "its_row"})
+    suspects = printed.select("id", "row", "prints").join(
+        repeated, (F.col("row") == F.col("its_row")) & F.col("id").eqNullSafe(F.col("its_id")))
+    suspects = suspects.select("id", "row", "prints", F.explode("runs").alias("run"))
+    suspects = written(suspects.select("id", "row", "run", _held("run").alias("prints")).select(
+        "*", F.xxhash64("prints").alias("h")), "runs")
     place = F.struct(F.col("id").isNull().alias("z"), "id", "run", "row")
     # Written, so that Spark can split the join below at hot keys.
-    first = written(suspects.groupBy("h", "check").agg(
+    first = written(suspects.groupBy("h", "prints").agg(
         F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1"), "first")
-    again = suspects.join(first, ["h", "check"]).where(
+    again = suspects.join(first, ["h", "prints"]).where(
         (F.col("row") != F.col("first.row")) | (F.col("run") != F.col("first.run")))
     gone = again.groupBy("id", "row").agg(F.collect_set("run").alias("gone"))
     before, removed = free_name(docs, "units"), free_name(docs, "units_removed")
-    its_id, its_row, its, parts, out, stay = (free_name(docs, c) for c in (
-        "gone_id", "gone_row", "gone", "parts", "out", "stay"))
+    its_id, its_row, its = (free_name(docs, c) for c in ("gone_id", "gone_row", "gone"))
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda r: F.sequence(*_ends(r)))))
+    gone = gone.select(F.col("id").alias(its_id), F.col("row").alias(its_row), out.alias(its))
     marked = docs.withColumn(row, ident).join(
-        gone.withColumnsRenamed({"id": its_id, "row": its_row, "gone": its}),
-        (F.col(row) == F.col(its_row)) & F.col(key).eqNullSafe(F.col(its_id)), "left")
-    marked = marked.withColumn(parts, units(F.col(text))).withColumn(
-        out, F.array_distinct(F.flatten(F.transform(its, lambda r: F.sequence(
-            (r / _HALF).cast("int"), (r % _HALF).cast("int"))))))
-    marked = marked.withColumn(
-        stay, F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(out)))
-    # Where a line break goes with the units behind this one, it comes back.
-    joined = F.array_join(F.transform(stay, lambda i, k: F.when(
-        (F.get(F.col(stay), k + 1) > i + 1) & ~F.get(F.col(parts), i).endswith("\n")
-        & F.exists(F.slice(F.col(parts), i + 2, F.get(F.col(stay), k + 1) - i - 1),
-                   lambda u: u.endswith("\n")),
-        F.concat(F.get(F.col(parts), i), F.lit("\n"))).otherwise(F.get(F.col(parts), i))), "")
-    left = F.rtrim(joined, F.lit(_BLANK))
-    new_text = F.when(F.col(its).isNull(), F.col(text)).when(left != "", left)
+        gone, (F.col(row) == F.col(its_row)) & F.col(key).eqNullSafe(F.col(its_id)), "left")
+
+    def rest(parts: F.Column, stay: F.Column) -> F.Column:
+        # Where a line break goes with the units behind this one, it comes back.
+        joined = F.array_join(F.transform(stay, lambda i, k: F.when(
+            (F.get(stay, k + 1) > i + 1) & ~F.get(parts, i).endswith("\n")
+            & F.exists(F.slice(parts, i + 2, F.get(stay, k + 1) - i - 1),
+                       lambda u: u.endswith("\n")),
+            F.concat(F.get(parts, i), F.lit("\n"))).otherwise(F.get(parts, i))), "")
+        left = F.rtrim(joined, F.lit(_BLANK))
+        return _bound(left, lambda t: F.when(t != "", t))
+
+    left = _bound(units(F.col(text)), lambda parts: _bound(
+        F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(its)),
+        lambda stay: rest(parts, stay)))
+    new_text = F.when(F.col(its).isNull(), F.col(text)).otherwise(left)
     columns = [new_text.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return marked.select(
-        *columns, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias(before),
-        F.when(F.col(its).isNull(), 0).otherwise(F.size(out)).alias(removed))
+        *columns, F.when(F.col(text).isNull(), 0).otherwise(
+            F.size(units(F.col(text)))).alias(before),
+        F.when(F.col(its).isNull(), 0).otherwise(F.size(F.col(its))).alias(removed))
