@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,10 +24,8 @@ _TABLE = bytes(_TABLE)
 #: Stands between pieces; no word has a capital A any more.
 _GAP = b"A"
 
-_COUNTS = "lang string, phrase string, n long"
-_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-#: A sketch has a bit for each of so many hashes: 16 MB, whatever the number of phrases.
-SKETCH_BITS = 27
+#: A sketch has a bit for each of so many hashes: 8 MB, whatever the number of phrases.
+SKETCH_BITS = 26
 _BLOCK = 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,14 +46,8 @@ def _step(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(left * _ODD + right)
 
 
-def _phrase_hash(lang: str, words: list[bytes]) -> int:
-    seed = xxhash.xxh3_64_intdigest(lang)
-    hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], dtype=np.uint64)
-    return int(reduce(_step, [hashes[i:i + 1] for i in range(len(hashes))])[0])
-
-
 def sketch(phrases: DataFrame) -> bytes:
-    """A set of ``lang, phrase`` as bits at their hashes: every member is in it, some others too.
+    """A set of phrases (arrays of word hashes) as bits at their hashes: it may hold more than those.
 
     Its size is fixed, so it can be sent to all tasks. With very many phrases it gets full,
     rules out less, and costs time, not results.
@@ -63,17 +55,19 @@ def sketch(phrases: DataFrame) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                _phrase_hash(lang, phrase.encode("utf-8").split(b" ")) >> (64 - SKETCH_BITS)
-                for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bit"])
-
-    bits = map_batches(phrases.select("lang", "phrase"), run, "bit long")
+            if not batch.num_rows:
+                continue
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            words = flat.reshape(batch.num_rows, -1).T
+            found = reduce(_step, list(words)) >> np.uint64(64 - SKETCH_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["bit"])
+
+    bits = map_batches(phrases.select("phrase"), run, "bit long")
     blocks = bits.groupBy(F.shiftright("bit", _BLOCK).alias("block")).agg(
         F.bitmap_construct_agg(F.col("bit") % (1 << _BLOCK)).alias("bits"))
     whole = bytearray(1 << (SKETCH_BITS - 3))
     size = 1 << (_BLOCK - 3)
-    for row in blocks.toLocalIterator():  # at most 4,096 blocks of 4 KB
+    for row in blocks.toLocalIterator():  # at most 2,048 blocks of 4 KB
         whole[row.block * size:row.block * size + len(row.bits)] = row.bits
     return bytes(whole)
 
@@ -83,117 +77,161 @@ def _within(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _segments(texts: list[bytes], limit: int) -> Iterator[bytes]:
-    """The texts with gaps between them, in portions of about ``limit`` bytes, cut at gaps."""
-    held, size = [], 0
+#: So many bytes are cut into words at a time: the words of a portion are not all held as objects.
+_PIECE = 1 << 18
+
+
+def _pieces(texts: Iterable[bytes], size: int = _PIECE) -> Iterator[bytes]:
+    """The texts with gaps between them, in pieces of about ``size`` bytes, cut at gaps."""
+    held, so_far = [], 0
     for text in texts:
         text = text.translate(_TABLE)
-        while len(text) > limit:
-            cut = text.find(b"\n", limit)
+        while len(text) > size:
+            cut = text.find(b"\n", size)
             if cut < 0:
                 break
             yield text[:cut]
             text = text[cut:]
         held.append(text)
-        size += len(text)
-        if size >= limit:
+        so_far += len(text)
+        if so_far >= size:
             yield b"\n".join(held)
-            held, size = [], 0
+            held, so_far = [], 0
     if held:
         yield b"\n".join(held)
 
 
-def _runs(lang: str, segment: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of a portion (the first stands for gaps), their hashes, all as numbers."""
-    numbers = _Numbers()
-    numbers[_GAP] = 0
-    words = segment.replace(b"\n", b" A ").split()
-    ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
-    seed = xxhash.xxh3_64_intdigest(lang)
-    names = list(numbers)
-    hashes = np.fromiter(
-        (xxhash.xxh3_64_intdigest(w, seed) for w in names), dtype=np.uint64, count=len(names))
-    return names, hashes, ids
+def _portions(
+    batches: Iterator[pa.RecordBatch], limit: int, seed: int,
+) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """Portions of the texts of each language: their words, the words' hashes, and all as numbers.
+
+    The first word stands for gaps; numbers are places in the list of words.
+    """
+    for batch in batches:
+        by_lang: dict[str, list[int]] = {}
+        for i, lang in enumerate(batch.column(0).to_pylist()):
+            by_lang.setdefault(lang, []).append(i)
+        texts = batch.column(1)
+        for lang, rows in by_lang.items():
+            own = xxhash.xxh3_64_intdigest(lang, seed)
+            numbers, parts, size = _Numbers({_GAP: 0}), [], 0
+
+            def portion():
+                names = list(numbers)
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, own) for w in names),
+                                     dtype=np.uint64, count=len(names))
+                return lang, names, hashes, np.concatenate(parts)
+
+            for piece in _pieces(texts[i].as_py() for i in rows):
+                words = piece.replace(b"\n", b" A ").split()
+                parts.append(np.fromiter(
+                    map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+                parts.append(np.zeros(1, dtype=np.int32))
+                size += len(piece)
+                if size >= limit:
+                    yield portion()
+                    numbers, parts, size = _Numbers({_GAP: 0}), [], 0
+            if parts:
+                yield portion()
+
+
+def word_counts(texts: DataFrame, limit: int, seed: int) -> DataFrame:
+    """``lang, word, hash, n`` of all words."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("hash", pa.int64()),
+                        ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, names, hashes, ids in _portions(batches, limit, seed):
+            found = np.bincount(ids, minlength=len(names))[1:]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found), pa.string()),
+                 pa.array([name.decode("utf-8") for name in names[1:]], pa.string()),
+                 pa.array(hashes[1:].view(np.int64)), pa.array(found.astype(np.int64))],
+                schema=schema)
+
+    return map_batches(texts, run, "lang string, word string, hash long, n long").groupBy(
+        "lang", "word", "hash").agg(F.sum("n").alias("n"))
 
 
-def _kept(names, hashes, ids, size: int, filters: list[np.ndarray]) -> dict[str, int]:
-    """Counts of the phrases of ``size`` words that the filters let through, of one portion.
+def spelt(texts: DataFrame, frequent: bytes, limit: int, seed: int) -> DataFrame:
+    """The texts in portions as numbers: ``lang, hashes, ids``, words not in ``frequent`` being gaps.
 
-    ``filters``: for two words, the set both must be in. For more, ``open`` and ``scored``, sets
-    of phrases one word shorter, and, if there is a third, a set that words must be in: the first
-    words must be open or the last ones scored.
+    Written once, so that texts are not cut into words for each length of phrase. ``hashes`` are
+    those of the portion's words (64 bits each, the first for gaps), ``ids`` places in them (32
+    bits each).
     """
-    count = len(ids) - size + 1
-    if count <= 0:
-        return {}
-    if size == 1:
-        found = np.bincount(ids, minlength=len(names))
-        found[0] = 0
-        return {names[i].decode("utf-8"): int(found[i]) for i in np.flatnonzero(found).tolist()}
-    good = ids > 0
-    if size == 2:
-        good &= _within(filters[0], hashes)[ids]
-    elif len(filters) > 2:
-        good &= _within(filters[2], hashes)[ids]
-    whole = reduce(np.logical_and, [good[i:i + count] for i in range(size)])
-    at = np.flatnonzero(whole)
-    if size > 2 and len(at):
-        def hashed(first: int) -> np.ndarray:
-            return reduce(_step, [hashes[ids[at + first + i]] for i in range(size - 1)])
-        at = at[_within(filters[0], hashed(0)) | _within(filters[1], hashed(1))]
-    if not len(at):
-        return {}
-    # Number the distinct phrases, one more word at a time.
-    own = ids[at]
-    firsts = None
-    for i in range(1, size):
-        pairs = own * len(names) + ids[at + i]
-        _, firsts, own = np.unique(pairs, return_index=True, return_inverse=True)
-    found = np.bincount(own)
-    places = at[firsts].tolist()
-    number = ids.__getitem__
-    return {
-        b" ".join([names[number(p + i)] for i in range(size)]).decode("utf-8"): n
-        for p, n in zip(places, found.tolist())}
-
-
-def phrase_counts(docs: DataFrame, size: int, sets: list[bytes] = (), limit: int = 4 << 20,
-                  ) -> DataFrame:
-    """``lang, phrase, n``: how often phrases of ``size`` words occur, exactly.
-
-    ``docs`` has ``lang`` and ``text``. ``sets`` (sketches, see ``_kept``) rule phrases out, so
-    other phrases may be missing or counted, never counted wrong. Counts are made per portion of
-    ``limit`` bytes and summed by Spark; a task holds one batch of texts and one portion.
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, dtype=np.uint8)
+        for lang, _, hashes, ids in _portions(batches, limit, seed):
+            good = _within(known, hashes)
+            good[0] = False
+            number = np.zeros(len(hashes), dtype=np.int32)
+            number[good] = np.arange(1, good.sum() + 1, dtype=np.int32)
+            ids = number[ids]
+            # One gap is as good as many.
+            ids = ids[(ids > 0) | np.append(True, ids[:-1] > 0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.array([hashes[np.append(0, np.flatnonzero(good))].tobytes()]),
+                 pa.array([ids.tobytes()])], ["lang", "hashes", "ids"])
+
+    return map_batches(texts, run, "lang string, hashes binary, ids binary")
+
+
+def phrase_counts(numbers: DataFrame, size: int, sets: list[bytes] = ()) -> DataFrame:
+    """``phrase, n``: how often phrases of ``size`` words occur in ``spelt`` texts, exactly.
+
+    A phrase is the array of its words' hashes, which are those of one language. ``sets`` are two sketches of phrases one word
+    shorter: the first words must be in the first one, or the last words in the second. A sketch
+    may let other phrases through, which are then counted, too, never counted wrong.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(s) for s in sets]
+    shared = [numbers.sparkSession.sparkContext.broadcast(s) for s in sets]
+    columns = [f"w{i}" for i in range(size)]
+    schema = pa.schema([*((c, pa.int64()) for c in columns), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [np.frombuffer(s.value, dtype=np.uint8) for s in shared]
+        heads, tails = (np.frombuffer(s.value, dtype=np.uint8) for s in shared) if shared else (
+            None, None)
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            by_lang: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                by_lang.setdefault(lang, []).append(i)
-            texts = batch.column(1)
-            for lang, rows in by_lang.items():
-                portions = _segments((texts[i].as_py() for i in rows), limit)
-                for portion in portions:
-                    found = _kept(*_runs(lang, portion), size, filters)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(found), pa.string()),
-                         pa.array(list(found), pa.string()),
-                         pa.array(list(found.values()), pa.int64())], schema=_SCHEMA)
-
-    texts = docs.select("lang", F.col("text").cast("binary").alias("text"))
-    return map_batches(texts, run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
-
-def _words(phrase: str = "phrase") -> F.Column:
-    return F.split(F.col(phrase), " ", -1)
+            for held, own_ids in zip(*batch.columns):
+                hashes = np.frombuffer(held.as_buffer(), dtype=np.uint64)
+                ids = np.frombuffer(own_ids.as_buffer(), dtype=np.int32).astype(np.int64)
+                count = len(ids) - size + 1
+                if count <= 0:
+                    continue
+                good = ids > 0
+                at = np.flatnonzero(
+                    reduce(np.logical_and, [good[i:i + count] for i in range(size)]))
+                if heads is not None and len(at):
+                    def hashed(first: int) -> np.ndarray:
+                        return reduce(
+                            _step, [hashes[ids[at + first + i]] for i in range(size - 1)])
+                    at = at[_within(heads, hashed(0)) | _within(tails, hashed(1))]
+                if not len(at):
+                    continue
+                # Number the distinct phrases, one more word at a time.
+                own, firsts = ids[at], None
+                for i in range(1, size):
+                    pairs = own * len(hashes) + ids[at + i]
+                    _, firsts, own = np.unique(pairs, return_index=True, return_inverse=True)
+                places = at[firsts]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(hashes[ids[places + i]].view(np.int64)) for i in range(size)),
+                     pa.array(np.bincount(own).astype(np.int64))], schema=schema)
+
+    counted = map_batches(
+        numbers.select("hashes", "ids"), run, ", ".join(f"{c} long" for c in columns) + ", n long")
+    return counted.groupBy(*columns).agg(F.sum("n").alias("n")).select(
+        F.array(*columns).alias("phrase"), "n")
+
+
+_COUNTS = "lang string, phrase array<long>, n long"
 
 
 def _part(first: int, size: int) -> F.Column:
-    return F.array_join(F.slice(_words(), first + 1, size), " ")
+    return F.slice("phrase", first + 1, size)
 
 
 def _score(l: F.Column, r: F.Column) -> F.Column:  # noqa: E741
@@ -236,7 +274,7 @@ def scored(counts: DataFrame, size: int, tables: dict[int, DataFrame]) -> DataFr
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000,
-    longest: int = 4, covered: int = 80, first_look: int = 4, limit: int = 4 << 20,
+    longest: int = 4, covered: int = 80, first_look: int = 4, limit: int = 2 << 20,
 ) -> DataFrame:
     """The best phrases of 2 to ``longest`` words of each language.
 
@@ -256,21 +294,40 @@ def collocations(
     list, as their bounds are below it, ties included. Otherwise that language's level
     falls (to four times as many phrases, at last to 0) and the next prefixes grow.
 
-    Whatever holds phrases is a table. Tasks that read texts get sketches of sets of phrases, of
+    Phrases are arrays of 64-bit hashes of words; that no two words share one is checked (or
+    another seed taken), so equal arrays are equal phrases. The texts are cut into words twice, to
+    count words and to be written as numbers; longer phrases are counted from those.
+    Whatever holds phrases is a table. Tasks that count get sketches of sets of phrases, of
     fixed size, which only spare them counting; the sets are then applied exactly by joins. Only
     a one-word extension has to be looked at to see whether a longer phrase covers one: whatever
     covers a phrase lies in such an extension, which occurs at least as often.
     """
     spark = docs.sparkSession
-    texts = docs.select(
+    texts = docs.where(F.col(text).isNotNull()).select(
         F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
-        F.col(text).alias("text")).where("text IS NOT NULL")
-    words = written(phrase_counts(texts, 1, limit=limit), "words")
+        F.col(text).cast("binary").alias("text"))
+    for seed in range(8):
+        words = written(word_counts(texts, limit, seed), "words")
+        shared = words.groupBy("hash").agg(F.count("*").alias("words")).where("words > 1")
+        if shared.isEmpty():
+            break
+    else:
+        raise RuntimeError("no seed gives all words hashes of their own")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    tables = {1: written(words.where(F.col("n") >= least), "frequent")}
-    frequent = sketch(tables[1])
-    tables[2] = written(
-        phrase_counts(texts, 2, [frequent], limit=limit).where(F.col("n") >= least), "pairs")
+    frequent = words.where(F.col("n") >= least)
+    tables = {1: written(
+        frequent.select("lang", F.array("hash").alias("phrase"), "n"), "frequent")}
+    numbers = written(spelt(texts, sketch(tables[1]), limit, seed), "spelt")
+    langs = tables[1].select("lang", F.element_at("phrase", 1).alias("_first"))
+
+    def often(counts: DataFrame) -> DataFrame:
+        """Frequent phrases with their language, which their first word tells."""
+        counts = counts.where(F.col("n") >= least).withColumn("_first", F.element_at("phrase", 1))
+        return counts.join(langs, "_first").select("lang", "phrase", "n")
+
+    # The sketch may have let words through that are not frequent, but not pairs: of these there
+    # are fewer still.
+    tables[2] = written(often(phrase_counts(numbers, 2)), "pairs")
 
     def as_counts(df: DataFrame) -> DataFrame:
         return df.select("lang", "phrase", F.col("n").alias("a"))
@@ -282,7 +339,7 @@ def collocations(
         seen[size] = spark.createDataFrame([], pairs.schema)
     # Languages not settled yet, with the level that prefixes must reach now, and the last one.
     settled = None
-    state = texts.select("lang").distinct().select(
+    state = totals.select(
         "lang", F.lit(SCALE).cast("long").alias("last"))
     look = first_look
     while True:
@@ -299,8 +356,8 @@ def collocations(
             at = seen[size - 1].join(state, "lang")
             fresh = at.where("bound >= level AND bound < last")
             newly_scored = at.where("score >= level AND score < last")
-            sets = [sketch(fresh), sketch(newly_scored), frequent]
-            more = phrase_counts(texts, size, sets, limit=limit).where(F.col("n") >= least)
+            sets = [sketch(fresh), sketch(newly_scored)]
+            more = often(phrase_counts(numbers, size, sets))
             # What the sketches let through by chance is taken out.
             heads = fresh.select("lang", F.col("phrase").alias("_head"))
             tails = newly_scored.select("lang", F.col("phrase").alias("_tail"))
@@ -315,10 +372,10 @@ def collocations(
                 .distinct(), "counted")
             grown = more.where("grown").select("lang", "phrase", F.col("n").alias("a"))
             if size > 3:
-                _look_up(texts, grown, size, tables, limit)
+                _look_up(numbers, grown, size, tables)
             seen[size] = written(
                 seen[size].union(scored(grown, size, tables)), "scored")
-        best = survivors(seen, tables, state, longest, covered)
+        best = _named(survivors(seen, tables, state, longest, covered), frequent)
         place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         best = written(best.withColumn("rank", F.row_number().over(place).cast("long")).where(
             F.col("rank") <= top), "best")
@@ -330,14 +387,12 @@ def collocations(
             "lang", F.col("level").alias("last"))
         if state.isEmpty():
             break
-        # Languages that are settled need no more counting.
-        texts = texts.join(state.select("lang"), "lang", "left_semi")
         look *= 4
     return settled.join(totals, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
-def _look_up(texts, grown, size, tables, limit) -> None:
+def _look_up(numbers: DataFrame, grown: DataFrame, size: int, tables: dict) -> None:
     """Count the inner parts of grown phrases that no prefix search has met (their last words)."""
     for part in range(size - 1, 2, -1):
         wanted = grown.select("lang", _part(size - part, part).alias("phrase")).distinct()
@@ -346,11 +401,19 @@ def _look_up(texts, grown, size, tables, limit) -> None:
             continue
         heads = missing.select("lang", _part(0, part - 1).alias("phrase")).distinct()
         nothing = bytes(1 << (SKETCH_BITS - 3))
-        more = phrase_counts(texts, part, [sketch(heads), nothing], limit=limit).join(
-            missing, ["lang", "phrase"], "left_semi")
+        more = phrase_counts(numbers, part, [sketch(heads), nothing]).join(missing, "phrase")
         tables[part] = written(tables[part].union(more.select("lang", "phrase", "n")), "counted")
 
 
+def _named(phrases: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Phrases with their words instead of the words' hashes."""
+    rows = phrases.select("*", F.posexplode("phrase").alias("place", "hash"))
+    rows = rows.join(frequent.select("hash", "word"), "hash")
+    return rows.groupBy("lang", "phrase", "a", "l", "r", "score").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias(
+        "name")).drop("phrase").withColumnRenamed("name", "phrase")
+
+
 def survivors(seen, tables, state, longest: int, covered: int) -> DataFrame:
     """Scored phrases that reach their language's level and that no longer one covers."""
     left = []

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from forecourt.llm import collocations as c
 from forecourt.llm.collocations import collocations
 
 _SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,3 +85,19 @@ def test_counts_beyond_doubles(spark):
     rows = [("x", "Big dog. BIG dog, big\tdog; big\ndog dog")] * 1000 + [("x", "Äpfel äpfel")] * 40
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert _rows(collocations(docs)) == brute(rows, 30, 2000)
+
+
+def test_inner_parts_no_prefix_search_has_met_are_looked_up(spark):
+    texts = spark.createDataFrame(
+        [("x", b"a b c d")] * 5 + [("x", b"b c d e")] * 3 + [("x", b"c d b")], "lang string, text binary")
+    words = c.word_counts(texts, 1 << 20, 0)
+    hashes = {r.word: r.hash for r in words.collect()}
+    of = lambda text: [hashes[w] for w in text.split()]
+    frequent = words.select("lang", "hash").selectExpr("lang", "array(hash) AS phrase")
+    numbers = c.spelt(texts, c.sketch(frequent), 1 << 20, 0)
+    known = spark.createDataFrame([("x", of("a b c"), 5)], c._COUNTS)
+    grown = spark.createDataFrame([("x", of("a b c d"), 5)], "lang string, phrase array<long>, a long")
+    tables = {3: known}
+    c._look_up(numbers, grown, 4, tables)
+    assert {(tuple(r.phrase), r.n) for r in tables[3].collect()} == {
+        (tuple(of("a b c")), 5), (tuple(of("b c d")), 8)}
