@@ -104,6 +104,7 @@ def measures_of_counts(
     wanted: Sequence[Measure],
     keep_empty: bool = True,
     few_keys: bool = False,
+    small_keys: bool = False,
 ) -> DataFrame:
     """Measures per key of a value-count table; without keys always one row.
 
@@ -111,7 +112,9 @@ def measures_of_counts(
     all null keeps its row, with count 0, if ``keep_empty``.
     The table is read twice, in the same shape, so that Spark reuses its exchange.
     ``few_keys`` says that the keys are a short list fixed by the caller: the slices to
-    look into, at most one per key and rank, are then broadcast.
+    look into, at most one per key and rank, are then broadcast. ``small_keys`` says that the
+    keys are many and that no key has more values than a task can sort; of 32-bit integers, a key's
+    values are then ordered as a whole, with one shuffle for all measures.
     """
     sums = sums_needed(wanted, VALUE, COUNT, dtype)
     ranks: dict[str, list[str]] = {}
@@ -130,7 +133,9 @@ def measures_of_counts(
             steps = f"""
         anchored AS (SELECT *, (SELECT {anchor} FROM {{sliced}}) AS fc_anchor FROM {{sliced}}),"""
         source = "anchored"
-    if any(m.ranked for m in wanted):
+    if any(m.ranked for m in wanted) and small_keys and keys and is_small(dtype):
+        more, ranks = _ordering_steps(source, wanted, sums)
+    elif any(m.ranked for m in wanted):
         more, ranks = _locating_steps(
             keyed, source, wanted, sums, keep_empty, few_keys or not keys, dtype
         )
@@ -178,6 +183,38 @@ def _grouped_by(keyed: str) -> str:
     return f"GROUP BY {keyed[:-2]}" if keyed else ""
 
 
+def _rank_columns(wanted: Sequence[Measure]) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """The columns that hold the values a measure needs, and the ranks of those values, as SQL."""
+    names: dict[str, list[str]] = {}
+    ranks: dict[str, str] = {}
+    for i, m in enumerate(m for m in wanted if m.ranked):
+        expressions = _ranks_of(m)
+        names[m.name] = [f"fc_rank_{i}_{j}" for j in range(len(expressions))]
+        ranks.update(zip(names[m.name], expressions))
+    return names, ranks
+
+
+def _ordering_steps(
+    source: str, wanted: Sequence[Measure], sums: Mapping[str, str]
+) -> tuple[str, dict[str, list[str]]]:
+    """The steps to the sums and the values at the wanted ranks per key, all values in order."""
+    names, ranks = _rank_columns(wanted)
+    picked = {
+        name: f"max({VALUE}) FILTER (WHERE {r} < fc_upto AND {r} >= fc_upto - {COUNT})"
+        for name, r in ranks.items()
+    }
+    return f"""
+        ordered AS (
+          SELECT fc_key, {VALUE}, {COUNT}, sum({COUNT}) OVER (PARTITION BY fc_key) AS fc_n,
+                 sum({COUNT}) OVER (
+                   PARTITION BY fc_key ORDER BY {VALUE} ROWS UNBOUNDED PRECEDING) AS fc_upto
+          FROM {source}
+        ),
+        found AS (
+          SELECT fc_key, {_aliased(sums)}, {_aliased(picked)} FROM ordered GROUP BY fc_key
+        )""", names
+
+
 def _locating_steps(
     keyed: str,
     source: str,
@@ -189,12 +226,7 @@ def _locating_steps(
 ) -> tuple[str, dict[str, list[str]]]:
     """The steps to the sums and the values at the wanted ranks per key, and the
     columns the latter are in."""
-    ranks: dict[str, list[str]] = {}
-    rank_columns: dict[str, str] = {}
-    for i, m in enumerate(m for m in wanted if m.ranked):
-        expressions = _ranks_of(m)
-        ranks[m.name] = [f"fc_rank_{i}_{j}" for j in range(len(expressions))]
-        rank_columns.update(zip(ranks[m.name], expressions))
+    ranks, rank_columns = _rank_columns(wanted)
 
     here = {f"{c}_here": e for c, e in sums.items()}
     over_key = {

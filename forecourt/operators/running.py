@@ -36,6 +36,8 @@ def running_counts(counts: DataFrame, dtype: DataType) -> DataFrame:
     """
     sliced = counts.where(F.col(VALUE).isNotNull()).selectExpr(
         VALUE, COUNT, f"{slice_of(VALUE, dtype)} AS fc_slice")
+    # The join below says as much of one of its sides; said of both, they stay one exchange.
+    sliced = sliced.where("fc_slice IS NOT NULL")
     hint = ""
     if is_small(dtype):
         within, steps, source = "fc_slice", "", "{sliced}"

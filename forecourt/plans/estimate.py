@@ -300,7 +300,7 @@ def estimate_prices(
     64-bit hashes of all they ask for), and adverts
     are reduced to price counts per *cell* (the fields wishes give), one set of cells
     for every combination of given fields that occurs, so a model holding most of
-    adverts and requests costs its distinct prices.
+    adverts and requests costs its distinct prices. Those of one wish are ordered in one task.
 
     A range of whole numbers or days is a few nodes of a tree over the column's values, and every
     value lies in one node of each level; so ranges, too, are met by equality, and a wish
@@ -480,7 +480,8 @@ def estimate_prices(
             f" AND (hi_{of} IS NULL OR fr_{of} <= hi_{of}))")
     matched = matched.select("wish", VALUE, COUNT)
     measured = measures_of_counts(
-        matched, ["wish"], adverts.schema[column].dataType, measures(ESTIMATE_MEASURES)
+        matched, ["wish"], adverts.schema[column].dataType, measures(ESTIMATE_MEASURES),
+        small_keys=True,
     )
     answers = (
         tries.select("strict", "level", "wish")
