@@ -1,4 +1,4 @@
-"""Exact duplicates by hash and bytes, with an extendible-hash directory, with Spark functions only."""
+"""Exact duplicates by an extendible-hash index on shared files, with Spark functions only."""
 
 from __future__ import annotations
 
@@ -18,33 +18,53 @@ def slot(hashed: F.Column, depth: int) -> F.Column:
     return F.shiftrightunsigned(hashed, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
-    """The directory of an extendible-hash index over distinct hashes ``h``, and its depth.
+def directory(entries: DataFrame, capacity: int, doublings: int = 6) -> tuple[DataFrame, int]:
+    """The directory of an extendible-hash index over entries with hashes ``h``, and its depth.
 
-    It doubles while a slot holds more than ``capacity`` keys. Neighbouring slots that fit
-    into one bucket share it: per slot, the bucket's first bits and local depth. The rows
-    are counts, one per slot, and stay a table. Copies never overfill a bucket, as they
-    share one key.
+    It doubles while a slot holds more than ``capacity`` entries of more than one hash, up to
+    ``doublings`` times beyond what even hashes need. Neighbouring slots that fit into one bucket
+    share it: per slot, the bucket's first bits (``bucket``) and local depth. Copies of one hash
+    cannot be split by doubling; a bucket that stays overfull has several ``pages``, between which
+    entries are dealt by their keys. The rows are counts, one per slot, and stay a table.
     """
-    n = keys.count()
+    n = entries.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / capacity)))
+    last = min(60, depth + doublings)
     while True:
         slots = written(
-            keys.groupBy(slot(F.col("h"), depth).alias("slot")).agg(F.count("*").alias("n")),
+            entries.groupBy(slot(F.col("h"), depth).alias("slot")).agg(
+                F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")),
             "slots")
-        if depth >= 60 or not slots.where(F.col("n") > capacity).head(1):
+        overfull = slots.where((F.col("n") > capacity) & (F.col("low") < F.col("high")))
+        if depth >= last or overfull.isEmpty():
             break
         depth += 1
     levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"))
     levels = levels.withColumn(
         "bucket",
         F.call_function("shiftrightunsigned", "slot", (F.lit(depth) - F.col("d")).cast("int")))
-    sums = levels.groupBy("d", "bucket").agg(F.sum("n").alias("keys"))
-    fits = sums.where((F.col("keys") <= capacity) | (F.col("d") == depth))
+    sums = levels.groupBy("d", "bucket").agg(F.sum("n").alias("held"))
+    fits = sums.where((F.col("held") <= capacity) | (F.col("d") == depth))
     joined = levels.select("slot", "d", "bucket").join(fits, ["d", "bucket"])
-    best = joined.groupBy("slot").agg(F.min(F.struct("d", "bucket")).alias("at"))
-    return best.select("slot", F.col("at.d").alias("local_depth"),
-                       F.col("at.bucket").alias("bucket")), depth
+    best = joined.groupBy("slot").agg(F.min(F.struct("d", "bucket", "held")).alias("at"))
+    return best.select(
+        "slot", F.col("at.d").alias("local_depth"), F.col("at.bucket").alias("bucket"),
+        F.ceil(F.col("at.held") / capacity).alias("pages")), depth
+
+
+def build_index(entries: DataFrame, capacity: int) -> DataFrame:
+    """The entries with ``bucket`` and ``local_depth``, written by bucket.
+
+    Every entry looks its bucket up in the directory. A file holds the entries of some buckets
+    (or pages of one) in the order of their hashes; a bucket is a range of hashes.
+    """
+    slots, depth = directory(entries, capacity)
+    found = entries.withColumn("slot", slot(F.col("h"), depth)).join(slots, "slot").drop("slot")
+    page = F.pmod(F.xxhash64("id", "points"), F.col("pages")).alias("page")
+    files = max(1, -(-entries.count() // capacity))
+    return written(
+        found.select("*", page).repartition(files, "local_depth", "bucket", "page")
+        .sortWithinPartitions("local_depth", "bucket", "h").drop("pages", "page"), "index")
 
 
 def exact_duplicates(
@@ -58,12 +78,13 @@ def exact_duplicates(
     text counts as empty, and all empty texts are equal. Rows that repeat the key that stays
     are marked kept, too. Other columns are not read.
 
-    Entries (hash, digest, length, key) go to index files in the shared folder, not laid out by
-    bucket. Duplicates are found by grouping on the hash and the bytes; the directory only
-    names each hash's bucket. Where a hash occurs more than once, the texts themselves are compared: they are chained under the hash, one link
-    per distinct byte string. Only those texts are moved, and copies are counted before they
-    are, so that a text that fills a third of the rows costs one row per task; the join that
-    hands results back is one that Spark splits at hot keys.
+    Entries (hash, digest, length, key) look up their bucket and go to index files by bucket in
+    the shared folder. Buckets are counted hash by hash; an entry alone under its hash is
+    answered from the index. Where a bucket has several entries of a hash, their texts are chained in
+    that bucket, one link per distinct byte string, so hashes that collide are told apart by
+    comparing bytes. Only those texts are moved, and copies are counted before they are, so that a
+    text that fills a third of the rows costs one row per task; the join that hands results
+    back is one that Spark splits at hot keys.
     """
     bare = F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")
     base = docs.select(
@@ -74,20 +95,20 @@ def exact_duplicates(
                     F.col("id").alias("id"))
     entries = written(
         base.select("h", F.sha2(F.encode("bare", "UTF-8"), 256).alias("sha"), "points", "id"),
-        "index")
-    counted = written(entries.groupBy("h").agg(F.count("*").alias("n")), "keys")
-    slots, depth = directory(counted, capacity)
-    owned = counted.withColumn("slot", slot(F.col("h"), depth)).join(slots, "slot").drop("slot")
-    once = owned.where("n = 1").drop("n")
-    single = entries.join(once, "h").select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), "sha", "bucket", "local_depth")
+        "entries")
+    index = build_index(entries, capacity)
+    at = ["local_depth", "bucket", "h"]
+    counted = written(index.groupBy(*at).agg(
+        F.count("*").alias("n"), F.min(F.struct("sha", "id")).alias("only")), "counted")
+    single = counted.where("n = 1").select(
+        F.col("only.id").alias("id"), F.col("only.id").alias("keep_id"), F.col("n").alias("group_size"),
+        F.lit(True).alias("kept"), F.col("only.sha").alias("sha"), "bucket", "local_depth")
     # Chains: the distinct texts under a hash that occurs more than once.
-    several = owned.where("n > 1").drop("n")
-    texts = written(base.join(several.select("h"), "h", "left_semi"), "chained")
-    chains = texts.groupBy("h", "bare").agg(
-        F.count("*").alias("group_size"), F.min(rank).alias("best")).join(several, "h")
-    same = texts.select("h", "bare", "id").join(chains, ["h", "bare"]).select(
+    several = counted.where("n > 1").select(*at)
+    texts = written(base.join(several, "h"), "chained")
+    chains = texts.groupBy(*at, "bare").agg(
+        F.count("*").alias("group_size"), F.min(rank).alias("best"))
+    same = texts.select(*at, "bare", "id").join(chains, [*at, "bare"]).select(
         "id", F.col("best.id").alias("keep_id"), "group_size",
         F.col("id").eqNullSafe(F.col("best.id")).alias("kept"),
         F.sha2(F.encode("bare", "UTF-8"), 256).alias("sha"), "bucket", "local_depth")
