@@ -161,24 +161,34 @@ def ends_type(dtype: DataType) -> str:
     return f"array<{dtype.simpleString()}>"
 
 
+def _wide_bins(n: int) -> Column:
+    """The numbers of the bins between ``fc_cuts`` that have any width."""
+    cuts = F.col("fc_cuts")
+    return F.filter(
+        F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(cuts, i - 1) < F.get(cuts, i))
+
+
 def _quantile_places(
     n: int, last_closed: bool, dtype: DataType, x: Column
 ) -> tuple[Column, Column, Column]:
-    """Index and category of a value between the n + 1 ``fc_cuts``, and the edges."""
-    cuts = F.col("fc_cuts")
-    wide = F.filter(
-        F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(cuts, i - 1) < F.get(cuts, i))
+    """Index and category of a value between the n + 1 ``fc_cuts``, and the edges.
+
+    ``fc_wide`` are the bins that have any width.
+    """
+    cuts, wide = F.col("fc_cuts"), F.col("fc_wide")
     number = F.size(F.filter(cuts, lambda c: c <= x))
     closed = F.when(F.size(wide) > 0, F.array_max(wide)).otherwise(n)
     number = F.when(number <= n, number)
     if last_closed:
         number = F.coalesce(number, closed)
-    index = F.size(F.filter(wide, lambda i: i < number))
+    # The variable of a lambda is computed once, not for each bin.
+    index = F.get(F.transform(F.array(number), lambda k: F.when(
+        k.isNotNull(), F.size(F.filter(wide, lambda i: i < k)))), F.lit(0))
     edges = F.array_distinct(F.filter(cuts, lambda c: c.isNotNull()))
     if not last_closed:
         # Without a bin that has any width there are no edges.
         edges = F.when(F.size(wide) > 0, edges).otherwise(F.array().cast(ends_type(dtype)))
-    return F.when(number.isNotNull(), index).cast("int"), number.cast("string"), edges
+    return index.cast("int"), number.cast("string"), edges
 
 
 def distribution(
@@ -215,7 +225,8 @@ def distribution(
         (F.col(UPTO) > F.col("fc_before")) & (F.col(UPTO) <= F.col("fc_last")))
     cuts = even_values(within, n, "fc_before", "fc_rows_within")
     if kind == "quantile":
-        places, row = _quantile_places, given.join(F.broadcast(cuts), TOTAL)
+        places = _quantile_places
+        row = given.join(F.broadcast(cuts.withColumn("fc_wide", _wide_bins(n))), TOTAL)
         placed = with_row(index, row).where(
             (F.col(UPTO) > F.col("fc_before")) & (F.col(UPTO) <= F.col("fc_last")))
     else:
@@ -243,6 +254,7 @@ def distribution(
         if kind == "quantile":
             none = F.array().cast(ends_type(dtype))
             found = found.withColumn("fc_cuts", F.coalesce("fc_cuts", none))
+            found = found.withColumn("fc_wide", _wide_bins(n))
         return found.select(edges.alias("edges"))
 
     return Distribution(bins, summary, ends)
