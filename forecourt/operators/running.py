@@ -66,7 +66,7 @@ def running_counts(counts: DataFrame, dtype: DataType) -> DataFrame:
             PARTITION BY {within} ORDER BY {VALUE} ROWS UNBOUNDED PRECEDING) AS fc_here
           FROM {source}
         ),
-        totals AS (SELECT {within}, max(fc_here) AS fc_n FROM ordered GROUP BY {within}),
+        totals AS (SELECT {within}, sum({COUNT}) AS fc_n FROM {source} GROUP BY {within}),
         places AS (
           SELECT {within}, sum(fc_n) OVER () AS {TOTAL}, sum(fc_n) OVER (
             ORDER BY {within} ROWS UNBOUNDED PRECEDING) - fc_n AS fc_earlier
@@ -109,13 +109,34 @@ def even_values(within: DataFrame, n: int, before: str, rows: str) -> DataFrame:
     low = f"greatest(0, cast(floor(({UPTO} - {COUNT} - {before} - 0.5D) * {scale}) AS int) - 1)"
     high = f"least({n}, cast(ceil(({UPTO} - {before} + 0.5D) * {scale}) AS int) + 1)"
     wanted = f"{before} + {rank_of(f'(i / {n}D)', rows)}"
-    hits = within.selectExpr(
+    # Few values hold a rank: only those make a list. One that does is at most half a rank off.
+    some = (f"floor(({UPTO} - {before} + 0.5D) / (greatest({rows} - 1, 1) / {n}D)) >= "
+            f"ceil(({UPTO} - {COUNT} - {before} - 1.5D) / (greatest({rows} - 1, 1) / {n}D))")
+    hits = within.where(some).selectExpr(
         TOTAL, VALUE,
         f"explode(filter(sequence({low}, greatest({low}, {high})), i -> {holds(wanted)})) AS i")
     return hits.groupBy(TOTAL).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("i", VALUE))), lambda e: e[VALUE]).alias("fc_cuts"))
 
 
+def with_ranks_below(
+    entries: DataFrame, n: int, upto: str, before: str, rows: str, name: str
+) -> DataFrame:
+    """Entries with how many of the ranks of 0, 1/n, ..., 1 lie below ``upto`` rows, as ``name``.
+
+    The ranks are among ``rows`` rows after ``before``, and rise with the fraction. A guess by
+    arithmetic is at most two off; the ranks around it are compared, without a lambda. It is a
+    column of its own, to be computed once.
+    """
+    guess = (f"cast(least(greatest(floor(({upto} - {before}) * ({n}D / greatest({rows} - 1, 1))) - 2,"
+             f" 0), {n + 1}) AS int)")
+    near = " + ".join(
+        f"if(fc_low + {j} <= {n} AND {before} + {rank_of(f'((fc_low + {j}) / {n}D)', rows)} < {upto},"
+        " 1, 0)" for j in range(5))
+    return entries.selectExpr("*", f"{guess} AS fc_low").selectExpr(
+        "*", f"fc_low + {near} AS {name}").drop("fc_low")
+
+
 def middle(before: str, rows: str) -> tuple[str, str]:
     """The two middle ranks of ``rows`` rows after ``before``, as SQL."""
     return f"{before} + shiftright({rows} - 1, 1)", f"{before} + shiftright({rows}, 1)"

@@ -30,6 +30,7 @@ from forecourt.operators.running import (
     measured_runs,
     rank_of,
     running_counts,
+    with_ranks_below,
     with_row,
 )
 from forecourt.plans.statistics import even_quantiles, with_quantile_list
@@ -67,6 +68,14 @@ def _bounds(index: DataFrame, dtype: DataType, tiers: Tiers, trim: bool) -> Data
         f"upper.{UPTO} - lower.{UPTO} + lower.{COUNT} AS fc_rows_within").drop("lower", "upper")
 
 
+def _whole(counts: DataFrame) -> DataFrame:
+    """The columns of ``_bounds`` without trimming, which need no value in order."""
+    return counts.where(F.col(VALUE).isNotNull()).agg(
+        F.min(VALUE).alias("start"), F.max(VALUE).alias("end"), F.sum(COUNT).alias(TOTAL),
+    ).selectExpr(TOTAL, "start AS orig_start", "end AS orig_end", "start", "end",
+                 "0L AS fc_before", f"{TOTAL} AS fc_last", f"{TOTAL} AS fc_rows_within")
+
+
 def trim_range(
     df: DataFrame,
     column: str,
@@ -173,17 +182,15 @@ def _quantile_places(
 ) -> tuple[Column, Column, Column]:
     """Index and category of a value between the n + 1 ``fc_cuts``, and the edges.
 
-    ``fc_wide`` are the bins that have any width.
+    ``fc_wide`` are the bins that have any width, ``fc_indexes`` the index of each bin,
+    ``fc_cuts_below`` the number of cuts up to the value.
     """
     cuts, wide = F.col("fc_cuts"), F.col("fc_wide")
-    number = F.size(F.filter(cuts, lambda c: c <= x))
-    closed = F.when(F.size(wide) > 0, F.array_max(wide)).otherwise(n)
+    number = F.col("fc_cuts_below")
     number = F.when(number <= n, number)
     if last_closed:
-        number = F.coalesce(number, closed)
-    # The variable of a lambda is computed once, not for each bin.
-    index = F.get(F.transform(F.array(number), lambda k: F.when(
-        k.isNotNull(), F.size(F.filter(wide, lambda i: i < k)))), F.lit(0))
+        number = F.coalesce(number, F.col("fc_closed"))
+    index = F.get(F.col("fc_indexes"), number - 1)
     edges = F.array_distinct(F.filter(cuts, lambda c: c.isNotNull()))
     if not last_closed:
         # Without a bin that has any width there are no edges.
@@ -191,6 +198,16 @@ def _quantile_places(
     return index.cast("int"), number.cast("string"), edges
 
 
+def _bin_places(n: int) -> dict[str, Column]:
+    """The last bin that has any width, and the index of every bin, over ``fc_wide``."""
+    wide = F.col("fc_wide")
+    return {
+        "fc_closed": F.when(F.size(wide) > 0, F.array_max(wide)).otherwise(n),
+        "fc_indexes": F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.size(
+            F.filter(wide, lambda i: i < k))),
+    }
+
+
 def distribution(
     df: DataFrame,
     column: str,
@@ -217,7 +234,7 @@ def distribution(
     dtype = df.schema[column].dataType
     counts = value_counts(listing_filter.apply(df, as_of), [], column)
     index = running_counts(counts, dtype)
-    bounds = _bounds(index, dtype, tiers, trim).withColumn(
+    bounds = (_bounds(index, dtype, tiers, trim) if trim and tiers else _whole(counts)).withColumn(
         "fc_bounds", F.struct("start", "end"))
     given = bounds.select(TOTAL, "fc_bounds", "fc_before", "fc_last", "fc_rows_within")
     # The values within the bounds are the rows after the first and up to the last of them.
@@ -226,9 +243,12 @@ def distribution(
     cuts = even_values(within, n, "fc_before", "fc_rows_within")
     if kind == "quantile":
         places = _quantile_places
-        row = given.join(F.broadcast(cuts.withColumn("fc_wide", _wide_bins(n))), TOTAL)
+        shown = cuts.withColumn("fc_wide", _wide_bins(n)).withColumns(_bin_places(n))
+        row = given.join(F.broadcast(shown), TOTAL)
         placed = with_row(index, row).where(
             (F.col(UPTO) > F.col("fc_before")) & (F.col(UPTO) <= F.col("fc_last")))
+        # Cuts are values at ranks: those up to a value have ranks below its running count.
+        placed = with_ranks_below(placed, n, UPTO, "fc_before", "fc_rows_within", "fc_cuts_below")
     else:
         places, row, placed = _interval_places, given, within
     place, category, edges = places(n, last_closed, dtype, F.col(VALUE))
