@@ -29,6 +29,9 @@ SKETCH_BITS = 26
 _BLOCK = 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
+#: Portions of about 2 MB of text that a Python worker gets at a time.
+_PORTIONS = 2
+
 #: 2 * 1,000,000: scores are millionths of twice a phrase's count over those of its parts.
 SCALE = 2_000_000
 
@@ -327,7 +330,7 @@ def collocations(
 
     # The sketch may have let words through that are not frequent, but not pairs: of these there
     # are fewer still.
-    tables[2] = written(often(phrase_counts(numbers, 2)), "pairs")
+    tables[2] = written(often(phrase_counts(numbers, 2)), "pairs", _PORTIONS)
 
     def as_counts(df: DataFrame) -> DataFrame:
         return df.select("lang", "phrase", F.col("n").alias("a"))
@@ -366,7 +369,7 @@ def collocations(
             more = more.join(tails.withColumn("met", F.lit(True)), ["lang", "_tail"], "left")
             more = more.where("grown OR met").select(
                 "lang", "phrase", "n", F.coalesce("grown", F.lit(False)).alias("grown"))
-            more = written(more, "grown")
+            more = written(more, "grown", _PORTIONS)
             tables[size] = written(
                 tables[size].select("lang", "phrase", "n").union(more.select("lang", "phrase", "n"))
                 .distinct(), "counted")
@@ -402,7 +405,8 @@ def _look_up(numbers: DataFrame, grown: DataFrame, size: int, tables: dict) -> N
         heads = missing.select("lang", _part(0, part - 1).alias("phrase")).distinct()
         nothing = bytes(1 << (SKETCH_BITS - 3))
         more = phrase_counts(numbers, part, [sketch(heads), nothing]).join(missing, "phrase")
-        tables[part] = written(tables[part].union(more.select("lang", "phrase", "n")), "counted")
+        tables[part] = written(
+            tables[part].union(more.select("lang", "phrase", "n")), "counted", _PORTIONS)
 
 
 def _named(phrases: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -42,11 +42,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, as a table in the shared folder: lineage ends here, work is not repeated."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """The same rows, as a table in the shared folder: lineage ends here, work is not repeated.
+
+    With ``rows``, Python functions on the way get at most so many rows at a time: a batch of
+    long texts is held by the JVM and by the Python worker at once.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, label), spark.conf.get(_BATCH)
+    if rows and not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH, rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

@@ -198,3 +198,21 @@ def test_directory_splits_overfull_buckets(spark):
     slots = keys.groupBy(F.shiftrightunsigned("h", 64 - depth).alias("slot")).count()
     loads = slots.join(rows, "slot").groupBy("bucket", "local_depth").agg(F.sum("count").alias("n"))
     assert max(r.n for r in loads.collect()) <= 100
+
+
+def test_written_tables_hand_python_few_rows_at_a_time(spark):
+    import pyarrow as pa
+
+    from forecourt.llm.common import map_batches, written
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows = spark.range(0, 5000, 1, 1)
+    found = [r.n for r in written(map_batches(rows, sizes, "n long"), "sizes", 300).collect()]
+    assert sum(found) == 5000 and max(found) <= 300
+    assert spark.conf.get(name) == before
