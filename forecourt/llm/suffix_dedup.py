@@ -33,15 +33,16 @@ _LAST = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(30_011).integers(1, 2**64, 256, dtype=np.uint64)
 _UP = 0x9E3779B97F4A7C15
 _DOWN = pow(_UP, -1, 2**64)
-_SEGMENT = (1 << 20) - 2048
+_SEGMENT = (1 << 18) - 2048
 _TOGETHER = 12 << 20
+_TEXTS = 2500
 _PLACE = np.uint64((1 << 20) - 1)
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 18), base, dtype=np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps, dtype=np.uint64)
     return _powers[base]
@@ -496,7 +497,7 @@ def _cut(kind: pa.DataType):
     schema = pa.schema([("key", kind), *list(_RESULT)[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             out: list[list] = [[], [], [], []]
             for text, blob in zip(batch.column(1), batch.column(2)):
                 data = (text.as_py() or "").encode("utf-8")
@@ -555,7 +556,7 @@ def repeated_bytes(
     binary = "anchor binary, times binary, row binary, start binary"
     anchors = written(map_batches(
         base.select("row", "text"), _find_anchors(length, seed, buckets, segment),
-        "bucket long, " + binary), "anchors")
+        "bucket long, " + binary), "anchors", _TEXTS)
     spot = "row long, start int, anchor long, hot boolean"
     dealt = anchors.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
     first = written(map_batches(dealt, _repeated_anchors(hot), spot), "spots")
@@ -572,7 +573,7 @@ def repeated_bytes(
     strings = written(map_batches(
         around.select("row", "key", "text", "spots"), _strings(length, seed, buckets, segment),
         "bucket long, anchor binary, around binary, key binary, row binary, start binary,"
-        " count binary, data binary"), "strings")
+        " count binary, data binary"), "strings", _TEXTS)
     dealt = strings.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
     found = map_batches(dealt, _repeats(length), "row long, spans binary").union(map_batches(
         strings.where("bucket < 0"), _local_spans(length), "row long, spans binary"))

@@ -216,3 +216,18 @@ def test_written_tables_hand_python_few_rows_at_a_time(spark):
     found = [r.n for r in written(map_batches(rows, sizes, "n long"), "sizes", 300).collect()]
     assert sum(found) == 5000 and max(found) <= 300
     assert spark.conf.get(name) == before
+
+
+def test_cut_texts_leave_in_portions():
+    """A batch of long texts is not held as a whole a second time."""
+    import pyarrow as pa
+
+    from forecourt.llm.suffix_dedup import _TOGETHER, _cut
+
+    text = "x" * (_TOGETHER // 2)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6)), pa.array([text] * 6), pa.array([None] * 6, pa.binary())],
+        ["key", "text", "spans"])
+    out = list(_cut(pa.int64())(iter([batch])))
+    assert len(out) > 1 and sum(b.num_rows for b in out) == 6
+    assert [k for b in out for k in b.column(0).to_pylist()] == list(range(6))
