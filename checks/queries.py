@@ -760,6 +760,8 @@ def estimate_batch_engines(spark, sf_dir):
     columns = ["make", "year", "engine"]
     requests = (
         adverts(spark, sf_dir, columns)
+        # The least and the last text of a group are found by sorting its rows: few, counted first.
+        .groupBy(*columns).count().where("count > 0")
         .groupBy("make", "year")
         .agg(F.min("engine").alias("first"), F.max("engine").alias("last"))
         .select(

@@ -174,3 +174,10 @@ def test_keyed_ranks_share_one_partitioning(spark, parquet):
     assert plan.count("Exchange hashpartitioning") <= 7
     for line in plan.splitlines():
         assert "coalesce(fc_key" not in line and "isnull(fc_key" not in line
+
+
+def test_engine_requests_are_counted_before_their_texts_are_sorted(spark, sf_dir):
+    """Spark drops a distinct below a minimum again, and sorts all rows for texts."""
+    plan = QUERIES["estimate_batch_engines"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    below = plan.toString().split("min(engine")[1].splitlines()[1:4]
+    assert any("Filter (count" in line for line in below)
