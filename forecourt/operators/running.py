@@ -119,24 +119,6 @@ def even_values(within: DataFrame, n: int, before: str, rows: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("i", VALUE))), lambda e: e[VALUE]).alias("fc_cuts"))
 
 
-def with_ranks_below(
-    entries: DataFrame, n: int, upto: str, before: str, rows: str, name: str
-) -> DataFrame:
-    """Entries with how many of the ranks of 0, 1/n, ..., 1 lie below ``upto`` rows, as ``name``.
-
-    The ranks are among ``rows`` rows after ``before``, and rise with the fraction. A guess by
-    arithmetic is at most two off; the ranks around it are compared, without a lambda. It is a
-    column of its own, to be computed once.
-    """
-    guess = (f"cast(least(greatest(floor(({upto} - {before}) * ({n}D / greatest({rows} - 1, 1))) - 2,"
-             f" 0), {n + 1}) AS int)")
-    near = " + ".join(
-        f"if(fc_low + {j} <= {n} AND {before} + {rank_of(f'((fc_low + {j}) / {n}D)', rows)} < {upto},"
-        " 1, 0)" for j in range(5))
-    return entries.selectExpr("*", f"{guess} AS fc_low").selectExpr(
-        "*", f"fc_low + {near} AS {name}").drop("fc_low")
-
-
 def middle(before: str, rows: str) -> tuple[str, str]:
     """The two middle ranks of ``rows`` rows after ``before``, as SQL."""
     return f"{before} + shiftright({rows} - 1, 1)", f"{before} + shiftright({rows}, 1)"
