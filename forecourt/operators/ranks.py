@@ -134,7 +134,7 @@ def measures_of_counts(
         anchored AS (SELECT *, (SELECT {anchor} FROM {{sliced}}) AS fc_anchor FROM {{sliced}}),"""
         source = "anchored"
     if any(m.ranked for m in wanted) and small_keys and keys and is_small(dtype):
-        more, ranks = _ordering_steps(source, wanted, sums)
+        more, ranks = _ordering_steps(len(keys), source, wanted, sums)
     elif any(m.ranked for m in wanted):
         more, ranks = _locating_steps(
             keyed, source, wanted, sums, keep_empty, few_keys or not keys, dtype
@@ -195,23 +195,31 @@ def _rank_columns(wanted: Sequence[Measure]) -> tuple[dict[str, list[str]], dict
 
 
 def _ordering_steps(
-    source: str, wanted: Sequence[Measure], sums: Mapping[str, str]
+    keys: int, source: str, wanted: Sequence[Measure], sums: Mapping[str, str]
 ) -> tuple[str, dict[str, list[str]]]:
-    """The steps to the sums and the values at the wanted ranks per key, all values in order."""
+    """The steps to the sums and the values at the wanted ranks per key, all values in order.
+
+    The key's columns are taken apart: a struct has no prefix that a sort could go by.
+    """
     names, ranks = _rank_columns(wanted)
     picked = {
         name: f"max({VALUE}) FILTER (WHERE {r} < fc_upto AND {r} >= fc_upto - {COUNT})"
         for name, r in ranks.items()
     }
+    flat = ", ".join(f"fc_key_{i}" for i in range(keys))
+    apart = ", ".join(f"fc_key.c{i} AS fc_key_{i}" for i in range(keys))
+    together = ", ".join(f"fc_key_{i} AS c{i}" for i in range(keys))
     return f"""
+        keyed AS (SELECT {apart}, {VALUE}, {COUNT} FROM {source}),
         ordered AS (
-          SELECT fc_key, {VALUE}, {COUNT}, sum({COUNT}) OVER (PARTITION BY fc_key) AS fc_n,
+          SELECT {flat}, {VALUE}, {COUNT}, sum({COUNT}) OVER (PARTITION BY {flat}) AS fc_n,
                  sum({COUNT}) OVER (
-                   PARTITION BY fc_key ORDER BY {VALUE} ROWS UNBOUNDED PRECEDING) AS fc_upto
-          FROM {source}
+                   PARTITION BY {flat} ORDER BY {VALUE} ROWS UNBOUNDED PRECEDING) AS fc_upto
+          FROM keyed
         ),
         found AS (
-          SELECT fc_key, {_aliased(sums)}, {_aliased(picked)} FROM ordered GROUP BY fc_key
+          SELECT struct({together}) AS fc_key, {_aliased(sums)}, {_aliased(picked)}
+          FROM ordered GROUP BY {flat}
         )""", names
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import chain
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -239,11 +240,18 @@ def _fields(df: DataFrame, search: Column | None) -> dict[str, Column]:
     return found
 
 
-def _print(names: Sequence[str]) -> str:
-    """Two 64-bit hashes of some columns and of which of them are null, as SQL."""
+def _print(names: Sequence[str], label: str) -> list[str]:
+    """Two 64-bit hashes of some columns and of which of them are null, as two columns in SQL.
+
+    They stay apart: a struct of them is compared field by field where rows are sorted by it.
+    """
     present = " + ".join(f"if({name} IS NULL, 0L, {1 << i}L)" for i, name in enumerate(names))
     values = ", ".join((present, *names))
-    return f"struct(xxhash64({values}) AS a, xxhash64(7919, {values}) AS b)"
+    return [f"xxhash64({values}) AS {label}_a", f"xxhash64(7919, {values}) AS {label}_b"]
+
+
+def _pair(label: str) -> list[str]:
+    return [f"{label}_a", f"{label}_b"]
 
 
 def tree_nodes(position: str, levels: str) -> str:
@@ -321,6 +329,8 @@ def estimate_prices(
     require_columns(adverts, [of for _, of, *_ in limits])
     require_columns(adverts, [k for k in asked if k != FOUND])
     names = list(asked)
+    if "engine" in names and isinstance(adverts.schema["engine"].dataType, ArrayType):
+        raise ValueError("adverts must have one engine each")  # hashes of lists meet no text's
     for k in set(names) & set(NUMBERS):  # compared in one type
         if not (is_whole(requests.schema[k].dataType) and is_whole(adverts.schema[k].dataType)):
             asked[k] = asked[k].cast("double")
@@ -364,16 +374,18 @@ def estimate_prices(
         return f"struct({level} AS level, {', '.join((*kept, f'{given} AS given', *bounds(level)))})"
 
     everything = [f"fc_{k}" for k in names] + [f"fl_{name}" for name, *_ in limits]
-    wanted = wanted.selectExpr("*", f"{_print(everything)} AS strict")
+    # Without an aggregate of texts, equal wishes are found by hashing, not by sorting requests.
+    strict = wanted.select(*everything).distinct().selectExpr("*", *_print(everything, "strict"))
+    wanted = wanted.selectExpr(id_column, *_print(everything, "strict"))
     dropped = " OR ".join(f"fc_{k} IS NOT NULL" for k in relaxable) or "false"
-    tries = wanted.dropDuplicates(["strict"]).selectExpr(
-        "strict", f"inline(if({dropped}, array({one_try(0)}, {one_try(1)}), array({one_try(0)})))"
-    ) if relaxable else wanted.dropDuplicates(["strict"]).selectExpr(
-        "strict", f"inline(array({one_try(0)}))")
+    tries = strict.selectExpr(
+        *_pair("strict"),
+        f"inline(if({dropped}, array({one_try(0)}, {one_try(1)}), array({one_try(0)})))"
+    ) if relaxable else strict.selectExpr(*_pair("strict"), f"inline(array({one_try(0)}))")
     ends = [f"{side}_{of}" for of in limited for side in ("lo", "hi")]
-    tries = tries.selectExpr("*", f"{_print([*[f'fc_{k}' for k in names], *ends])} AS wish")
+    tries = tries.selectExpr("*", *_print([*[f"fc_{k}" for k in names], *ends], "wish"))
 
-    attempts = tries.drop("strict", "level").dropDuplicates(["wish"])
+    attempts = tries.drop(*_pair("strict"), "level").distinct()
     if listed:
         attempts = attempts.withColumn("fc_engine", F.explode_outer("fc_engine"))
 
@@ -387,7 +399,7 @@ def estimate_prices(
         return F.unix_date(of) if of == "created_on" else F.col(of)
 
     rows = adverts.select(
-        *[described[k].cast(wanted.schema[f"fc_{k}"].dataType).alias(f"fc_{k}")
+        *[described[k].cast(strict.schema[f"fc_{k}"].dataType).alias(f"fc_{k}")
           if k in NUMBERS else described[k].alias(f"fc_{k}") for k in names], column,
         *[plain(of).alias(f"fr_{of}") for of in treed])
     fine = value_counts(rows, [*(f"fc_{k}" for k in names), *(f"fr_{of}" for of in treed)], column)
@@ -395,17 +407,17 @@ def estimate_prices(
     # Whole numbers and days have trees over the range of the adverts' values.
     whole = [of for of in treed if of == "created_on" or is_whole(adverts.schema[of].dataType)]
     spans = {of: 1 << i for i, of in enumerate(whole)}
-    extent = rows.agg(F.struct(*[
-        F.struct(F.min(f"fr_{of}").cast("bigint").alias("base"),
-                 F.max(f"fr_{of}").cast("bigint").alias("top")).alias(of) for of in whole]
-        or [F.lit(0).alias("none")]).alias("extent")).scalar()
+    def span(of: str) -> Column:
+        base, top = (f(f"fr_{of}").cast("bigint") for f in (F.min, F.max))
+        levels = F.floor((F.length(F.bin(top - base)) + 1) / 2).cast("int")
+        return F.struct(base.alias("base"), top.alias("top"), levels.alias("levels")).alias(of)
+
+    extent = rows.agg(F.struct(
+        *[span(of) for of in whole] or [F.lit(0).alias("none")]).alias("extent")).scalar()
     mask = " + ".join(["0", *(
         f"if(lo_{of} IS NULL AND hi_{of} IS NULL, 0, {bit})" for of, bit in spans.items())])
     attempts = attempts.selectExpr("*", f"{mask} AS mask").withColumn("extent", extent)
 
-    def levels(of: str) -> str:
-        return f"((length(bin(extent.{of}.top - extent.{of}.base)) + 1) div 2)"
-
     def nth(n: int, expression: Callable[[str], str]) -> str:
         """An expression for the nth limited column of ``mask``, as SQL; null if there is none."""
         arms = " ".join(
@@ -418,7 +430,7 @@ def estimate_prices(
         low = f"greatest(ceil(coalesce(lo_{of}, {base})) - {base}, 0L)"
         high = f"least(floor(coalesce(hi_{of}, {top})), {top}) - {base}"
         return (f"if({high} < {low}, cast(array() AS array<bigint>),"
-                f" {tree_cover(f'cast({low} AS bigint)', f'cast({high} AS bigint)', f'cast({levels(of)} AS int)')})")
+                f" {tree_cover(f'cast({low} AS bigint)', f'cast({high} AS bigint)', f'extent.{of}.levels')})")
 
     trees = range(min(TREES, len(whole)))
 
@@ -430,17 +442,21 @@ def estimate_prices(
     rest = [of for of in treed if of not in spans or len(spans) > TREES]
     within = [f"if(given & {bit} = 0, NULL, fc_{k}) AS fc_{k}" for k, bit in bits.items()]
 
-    def cell(to: int) -> str:
-        parts = [f"fc_{k}" for k in names] + [f"node_{n}" for n in range(to)]
-        return f"struct(given, mask, {', '.join(parts)}) AS cell_{to}"
+    # A cell goes by two 64-bit hashes, too: what is given, of which columns, and the nodes so far.
+    def cell(to: int) -> list[str]:
+        if to:
+            return [f"xxhash64(cell_{to - 1}_{x}, node_{to - 1}) AS cell_{to}_{x}" for x in "ab"]
+        parts = ", ".join(("given", "mask", *(f"fc_{k}" for k in names)))
+        return [f"xxhash64({parts}) AS cell_0_a", f"xxhash64(7919, {parts}) AS cell_0_b"]
 
-    looked_up = attempts
+    looked_up = attempts.selectExpr("*", *cell(0))
     for n in trees:
-        looked_up = node(looked_up, n, covered)
+        looked_up = node(looked_up, n, covered).selectExpr("*", *cell(n + 1))
     limit_of_value = [f"{side}_{column} AS {name}" if column in limited else f"cast(NULL AS int) AS {name}"
                       for side, name in (("lo", "low"), ("hi", "high"))]
     looked_up = looked_up.selectExpr(
-        "wish", *[cell(to) for to in range(len(trees) + 1)], *limit_of_value,
+        *_pair("wish"), "mask", *chain.from_iterable(_pair(f"cell_{to}") for to in range(len(trees) + 1)),
+        *limit_of_value,
         *[f"{end}_{of}" for of in rest for end in ("lo", "hi")])
 
     # One set of cells per combination of given fields and limited columns, at most one per subset.
@@ -458,37 +474,37 @@ def estimate_prices(
         "given", "mask", *within, *[f"fr_{of} AS at_{of}" for of in whole], *compared, VALUE, COUNT)
     if whole:
         cells = cells.withColumn("extent", extent)
-    asked_for = looked_up.select(*[f"cell_{to}" for to in range(len(trees) + 1)])
     for to in range(len(trees) + 1):
         if to:
             cells = node(cells, to - 1, lambda of: tree_nodes(
-                f"at_{of} - extent.{of}.base", f"cast({levels(of)} AS int)"))
-        cells = cells.selectExpr("*", cell(to))
+                f"at_{of} - extent.{of}.base", f"extent.{of}.levels"))
+        cells = cells.selectExpr("*", *cell(to))
         if limits:
             # Only what some wish asks for goes on.
-            cells = cells.join(asked_for.select(f"cell_{to}").distinct(), f"cell_{to}", "left_semi")
-    key = f"cell_{len(trees)}"
-    cells = cells.groupBy(key, *[f"fr_{of}" for of in rest], VALUE).agg(F.sum(COUNT).alias(COUNT))
+            asked_for = looked_up.select(*_pair(f"cell_{to}")).distinct()
+            cells = cells.join(asked_for, _pair(f"cell_{to}"), "left_semi")
+    key = _pair(f"cell_{len(trees)}")
+    cells = cells.groupBy(*key, *[f"fr_{of}" for of in rest], VALUE).agg(F.sum(COUNT).alias(COUNT))
 
     matched = looked_up.join(cells, key)
     matched = matched.where(f"(low IS NULL OR {VALUE} >= low) AND (high IS NULL OR {VALUE} <= high)")
     for of in rest:
         # Null where a tree has met the limit.
-        met_by_tree = f"(fr_{of} IS NULL AND {key}.mask & {spans[of]} > 0)" if of in spans else "false"
+        met_by_tree = f"(fr_{of} IS NULL AND mask & {spans[of]} > 0)" if of in spans else "false"
         matched = matched.where(
             f"{met_by_tree} OR ((lo_{of} IS NULL OR fr_{of} >= lo_{of})"
             f" AND (hi_{of} IS NULL OR fr_{of} <= hi_{of}))")
-    matched = matched.select("wish", VALUE, COUNT)
+    matched = matched.select(*_pair("wish"), VALUE, COUNT)
     measured = measures_of_counts(
-        matched, ["wish"], adverts.schema[column].dataType, measures(ESTIMATE_MEASURES),
+        matched, _pair("wish"), adverts.schema[column].dataType, measures(ESTIMATE_MEASURES),
         small_keys=True,
     )
     answers = (
-        tries.select("strict", "level", "wish")
-        .join(measured, "wish")
-        .groupBy("strict")
+        tries.select(*_pair("strict"), "level", *_pair("wish"))
+        .join(measured, _pair("wish"))
+        .groupBy(*_pair("strict"))
         .agg(F.min_by(F.struct(*ESTIMATE_MEASURES), "level").alias("best"))
     )
-    best = wanted.select(id_column, "strict").join(answers, "strict", "left")
+    best = wanted.join(answers, _pair("strict"), "left")
     best = best.select(id_column, "best.*")
     return _answer(best.withColumn("count", F.coalesce("count", F.lit(0))), id_column)

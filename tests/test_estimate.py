@@ -326,3 +326,10 @@ def test_limits_over_one_hot_make_read_nodes_not_adverts(spark):
     visit(answered._jdf.queryExecution().executedPlan())
     # Every pair of a request and an advert in its range would be some 7 million.
     assert outputs and max(outputs) <= 2_000 * 64 * 5
+
+
+def test_a_batch_refuses_adverts_with_lists_of_engines(spark):
+    adverts = spark.createDataFrame([(["Petrol"], 1_000)], "engine array<string>, price_in_eur int")
+    requests = spark.createDataFrame([(1, "Petrol")], "request_id int, engine string")
+    with pytest.raises(ValueError, match="engine"):
+        est.estimate_prices(requests, adverts)
