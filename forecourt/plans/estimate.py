@@ -495,6 +495,10 @@ def estimate_prices(
             f"{met_by_tree} OR ((lo_{of} IS NULL OR fr_{of} >= lo_{of})"
             f" AND (hi_{of} IS NULL OR fr_{of} <= hi_{of}))")
     matched = matched.select(*_pair("wish"), VALUE, COUNT)
+    if limits:
+        # A wish meets a price in many nodes; where its prices are ordered, each comes once.
+        matched = matched.repartition(*_pair("wish")).groupBy(*_pair("wish"), VALUE).agg(
+            F.sum(COUNT).alias(COUNT))
     measured = measures_of_counts(
         matched, _pair("wish"), adverts.schema[column].dataType, measures(ESTIMATE_MEASURES),
         small_keys=True,
