@@ -254,13 +254,12 @@ def _pair(label: str) -> list[str]:
     return [f"{label}_a", f"{label}_b"]
 
 
-def tree_nodes(position: str, levels: str) -> str:
-    """The nodes above a position of a tree of four branches, one a level, as SQL.
+def tree_node(position: str, level: str) -> str:
+    """The node of a level above a position of a tree of four branches, as SQL.
 
     Nodes are longs: their place among those of their level, and the level in the last six bits.
     """
-    return (f"transform(sequence(0, {levels}), l -> shiftright(cast({position} AS bigint), 2 * l)"
-            " * 64 + l)")
+    return f"shiftright(cast({position} AS bigint), 2 * {level}) * 64 + {level}"
 
 
 def tree_cover(first: str, last: str, levels: str) -> str:
@@ -476,8 +475,13 @@ def estimate_prices(
         cells = cells.withColumn("extent", extent)
     for to in range(len(trees) + 1):
         if to:
-            cells = node(cells, to - 1, lambda of: tree_nodes(
-                f"at_{of} - extent.{of}.base", f"extent.{of}.levels"))
+            n = to - 1
+            # One row a level; functions of arrays' elements would be called row by row.
+            at_level = nth(n, lambda of: tree_node(f"(at_{of} - extent.{of}.base)", "at_level"))
+            cells = cells.withColumn("at_level", F.explode(F.expr(
+                f"if(bit_count(mask) <= {n}, array(-1),"
+                f" {nth(n, lambda of: f'sequence(0, extent.{of}.levels)')})"))).withColumn(
+                f"node_{n}", F.expr(f"if(at_level < 0, -1L, {at_level})"))
         cells = cells.selectExpr("*", *cell(to))
         if limits:
             # Only what some wish asks for goes on.
