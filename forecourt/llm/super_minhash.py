@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,10 @@ from forecourt.llm.words import mixed, shingle_sets
 _STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = np.uint64(32)
 _FRACTION = 48
+#: Sets so small that the permutations of their elements are kept: elements times values.
+_DENSE = 200_000
+#: Elements of small sets that are held, and of those that are worked on together.
+_HELD, _TOGETHER = 1 << 17, 1 << 11
 
 
 def signature(elements: np.ndarray, size: int) -> np.ndarray:
@@ -37,7 +41,7 @@ def signature(elements: np.ndarray, size: int) -> np.ndarray:
     rows = np.arange(n)
     # Few elements need many steps: keep their permutations. Many elements need few steps:
     # keep the swaps made so far only.
-    dense = np.tile(np.arange(size, dtype=np.int32), (n, 1)) if n * size <= 200_000 else None
+    dense = np.tile(np.arange(size, dtype=np.int32), (n, 1)) if n * size <= _DENSE else None
     swapped: list[tuple[np.ndarray, np.ndarray]] = []
 
     def at(place: np.ndarray) -> np.ndarray:
@@ -64,12 +68,69 @@ def signature(elements: np.ndarray, size: int) -> np.ndarray:
     return least
 
 
+def _signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """The ``signature`` of each of some small sets, a row each: all take their steps together.
+
+    A set that is done before the others falls no further, so that sets of about the same size,
+    which end about the same step, cost little more than their own steps.
+    """
+    counts = [len(s) for s in sets]
+    elements = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets)) * size, counts)
+    least = np.full(len(sets) * size, np.iinfo(np.uint64).max, dtype=np.uint64)
+    kind = np.int16 if size <= np.iinfo(np.int16).max else np.int32
+    # The permutations of all elements, one behind the other.
+    dense = np.tile(np.arange(size, dtype=kind), len(elements))
+    first = np.arange(len(elements)) * size
+    for j in range(size):
+        drawn = mixed(elements + np.array([2 * j + 1], dtype=np.uint64) * _STEP)
+        k = first + j + ((drawn & np.uint64(0xFFFFFFFF)) * np.uint64(size - j) >> _LOW).astype(np.int64)
+        fraction = mixed(drawn ^ _STEP) >> np.uint64(64 - _FRACTION)
+        chosen = dense[k]
+        dense[k] = dense[first + j]
+        np.minimum.at(least, own + chosen, fraction | (np.uint64(j) << np.uint64(_FRACTION)))
+        if least.max() >> np.uint64(_FRACTION) <= j:
+            break
+    return least.reshape(len(sets), size)
+
+
+def signatures(sets: Iterable[np.ndarray], size: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The signatures of many sets that are not empty, in any order: their places, and a row for each."""
+    held: list[tuple[int, np.ndarray]] = []
+    total = 0
+
+    def done() -> Iterator[tuple[list[int], np.ndarray]]:
+        held.sort(key=lambda one: len(one[1]))
+        start = elements = 0
+        for end, (_, own) in enumerate(held):
+            if elements and elements + len(own) > _TOGETHER:
+                yield [i for i, _ in held[start:end]], _signatures([s for _, s in held[start:end]], size)
+                start, elements = end, 0
+            elements += len(own)
+        if held:
+            yield [i for i, _ in held[start:]], _signatures([s for _, s in held[start:]], size)
+
+    for i, own in enumerate(sets):
+        if not len(own):
+            continue
+        if len(own) * size > _DENSE:
+            yield [i], signature(own, size)[None]
+            continue
+        held.append((i, own))
+        total += len(own)
+        if total >= _HELD:
+            yield from done()
+            held, total = [], 0
+    yield from done()
+
+
 def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per band of ``rows`` values; keys of different bands differ."""
-    bands = values.reshape(-1, rows)
-    total = np.arange(1, len(bands) + 1, dtype=np.uint64) * _STEP
+    """One 64-bit key per band of ``rows`` values, of one signature or of each row of many; keys of
+    different bands differ."""
+    bands = values.reshape(*values.shape[:-1], -1, rows)
+    total = np.arange(1, bands.shape[-2] + 1, dtype=np.uint64) * _STEP
     for i in range(rows):
-        total = mixed(total ^ bands[:, i]) + _STEP
+        total = mixed(total ^ bands[..., i]) + _STEP
     return total.view(np.int64)
 
 
@@ -85,12 +146,17 @@ def _signed(docs: DataFrame, text: str, key: str, bands: int, rows: int, words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, hashes, keys = [], [], []
-            for shingles in shingle_sets((v.as_py() for v in batch.column(1)), words):
-                sizes.append(len(shingles))
-                hashes.append(_set_hash(shingles))
-                keys.append(band_keys(signature(shingles, bands * rows), rows)
-                            if len(shingles) else [])
+            sizes, hashes, keys = [], [], [[]] * len(batch)
+
+            def noted() -> Iterator[np.ndarray]:
+                for shingles in shingle_sets((v.as_py() for v in batch.column(1)), words):
+                    sizes.append(len(shingles))
+                    hashes.append(_set_hash(shingles))
+                    yield shingles
+
+            for places, values in signatures(noted(), bands * rows):
+                for place, own in zip(places, band_keys(values, rows)):
+                    keys[place] = own
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()),
                  pa.array(keys, schema[3].type)], schema=schema)

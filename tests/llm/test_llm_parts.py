@@ -15,7 +15,7 @@ from forecourt.llm.license_scan import TEMPLATES, judge
 from forecourt.llm.packing import differencing, encoder, windows_for
 from forecourt.llm.sharding import communication_matrix, hypergeometric
 from forecourt.llm.suffix_dedup import equal_windows, suffix_order
-from forecourt.llm.super_minhash import signature
+from forecourt.llm.super_minhash import band_keys, signature, signatures
 from forecourt.llm.warc_zip import members
 from forecourt.llm.words import shingle_set
 
@@ -231,3 +231,18 @@ def test_cut_texts_leave_in_portions():
     out = list(_cut(pa.int64())(iter([batch])))
     assert len(out) > 1 and sum(b.num_rows for b in out) == 6
     assert [k for b in out for k in b.column(0).to_pylist()] == list(range(6))
+
+
+def test_signatures_of_many_sets_are_those_of_each():
+    """Op7: small sets take their steps together, in groups of about one size; large ones alone."""
+    rng = np.random.default_rng(7)
+    sizes = [0, 1, 1, 2, 5, 700, 0, 40, 520, 521, 300, *rng.integers(1, 200, 40).tolist()]
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in sizes]
+    found = {}
+    for places, values in signatures(iter(sets), 384):
+        assert len(places) == 1 or sum(sizes[i] for i in places) <= 2048
+        found.update(zip(places, zip(values, band_keys(values, 6))))
+    assert sorted(found) == [i for i, n in enumerate(sizes) if n]
+    for i, (values, keys) in found.items():
+        alone = signature(sets[i], 384)
+        assert (values == alone).all() and (keys == band_keys(alone, 6)).all()
