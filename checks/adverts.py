@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = dt.date(2001, 12, 31)
+# An advert's id as text is longer than the keys it is made of, which are its key.
+ID_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+IDS = ("advert_id", "advert_key")
 
 
 def _columns() -> dict[str, tuple[frozenset[str], Column]]:
@@ -27,10 +30,8 @@ def _columns() -> dict[str, tuple[frozenset[str], Column]]:
         F.col("l_discount") != 0, whole(F.col("p_retailprice") * F.col("l_quantity"))
     )
     return {
-        "advert_id": (
-            line,
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-        ),
+        "advert_id": (line, F.concat_ws("-", *ID_KEYS)),
+        "advert_key": (line, F.struct(*ID_KEYS)),
         "source": (line, F.col("l_linestatus")),
         "title": (part, F.col("p_name")),
         "equipment": (order, F.lower("o_orderpriority")),
@@ -62,19 +63,42 @@ JOINS = {"part": ("l_partkey", "p_partkey"), "orders": ("l_orderkey", "o_orderke
 
 
 def adverts(
-    spark: SparkSession, sf_dir: str, columns: Sequence[str] = ADVERT_COLUMNS
+    spark: SparkSession,
+    sf_dir: str,
+    columns: Sequence[str] = ADVERT_COLUMNS,
+    together: Sequence[str] = (),
 ) -> DataFrame:
-    """The view with the given columns."""
+    """The view with the given columns.
+
+    What a line item alone gives is taken before the joins, as it is narrower than what it
+    comes from. Views that name the same columns ``together`` move line items to their parts
+    and orders once for all of them, each with all these columns; Spark would else move them
+    once per view, each time with the columns of that view.
+    """
     described = _columns()
-    needed = frozenset().union(*[described[c][0] for c in columns])
+    needed = frozenset().union(*[described[c][0] for c in (*columns, *together)])
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if len(needed) > 1:
+        early = [c for c, (tables, _) in described.items() if tables == {"lineitem"} and c not in IDS]
+        rows = rows.select("*", *[described[c][1].alias(c) for c in early])
+        described |= {c: (described[c][0], F.col(c)) for c in early}
     for table, (left, right) in JOINS.items():
         if table in needed:
             other = spark.read.parquet(f"{sf_dir}/{table}.parquet")
             rows = rows.join(other, rows[left] == other[right])
+    if together:
+        # Every hash is in its range, so all rows stay; but no column can be left out below the joins.
+        moved = [c for name in together
+                 for c in (ID_KEYS if name in IDS else (described[name][1],))]
+        rows = rows.where(F.xxhash64(*moved) >= -(2**63))
     return rows.select(*[described[c][1].alias(c) for c in columns])
 
 
+def id_of_key(key: str) -> Column:
+    """The ``advert_id`` of an ``advert_key``."""
+    return F.concat_ws("-", *[F.col(key)[k] for k in ID_KEYS])
+
+
 ADVERTS_SQL = """
 adverts AS (
   SELECT

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from checks.adverts import ADVERT_COLUMNS, AS_OF, adverts
+from checks.adverts import ADVERT_COLUMNS, AS_OF, adverts, id_of_key
 from forecourt.functions.bands import (
     MILEAGE_BANDS,
     POWER_BANDS,
@@ -746,12 +746,14 @@ def comparable_count(spark, sf_dir):
 def estimate_batch(spark, sf_dir):
     """Every advert asks for its own estimate; those with an odd mileage band ask for a
     displacement nobody has, and are answered without it."""
-    columns = ["advert_id", "make", "model", "year", "gearbox", "power", "mileage", "cc"]
-    requests = adverts(spark, sf_dir, columns).withColumnRenamed("advert_id", "request_id")
+    columns = ["advert_key", "make", "model", "year", "gearbox", "power", "mileage", "cc"]
+    together = [*columns, PRICE]
+    requests = adverts(spark, sf_dir, columns, together).withColumnRenamed("advert_key", "request_id")
     odd = band_number("mileage", MILEAGE_BANDS) % 2 == 1
     requests = requests.withColumn("cc", F.col("cc") + F.when(odd, 50).otherwise(0))
-    rows = adverts(spark, sf_dir, [*columns[1:], PRICE])
-    return est.estimate_prices(requests, rows)
+    rows = adverts(spark, sf_dir, [*columns[1:], PRICE], together)
+    # An id is moved as its key, which is shorter, and written out at the end.
+    return est.estimate_prices(requests, rows).withColumn("request_id", id_of_key("request_id"))
 
 
 @query

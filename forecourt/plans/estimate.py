@@ -24,7 +24,7 @@ from forecourt.operators.filters import (
     require_columns,
 )
 from forecourt.operators.grouping import group_measures
-from forecourt.operators.ranks import COUNT, VALUE, measures_of_counts, value_counts
+from forecourt.operators.ranks import COUNT, ROWS, VALUE, measures_of_counts, value_counts
 from forecourt.plans.statistics import DEFAULT_STAT_COLUMN
 
 # The measures an estimate rests on and their weights. Up to a relative
@@ -283,6 +283,129 @@ def tree_cover(first: str, last: str, levels: str) -> str:
             f" {nodes(left, right)})))")
 
 
+def _met(search: str | None) -> Column | None:
+    return None if search is None else F.coalesce(any_like(SEARCHED, search), F.lit(False))
+
+
+def _answered(
+    wanted: DataFrame, tries: DataFrame, measured: DataFrame, id_column: str
+) -> DataFrame:
+    """Every request with the answer of the strictest of its tries that is met."""
+    answers = (
+        tries.select(*_pair("strict"), "level", *_pair("wish"))
+        .join(measured, _pair("wish"))
+        .groupBy(*_pair("strict"))
+        .agg(F.min_by(F.struct(*ESTIMATE_MEASURES), "level").alias("best"))
+    )
+    best = wanted.join(answers, _pair("strict"), "left")
+    best = best.select(id_column, "best.*")
+    return _answer(best.withColumn("count", F.coalesce("count", F.lit(0))), id_column)
+
+
+def _estimates_by_fields(
+    requests: DataFrame,
+    adverts: DataFrame,
+    id_column: str,
+    column: str,
+    search: str | None,
+    asked: dict[str, Column],
+) -> DataFrame:
+    """``estimate_prices`` for requests that give at most one value per field, and no limits.
+
+    The fields that no try drops are the *base* of a wish; beyond it a wish has ``fc_extra``
+    (which of ``RELAXED`` it gives) and ``fc_cc``. A wish is one cell then, so adverts are
+    measured without a list of wishes: price counts per base and relaxed fields are moved once,
+    by base, and ordered there for every wish of the base. Requests are moved once, by wish,
+    with no more than what tells their tries, and wishes are found where requests arrive.
+    """
+    kept = [k for k in asked if k not in RELAXED]
+    relaxed = [f"fc_{k}" for k in asked if k in RELAXED]
+    own = [c for c in relaxed if c != f"fc_{FOUND}"]
+    cc, found = 1, 2
+    given = " + ".join(f"if(fc_{k} IS NULL, 0L, {1 << i}L)" for i, k in enumerate(kept))
+    extra = " + ".join(["0L", *(f"if({c} IS NULL, 0L, {cc}L)" for c in own),
+                        *([f"{found}L"] if search is not None else [])])
+
+    def base() -> list[str]:
+        """Hashes of 64 and 32 bits, and the fields given in the last eight bits, as two columns.
+
+        All requests are moved with them, so they are no longer than they need to be.
+        """
+        parts = ", ".join(("fc_given", *(f"fc_{k}" for k in kept)))
+        return [f"xxhash64({parts}) AS base_a",
+                f"shiftleft(cast(hash(7919, {parts}) AS bigint), 8) + fc_given AS base_b"]
+
+    def beyond(label: str, *parts: str) -> list[str]:
+        """The base and more, as two columns in SQL."""
+        return [f"xxhash64({', '.join((f'base_{x}', *parts))}) AS {label}_{x}" for x in "ab"]
+
+    # Wishes and requests are both read from here. The hash of an id keeps the ids in where
+    # wishes are found, so that Spark moves requests once.
+    strict = beyond("strict", extra, *own)
+    wanted = (
+        requests.select(id_column, *[c.alias(f"fc_{k}") for k, c in asked.items() if k != FOUND])
+        .selectExpr("*", f"{given} AS fc_given")
+        .selectExpr(id_column, *base(), *own)
+        .repartition(*[F.expr(part.rsplit(" AS ", 1)[0]) for part in strict])
+        .selectExpr("*", *strict)
+    )
+    wishes = (
+        wanted.groupBy(*_pair("strict"), *_pair("base"), *own)
+        .agg(F.max(F.xxhash64(id_column)).alias("an_id")).where("an_id IS NOT NULL")
+        .selectExpr("*", "base_b & 255 AS fc_given", f"{extra} AS fc_extra")
+    )
+    types = requests.select(*[c.alias(k) for k, c in asked.items()]).schema
+    nothing = [f"cast(NULL AS {types['cc'].dataType.simpleString()})"] if own else []
+    first, last = (
+        f"struct({level} AS level, {', '.join(beyond('wish', *parts))})"
+        for level, parts in ((0, ("fc_extra", *own)), (1, ("0L", *nothing))))
+    tries = wishes.selectExpr(
+        *_pair("strict"), f"inline(if(fc_extra > 0, array({first}, {last}), array({first})))")
+
+    # One set of cells per combination of given fields, at most one per subset; in it, one per
+    # combination of relaxed fields, at most three.
+    combinations = wishes.agg(F.struct(
+        F.collect_set("fc_given").alias("given"),
+        F.array_union(F.collect_set("fc_extra"), F.array(F.lit(0).cast("bigint"))).alias("extra"),
+    )).scalar()
+    described = _fields(adverts, _met(search))
+    cells = adverts.select(
+        *[described[k].cast(types[k].dataType).alias(f"fc_{k}")
+          if k in NUMBERS else described[k].alias(f"fc_{k}") for k in asked],
+        F.col(column).alias(VALUE))
+    cells = value_counts(cells, [f"fc_{k}" for k in asked], VALUE).drop(ROWS)
+    # Not ``explode``: Spark would look for empty lists below the joins that adverts come from.
+    cells = cells.withColumn("fc_given", F.explode_outer(combinations["given"]))
+    there = [f"(fc_given & {1 << i} = 0 OR fc_{k} IS NOT NULL)" for i, k in enumerate(kept)]
+    within = [f"if(fc_given & {1 << i} = 0, NULL, fc_{k}) AS fc_{k}" for i, k in enumerate(kept)]
+    cells = (
+        cells.where(" AND ".join(("fc_given IS NOT NULL", *there)))
+        .selectExpr("fc_given", *within, *relaxed, VALUE, COUNT)
+        .selectExpr("fc_given", *base(), *relaxed, VALUE, COUNT)
+    )
+    # Prices come once per base; where a base leaves fields open, they are added up.
+    # (Of an equality Spark would make further conditions, and move adverts once for them.)
+    all_given, priced = (1 << len(kept)) - 1, [*_pair("base"), *relaxed, VALUE]
+    cells = cells.where(f"fc_given >= {all_given}").select(*priced, COUNT).union(
+        cells.where(f"fc_given < {all_given}").groupBy(*priced).agg(F.sum(COUNT).alias(COUNT)))
+    cells = cells.join(wishes.select(*_pair("base")).distinct(), _pair("base"), "left_semi")
+    keys = _pair("base")
+    if relaxed:
+        met = [*(f"(fc_extra & {cc} = 0 OR {c} IS NOT NULL)" for c in own),
+               *([f"(fc_extra & {found} = 0 OR fc_{FOUND})"] if search is not None else [])]
+        cells = (
+            cells.withColumn("fc_extra", F.explode(combinations["extra"]))
+            .where(" AND ".join(met))
+            .selectExpr(*keys, "fc_extra",
+                        *[f"if(fc_extra & {cc} = 0, NULL, {c}) AS {c}" for c in own], VALUE, COUNT)
+        )
+        keys = [*keys, "fc_extra", *own]
+    measured = measures_of_counts(
+        cells, keys, adverts.schema[column].dataType, measures(ESTIMATE_MEASURES), small_keys=True,
+    ).selectExpr(*beyond("wish", "fc_extra" if relaxed else "0L", *own), *ESTIMATE_MEASURES)
+    return _answered(wanted, tries, measured, id_column)
+
+
 def estimate_prices(
     requests: DataFrame,
     adverts: DataFrame,
@@ -304,10 +427,12 @@ def estimate_prices(
     keep a row with count 0.
 
     Requests and adverts are never paired. Equal wishes are answered once (they go by two
-    64-bit hashes of all they ask for), and adverts
+    hashes of all they ask for), and adverts
     are reduced to price counts per *cell* (the fields wishes give), one set of cells
     for every combination of given fields that occurs, so a model holding most of
-    adverts and requests costs its distinct prices. Those of one wish are ordered in one task.
+    adverts and requests costs its distinct prices. Those of one wish are ordered in one task;
+    without lists of engines and limits, those of all wishes that agree but for ``cc`` are,
+    which costs the distinct pairs of price and ``cc``.
 
     A range of whole numbers or days is a few nodes of a tree over the column's values, and every
     value lies in one node of each level; so ranges, too, are met by equality, and a wish
@@ -333,8 +458,10 @@ def estimate_prices(
     for k in set(names) & set(NUMBERS):  # compared in one type
         if not (is_whole(requests.schema[k].dataType) and is_whole(adverts.schema[k].dataType)):
             asked[k] = asked[k].cast("double")
-    bits = {k: 1 << i for i, k in enumerate(names)}
     listed = "engine" in names and isinstance(requests.schema["engine"].dataType, ArrayType)
+    if not limits and not listed and set(names) - set(RELAXED):
+        return _estimates_by_fields(requests, adverts, id_column, column, search, asked)
+    bits = {k: 1 << i for i, k in enumerate(names)}
     today = as_of or dt.datetime.now(dt.timezone.utc).date()
 
     # Both tries of every wish: the fields that are not given are null.
@@ -388,10 +515,7 @@ def estimate_prices(
     if listed:
         attempts = attempts.withColumn("fc_engine", F.explode_outer("fc_engine"))
 
-    met = None
-    if search is not None:
-        met = F.coalesce(any_like(SEARCHED, search), F.lit(False))
-    described = _fields(adverts, met)
+    described = _fields(adverts, _met(search))
     treed = [of for of in limited if of != column]
 
     def plain(of: str) -> Column:
@@ -507,12 +631,4 @@ def estimate_prices(
         matched, _pair("wish"), adverts.schema[column].dataType, measures(ESTIMATE_MEASURES),
         small_keys=True,
     )
-    answers = (
-        tries.select(*_pair("strict"), "level", *_pair("wish"))
-        .join(measured, _pair("wish"))
-        .groupBy(*_pair("strict"))
-        .agg(F.min_by(F.struct(*ESTIMATE_MEASURES), "level").alias("best"))
-    )
-    best = wanted.join(answers, _pair("strict"), "left")
-    best = best.select(id_column, "best.*")
-    return _answer(best.withColumn("count", F.coalesce("count", F.lit(0))), id_column)
+    return _answered(wanted, tries, measured, id_column)
